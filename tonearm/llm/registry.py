@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op8_bpe
 from .minhash import op7_minhash
+from .substrings import op5_substrings
 
 QUERIES = {
+    "op5_substrings": op5_substrings,
     "op7_minhash": op7_minhash,
+    "op8_bpe": op8_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
