@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .minhash import op7_minhash
+from .quality import op10_quality
+from .spotsigs import op3_spotsigs
 from .substrings import op5_substrings
 
 QUERIES = {
+    "op3_spotsigs": op3_spotsigs,
     "op5_substrings": op5_substrings,
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
