@@ -41,8 +41,8 @@ SMALL = 8
 #: Estimates below this similarity (five standard deviations under the
 #: threshold with 128 registers) are not confirmed.
 FLOOR = 0.56
-#: Members of a large bucket that are compared with each other at once.
-SIDE = 512
+#: Hashes in the sets of one side of two blocks that are compared at once.
+SIDE = 100_000
 #: Ids up to this many (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -169,15 +169,43 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two blocks of one bucket: the likely pairs of members from different components."""
+    """Two blocks of one bucket: the links between members of different components.
+
+    A pair is looked at only in the first band that it shares, and no more
+    once its components have met here; what is left is compared on full sets.
+    """
+
+    def side(rows: list[dict]) -> dict:
+        sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), -1)
+        sets = [np.array(r["hashes"], np.int64) for r in rows]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        bands = np.ascontiguousarray(sig).view(f"V{2 * REGISTERS // BANDS}").view("<u8").reshape(len(rows), -1)
+        return {"cid": np.array([r["cid"] for r in rows], np.int64), "root": np.array([r["root"] for r in rows], np.int64), "sig": sig, "bands": bands, "sets": sets, "all": np.concatenate(sets), "at": at}
+
     for b in batches:
-        for left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x, y = ({k: np.array([m[k] for m in side], np.int64) for k in ("cid", "root")} | {"sig": np.frombuffer(b"".join(m["sig"] for m in side), "<u2").reshape(len(side), -1)} for side in (left, right))
+        for band, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            x, y = side(left), side(right)
+            xr, yr = x["root"].copy(), y["root"].copy()
+            out: list[tuple[int, int]] = []
             for i in range(len(left)):
-                near = np.flatnonzero(((y["sig"] == x["sig"][i]).mean(1) >= FLOOR) & (y["root"] != x["root"][i]))
-                if len(near):
-                    c = np.full(len(near), x["cid"][i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c, y["cid"][near])), pa.array(np.maximum(c, y["cid"][near]))], ["a", "b"])
+                same = y["bands"] == x["bands"][i]
+                near = np.flatnonzero((same.argmax(1) == band) & same[:, band] & (yr != xr[i]) & ((y["sig"] == x["sig"][i]).mean(1) >= FLOOR))
+                if not len(near):
+                    continue
+                mine = x["sets"][i]
+                took = np.concatenate([y["all"][y["at"][k] : y["at"][k + 1]] for k in near])
+                found = np.searchsorted(mine, took)
+                hit = mine[np.minimum(found, len(mine) - 1)] == took
+                sizes = y["at"][near + 1] - y["at"][near]
+                both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+                for k in near[100 * both >= PERCENT * (len(mine) + sizes - both)]:
+                    if yr[k] != xr[i]:
+                        out.append((int(x["cid"][i]), int(y["cid"][k])))
+                        old, new = yr[k], xr[i]
+                        xr[xr == old] = new
+                        yr[yr == old] = new
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,27 +217,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(class_ids(h, at)), sets.cast(pa.list_(pa.int64()))], ["cid", "hashes"])
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, made: list[str]) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold.
+def _sets_of(spark: SparkSession, docs: DataFrame, reps: DataFrame, ids: DataFrame, made: list[str]) -> DataFrame:
+    """(cid, hashes): the sorted shingle sets of the classes named in ``ids``.
 
-    The sets are made again from one text of each class that is in a pair;
-    sets of all other documents are never stored.
+    They are made again from one text of each class; sets of all other
+    documents are never stored.
     """
-    wanted = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("one.*")
-    wanted, p = save(spark, wanted, "op7-wanted")
+    wanted, p = save(spark, reps.join(ids.distinct(), "cid", "left_semi").select("one.*"), "op7-wanted")
     made.append(p)
     few = wanted.count() <= BROADCAST_ROWS
     w = (F.broadcast(wanted) if few else wanted).select(F.col("hash").alias("h"), F.col("doc_id").alias("d"))
     texts = _hashed(docs).alias("t")
     texts = texts.join(w, (F.col("h") == F.col("t.hash")) & F.col("d").eqNullSafe(F.col("t.doc_id")), "left_semi").select("text")
-    sets, p = save(spark, texts.mapInArrow(_sets, "cid long, hashes array<long>"), "op7-sets")
-    made.append(p)
     # rows repeated with id and text give the same set more than once
+    sets, p = save(spark, texts.distinct().mapInArrow(_sets, "cid long, hashes array<long>"), "op7-sets")
+    made.append(p)
+    return sets
+
+
+def _confirmed(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, made: list[str]) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
+    sets = _sets_of(spark, docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("cid")), made)
     a = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x"))
     b = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     good = pairs.join(a, "a").join(b, "b").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both))
-    good, p = save(spark, good.select("a", "b").distinct(), "op7-links")
+    good, p = save(spark, good.select("a", "b"), "op7-links")
     made.append(p)
     return good
 
@@ -225,35 +258,40 @@ def _small_pairs(rows: DataFrame) -> DataFrame:
     return g.select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y")).select(*_pair("x", "y"))
 
 
-def _rest_pairs(large: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs of large buckets that leaders left open.
+def _rest(spark: SparkSession, docs: DataFrame, reps: DataFrame, large: DataFrame, roots: DataFrame, made: list[str]) -> DataFrame:
+    """Links of large buckets that leaders left open.
 
     Members outside their bucket's main component meet all members of other
-    components, block by block.
+    components, block by block; each block's members are stored once, and only
+    links that join two components come out.
     """
-    rows = large.select("key", "cid").join(roots.select(F.col("vertex").alias("cid"), "root"), "cid", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "cid"))
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("s"))
-    # bands often gather the very same members: one of such buckets is enough
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.sum("s").alias("s"), F.sum("n").alias("size"))
-    main = main.where("parts > 1").groupBy("size", "s").agg(F.min(F.struct("key", "main", "size")).alias("k")).select("k.*")
-    rows = rows.join(main, "key").join(reps.select("cid", "sig"), "cid")
-    # as many blocks as keep each near SIDE members
+    rows = large.select("key", "band", "cid").join(roots.select(F.col("vertex").alias("cid"), "root"), "cid", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "cid")).join(reps.select("cid", "sig", "n_shingles"), "cid")
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size"))
+    rows, p = save(spark, rows.join(main.where("parts > 1").drop("parts"), "key"), "op7-open")
+    made.append(p)
+    if rows.isEmpty():
+        return rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
+    rows = rows.join(_sets_of(spark, docs, reps, rows.select("cid"), made), "cid")
+    # as many blocks as keep the sets of each near SIDE hashes
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / SIDE))
-    member = F.struct("cid", "root", "sig")
+    member = F.struct("cid", "root", "sig", "hashes")
     right = rows.groupBy("key", block.alias("r")).agg(F.collect_list(member).alias("right"))
-    left = rows.where("root <> main").groupBy("key", block.alias("l")).agg(F.collect_list(member).alias("left"))
-    return left.join(right, "key").select("left", "right").mapInArrow(_grid, "a long, b long").distinct()
+    left = rows.where("root <> main").groupBy("key", "band", block.alias("l")).agg(F.collect_list(member).alias("left"))
+    found, p = save(spark, left.join(right, "key").select("band", "left", "right").mapInArrow(_grid, "a long, b long").distinct(), "op7-rest")
+    made.append(p)
+    return found
 
 
 def links(spark: SparkSession, docs: DataFrame, signed: DataFrame, made: list[str]) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between classes of equal sets, and the classes (cid, sig, doc_id, one)."""
-    reps = signed.where("n_shingles > 0").groupBy("cid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "hash")).alias("one"))
+    reps = signed.where("n_shingles > 0").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "hash")).alias("one"))
     reps, p = save(spark, reps, "op7-classes")
     made.append(p)
     width = REGISTERS // BANDS * 2
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)])
-    rows = reps.select("cid", F.explode(keys).alias("key"))
+    rows = reps.select("cid", F.posexplode(keys).alias("band", "key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("n > 1")
     shared, p = save(spark, rows.join(counts, "key"), "op7-buckets")
     made.append(p)
@@ -269,10 +307,7 @@ def links(spark: SparkSession, docs: DataFrame, signed: DataFrame, made: list[st
     if not large.isEmpty():
         roots, p = components(spark, good)
         made.extend(p)
-        rest, p = save(spark, _rest_pairs(large, roots, reps).join(likely, ["a", "b"], "left_anti"), "op7-rest")
-        made.append(p)
-        if not rest.isEmpty():
-            good = good.union(_confirmed(spark, docs, reps, rest, made))
+        good = good.union(_rest(spark, docs, reps, large, roots, made))
     return good, reps
 
 
