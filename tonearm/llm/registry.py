@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .bpe import op8_bpe
 from .minhash import op7_minhash
+from .ordering import op1_training_order
+from .packing import op6_packing
 from .quality import op10_quality
 from .spotsigs import op3_spotsigs
 from .substrings import op5_substrings
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_training_order": op1_training_order,
+    "op2_toxicity": op2_toxicity,
     "op3_spotsigs": op3_spotsigs,
     "op5_substrings": op5_substrings,
+    "op6_packing": op6_packing,
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
     "op10_quality": op10_quality,
