@@ -330,5 +330,17 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "hash")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` without all but one document of each group of near-duplicates."""
+    found, _ = save(spark, groups(spark, docs).where("kept").groupBy("doc_id", "hash").agg(F.count("*").alias("n")), "op7-kept")
+    size = found.agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
+    keys = found.select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"))
+    keys = F.broadcast(keys) if size["rows"] <= BROADCAST_ROWS else keys
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
+    out = docs.join(keys, same, "left_semi")
+    # only where whole rows repeat is there anything left to drop
+    return out.dropDuplicates(["doc_id", "text"]) if (size["most"] or 0) > 1 else out
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("hash")

@@ -73,7 +73,8 @@ def _repeat_words(windows: Column) -> Column:
 
 def _hashed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     out = out.withColumn("w", words(F.col("text")))
     return out.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
 
@@ -104,13 +105,13 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Counts, score and verdict of every row of ``docs``, which keeps its columns ``doc_id`` and ``text``."""
+    """Counts, score and verdict of every row of ``docs``; its own columns are under ``row``."""
     model = ratios(docs, trusted).scalar()
     out = _hashed(docs)
     out = out.withColumn("win", _windows(F.col("h")))
     out = out.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(rf"[^\x20\x09-\x0D]"))))
     out = out.select(
-        "doc_id", "text",
+        "row", "doc_id",
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
@@ -122,7 +123,10 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     score = F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("_model", model).withColumn("score", score).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("grams", "_model")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # a generated row: filters on it stay above, else the optimizer would repeat these expressions inside their lambdas
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return out.select("row", F.explode(F.array(F.struct(*names))).alias("_j")).select("row", "_j.*")
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,4 +136,4 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = judge(docs, trusted_ids(spark, sf_dir))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
