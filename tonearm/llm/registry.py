@@ -9,16 +9,20 @@ from .packing import op6_packing
 from .quality import op10_quality
 from .spotsigs import op3_spotsigs
 from .substrings import op5_substrings
+from .toolcalls import op9_toolcalls
 from .toxicity import op2_toxicity
+from .warc import OP4_SQL, op4_revisits
 
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_toxicity": op2_toxicity,
     "op3_spotsigs": op3_spotsigs,
+    "op4_revisits": op4_revisits,
     "op5_substrings": op5_substrings,
     "op6_packing": op6_packing,
     "op7_minhash": op7_minhash,
     "op8_bpe": op8_bpe,
+    "op9_toolcalls": op9_toolcalls,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_revisits": OP4_SQL}
