@@ -42,7 +42,7 @@ COLLECTION = 2000
 #: Anchors with more first runs than this are compared by window hashes.
 HOT = 20_000
 #: Largest estimated size of rows that are broadcast; beyond it joins shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -104,6 +104,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.concatenate(([0], np.cumsum(~same | moved)))
         first = lead[np.searchsorted(run, run)]
         again[order] = lead != first
+        # later rows need no comparing: a key of their own keeps them apart from all others
+        piece[again] = mix(mix(ids[row][again].astype(np.uint64)) + s[again].astype(np.uint64))
         cols = (ids[row], s.astype(np.int32), (e - s).astype(np.int32), anchor.view(np.int64), piece.view(np.int64), again)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ord", "s", "more", "anchor", "piece", "again"])
 
@@ -226,9 +228,7 @@ def _with(spark: SparkSession, docs: DataFrame, rows: DataFrame, how: str) -> Da
 def removed_runs(spark: SparkSession, docs: DataFrame, made: list[str]) -> DataFrame:
     """(ord, s, more): the strings starting in [s, s + more] also start earlier."""
     found = docs.where(F.octet_length("text") >= LENGTH).select("ord", "text").mapInArrow(_pieces, _PIECES)
-    # rows that a batch already knows to be later are dealt by their own place, all others by piece
-    alone = [F.when(F.col("again"), F.col(c)) for c in ("ord", "s")]
-    rank = F.rank().over(Window.partitionBy("piece", "anchor", *alone).orderBy("ord", "s"))
+    rank = F.rank().over(Window.partitionBy("piece", "anchor").orderBy("ord", "s"))
     ranked = found.withColumn("later", F.col("again") | (rank > 1))
     ranked, p = save(spark, ranked.select("ord", "s", "more", "anchor", "later"), "op5-pieces")
     made.append(p)
@@ -239,7 +239,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, made: list[str]) -> DataF
     few = many.count() * 16 <= BROADCAST_BYTES
     asked = heads.join(F.broadcast(many) if few else many, "anchor")
     asked = asked.groupBy("ord").agg(F.collect_list(F.struct("anchor", "s", "more")).alias("asked"))
-    asked, p = save(spark, asked.withColumn("bytes", 48 * F.size("asked")), "op5-asked")
+    asked, p = save(spark, asked.withColumn("bytes", 40 * F.size("asked")), "op5-asked")
     made.append(p)
     texts = _with(spark, docs.select("ord", "text"), asked, "inner").select("ord", "text", "asked").mapInArrow(_contexts, "anchor long, ord long, s int, text binary")
     hot = many.where(F.col("n") > HOT)
@@ -284,14 +284,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
         digest = pa.array([hashlib.sha256(d).hexdigest() for d in kept], pa.string())
         text = pa.array([d.decode(errors="ignore") for d in kept], pa.string())
-        yield pa.RecordBatch.from_arrays([b.column(0), *cols, digest, text], ["ord", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *cols, digest, text], ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-_CUT = "ord long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+_CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, kept, under its ``ord``.
+def remove_repeats(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: n_bytes, n_removed, n_spans, kept_sha256, kept, and its own columns under ``row``.
+
+    ``row`` has the columns of ``carry`` (default: all but text).
 
     ``kept`` is the remaining text; where a removed run starts or ends inside
     a character, the cut character's leftover bytes are not in ``kept`` (they
@@ -299,14 +301,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     ship(spark)
     made: list[str] = []
-    docs = numbered(spark, docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or [c for c in docs.columns if c != "text"]]).alias("row")
+    kind = docs.select(row).schema["row"].dataType.simpleString()
+    docs = numbered(spark, docs.select(row, "doc_id", "text"))
     runs = removed_runs(spark, docs.select("ord", "text"), made)
     spans = runs.groupBy("ord").agg(F.collect_list(F.struct("s", "more")).alias("runs")).mapInArrow(_spans, "ord long, spans binary, bytes long")
     spans, _ = save(spark, spans, "op5-spans")
     drop(spark, *made)
-    return _with(spark, docs.select("ord", "text", "doc_id"), spans, "left").select(F.struct("ord", "doc_id").alias("k"), "text", "spans").mapInArrow(_cut, "k struct<ord: long, doc_id: long>" + _CUT.removeprefix("ord long"))
+    return _with(spark, docs.select("ord", "row", "text"), spans, "left").select("row", "text", "spans").mapInArrow(_cut, f"row {kind}, {_CUT}")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("k.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
