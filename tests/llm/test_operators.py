@@ -1,0 +1,271 @@
+"""Each corpus operator against brute force, and on odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tonearm.llm import bpe, bwt, components, minhash, ordering, packing, quality, spotsigs, substrings, toolcalls, toxicity, warc
+
+SCHEMA = "doc_id long, text string, lang string, hash string, row string"
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def words(n, seed=0):
+    r = random.Random(seed)
+    return [r.choice("the of and river stone cloud lamp window green slow house music tone paper".split()) + str(r.randint(0, 40)) for _ in range(n)]
+
+
+def corpus():
+    base = words(120)
+    out = [(i, " ".join(words(80, i + 1))) for i in range(12)]
+    out += [(20, " ".join(base)), (21, " ".join(base)), (22, " ".join(base[:-4] + ["x", "y", "z", "q"])), (23, " ".join(words(60, 99) + base[:60]))]
+    out += [(30, None), (31, ""), (32, "  \n "), (33, "One two"), (34, "one TWO"), (35, "é" * 300), (36, "a" * 400), (40, out[0][1]), (41, "x " * 3000)]
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "h", "r") for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, corpus()).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids, repeated rows and one id with two texts."""
+    same = " ".join(words(50, 7))
+    return frame(spark, [(None, same), (None, None), (1, same), (1, same), (1, "other " * 40), (2, None)])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def shingles(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_minhash(spark, docs):
+    rows = corpus()
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(d)
+    want = {d: (len(sets[i]), min(groups[root(i)])) for i, (d, _) in enumerate(rows)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.groups(spark, docs).collect()}
+    assert got == want
+    assert minhash.keep_one(spark, docs).count() == len({c for _, c in want.values()})
+
+
+def test_superminhash_estimates_jaccard():
+    r = np.random.default_rng(0)
+    a, b = r.integers(0, 2**63, 400).astype(np.uint64), r.integers(0, 2**63, 100).astype(np.uint64)
+    h = np.concatenate([np.sort(a), np.sort(np.concatenate([a[:300], b])), np.sort(a[:1])])
+    s = minhash.signatures(h, np.array([0, 400, 800, 801]))
+    assert abs((s[0] == s[1]).mean() - 0.6) < 0.15 and len(set(s[2].tolist())) == minhash.REGISTERS
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
+    got = {r["vertex"]: r["root"] for r in components.components(spark, edges)[0].collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
+
+
+def test_substrings(spark, docs):
+    seen, want = set(), {}
+    for d, t in sorted(corpus()):
+        data = (t or "").encode()
+        gone = np.zeros(len(data), bool)
+        for p in range(len(data) - 99):
+            gone[p : p + 100] |= data[p : p + 100] in seen
+            seen.add(data[p : p + 100])
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[d] = (len(data), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest())
+    got = {r["row"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(spark, docs).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 1000
+
+
+def test_hot_anchors_agree(spark, docs, monkeypatch):
+    want = sorted(map(str, substrings.remove_repeats(spark, docs).collect()))
+    monkeypatch.setattr(substrings, "HOT", 1)
+    assert sorted(map(str, substrings.remove_repeats(spark, docs).collect())) == want
+
+
+def test_bwt():
+    r = random.Random(3)
+    for _ in range(60):
+        s = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 8))) for _ in range(r.randint(1, 6))]
+        who, depth, lcp = bwt.collection(np.frombuffer(b"".join(s), np.uint8), np.cumsum([0, *map(len, s)]))
+        got = [(s[i][len(s[i]) - d :], int(i), int(d)) for i, d in zip(who, depth)]
+        assert got == sorted((x[len(x) - d :] if d else b"", i, d) for i, x in enumerate(s) for d in range(len(x) + 1))
+        for k in range(1, len(got)):
+            a, b = got[k - 1][0], got[k][0]
+            assert lcp[k] == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+
+
+def test_bpe_matches_tiktoken():
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(1)
+    texts = ["".join(r.choice("a b'sdtmlrev 19!?\n\té漢\U0001f600\x1c\0_") for _ in range(r.randint(0, 40))) for _ in range(500)]
+    texts += [None, "", " ", "\n\n x", "'s'll", " 's", "<|endoftext|>", "x" * 500]
+    cache = bpe.ids_cache(RANKS)
+    for t, parts in zip(texts, bpe.encode(texts, cache)):
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        assert ids.tolist() == enc.encode_ordinary(t or "")
+        assert bpe.decode(ids, bpe.vocabulary(RANKS)).decode() == (t or "")
+
+
+def test_packing(spark, docs):
+    tok = Tokenizer.from_file(JSON)
+    tok.encode_special_tokens = True
+    ids = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in corpus()}
+    rows = packing.pack(spark, docs, JSON).collect()
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["length"] == len(part) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+        by_doc.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d, x in ids.items():
+        assert sum(n for _, n in by_doc[d]) == len(x)
+    for parts in by_seq.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024
+
+
+def test_patterns_leave_little_padding():
+    r = np.random.default_rng(0)
+    pieces = [e - s for n in r.lognormal(7, 1, 3000).astype(int) + 1 for s, e in packing.cuts(int(n), 1024)]
+    tails = [p for p in pieces if p < 1024]
+    slots, used = packing.plan({int(k): int(v) for k, v in zip(*np.unique(pieces, return_counts=True))})
+    assert sum(b - a for _, a, b, _, _ in slots) == len(tails) and used * 1024 < 1.02 * sum(tails) + 1024
+
+
+def test_training_order(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    rows = ordering.materialise(spark, docs, JSON, folder, key=5, length=64).orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(len(rows)))
+    assert [r["slot"] for r in rows] == sorted(r["slot"] for r in rows)
+    counts = {}
+    for r in rows:
+        counts[r["shard"]] = counts.get(r["shard"], 0) + 1
+    got = ordering.read_from(folder, sorted(counts.items()), 3, 5, length=64)
+    for r, ids in zip(rows[3:8], got):
+        assert zlib.crc32(ids[: r["n_tokens"]].tobytes()) == r["ids_crc32"] and not ids[r["n_tokens"] :].any()
+
+
+@pytest.mark.parametrize("domain", [1, 2, 7, 1000, 4096, 99_991])
+def test_permutation(domain):
+    assert sorted(ordering.permute(np.arange(domain), domain, 9).tolist()) == list(range(domain))
+
+
+def test_spotsigs(spark, docs):
+    got = {r["doc_id"]: r for r in spotsigs.fingerprints(spark, docs).collect()}
+    rows = sorted(corpus(), reverse=True)
+    for k, (d, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + nxt[:cut]
+        a, b = (set(filter(None, got[x]["fingerprint"].split(","))) for x in (d, rows[(k + 1) % len(rows)][0]))
+        assert got[d]["n_chars"] == len(t) and got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[d]["near_next"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    assert got[20]["fingerprint"] == got[21]["fingerprint"]
+
+
+def test_quality(spark, docs):
+    got = {r["row"]["doc_id"]: r for r in quality.judge(docs, docs.where("doc_id < 10").select("doc_id")).collect()}
+    for d, t in corpus():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        at, cover = {}, set()
+        for p in range(len(w) - 4):
+            at.setdefault(tuple(w[p : p + 5]), []).append(p)
+        for v in at.values():
+            if len(v) > 1:
+                cover.update(i for p in v for i in range(p, p + 5))
+        r = got[d]
+        assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(cover))
+        assert r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
+
+
+def test_toxicity(spark):
+    r = random.Random(0)
+    rows = [(i, " ".join(words(60, i) + (["vilebad", "vilebad", "awful"] if i % 6 == 0 else []))) for i in range(400)]
+    docs = frame(spark, rows)
+    labels = docs.where("doc_id % 5 < 3").select("doc_id", (F.col("doc_id") % 6 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(spark, docs, labels)
+    got = {x["row"]["doc_id"]: x["predicted"] for x in toxicity.score(docs, model).collect()}
+    held = {x["doc_id"] for x in docs.where(toxicity.held_out(F.col("doc_id"))).collect()}
+    assert sum(got[i] == (i % 6 == 0) for i in held) >= 0.95 * len(held)
+    assert r and toxicity.fit(spark, docs, labels.limit(0)).score("vilebad") < 0.01
+
+
+def test_revisits(spark):
+    rows = [(1, "http://www.X.org/a/?b=2&a=1#f", 1, True, "e1"), (2, "https://x.org/a?a=1&b=2&utm_source=z", 5, False, "e1"), (3, "x.org:80/a?a=1&b=2", 9, False, "e2"), (4, "x.org/none", 9, False, "e"), (5, None, 1, True, "e"), (6, None, 2, False, "e"), (7, "http://x.org/a?a=1&b=2", 10, False, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, full boolean, etag string").withColumn("last_modified", F.lit(None).cast("string")).withColumn("digest", F.lit(None).cast("string")).withColumn("headers", F.create_map(F.lit("date"), F.col("record_id").cast("string"), F.lit("x"), F.col("record_id").cast("string")))
+    got = {r["record_id"]: (r["status"], r["source_id"], dict(r["headers"])) for r in warc.resolve(spark, df).collect()}
+    assert got[2] == ("resolved", 1, {"date": "2", "x": "1"})
+    assert [got[i][0] for i in (1, 3, 4, 5, 6, 7)] == ["full", "validator_mismatch", "no_response", "full", "no_response", "no_validator"]
+
+
+def test_toolcalls(spark):
+    calls = spark.createDataFrame(
+        [(1, 0, "a", "open", {"page": "3"}, []), (1, 2, "b", "open", {"page": '"3"'}, ["a"]), (1, 4, "c", "search", {"query": '"q"'}, ["d"]), (1, 6, "d", "search", {"query": '"q"'}, ["c"]), (1, 8, "a", "open", {"page": "4"}, []), (2, 0, None, "open", {}, []), (2, 1, "z", "no", {}, None)],
+        "conv_id long, turn long, call_id string, name string, arguments map<string,string>, refs array<string>",
+    )
+    results = spark.createDataFrame([(1, 1, "a", "ok"), (1, 3, "a", "late"), (3, 1, "a", "alone")], "conv_id long, turn long, call_id string, content string")
+    rows = toolcalls.link(spark, calls, results, toolcalls.SCHEMAS).collect()
+    got = sorted((r["conv_id"], r["call_id"] or "", r["status"], r["fault"] or "") for r in rows)
+    assert got == [(1, "a", "duplicate_call", ""), (1, "a", "linked", ""), (1, "b", "invalid", "type:page"), (1, "c", "cycle", ""), (1, "d", "cycle", ""), (2, "", "no_id", "missing:page"), (2, "z", "invalid", "unknown_tool"), (3, "a", "orphan_result", "")]
+    linked = next(r for r in rows if r["status"] == "linked")
+    assert linked["json"] == '{"arguments":{"page":3},"id":"a","name":"open"}' and linked["result"] == "ok"
+
+
+def run_all(spark, df, tmp_path):
+    labels = df.select("doc_id", F.lit(1).alias("toxic"))
+    return {
+        "minhash": minhash.groups(spark, df), "substrings": substrings.remove_repeats(spark, df), "packing": packing.pack(spark, df, JSON),
+        "spotsigs": spotsigs.fingerprints(spark, df), "quality": quality.judge(df, df.select("doc_id")), "bpe": bpe.encode_ids(df, RANKS),
+        "toxicity": toxicity.score(df, toxicity.fit(spark, df, labels)), "ordering": ordering.materialise(spark, df, JSON, f"file://{tmp_path}/s"),
+    }
+
+
+def test_odd_rows(spark, odd, tmp_path):
+    for name, out in run_all(spark, odd, tmp_path).items():
+        assert out.count() >= 6, name
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    for name, out in run_all(spark, empty, tmp_path).items():
+        assert out.count() == 0, name
+    calls, results = toolcalls.conversation_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert toolcalls.link(spark, calls, results, toolcalls.SCHEMAS).count() == 0
+    assert warc.resolve(spark, warc.page_records(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
