@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import music
 from ..operators import dedupe, evidence, library, organize, vectors
+from ..streaming import tracks as streaming
 from .views import TRACKS, table, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,3 +367,9 @@ def q_journal_tally(spark: SparkSession, d: str) -> DataFrame:
 @query("q_device_throughput", "SELECT event_type AS device, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def q_device_throughput(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("event_type").alias("device")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("q_stream_upsert", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/events.parquet"
+    return streaming.last_rows(spark, path, spark.read.parquet(path).schema, "user_id", "event_id").select("user_id", "event_id", "event_type")
