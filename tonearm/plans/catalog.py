@@ -372,4 +372,5 @@ def q_device_throughput(spark: SparkSession, d: str) -> DataFrame:
 @query("q_stream_upsert", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
-    return streaming.last_rows(spark, path, spark.read.parquet(path).schema, "user_id", "event_id").select("user_id", "event_id", "event_type")
+    # a stream takes one file only as a pattern
+    return streaming.last_rows(spark, path.replace("events", "event[s]"), spark.read.parquet(path).schema, "user_id", "event_id").select("user_id", "event_id", "event_type")
