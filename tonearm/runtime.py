@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Most bytes of rows in one Arrow batch; a longer single row is a batch of its own.
+ARROW_BYTES = 16 << 20
 _PACKAGE = Path(__file__).resolve().parent
 
 
@@ -20,6 +22,8 @@ def ship(spark: SparkSession) -> None:
     Functions that run in Python workers are pickled by reference, so each
     worker has to be able to import the package, wherever it runs.
     """
+    # batches of whole texts are held in a worker several times over while they are worked on
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_tonearm_shipped", False):
         return
