@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer single text is one block.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _M64 = (1 << 64) - 1

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import drop, save, ship
 
 #: Bounds of the training sample and of the model.
-POSITIVES, UNLABELLED, FEATURES = 4_000, 16_000, 4_096
+POSITIVES, UNLABELLED, FEATURES = 4_000, 10_000, 4_096
 #: Lengths of the word beginnings that are features besides whole words.
 STEMS = (4, 5, 6)
 #: A feature is in so many positives, and in this share of them, at least, and so many times as often there as in the unlabelled
@@ -142,7 +142,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     unl = ids.distinct().orderBy(by_hash, "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(0))
     chosen = F.broadcast(pos.union(unl))  # bounded by the two limits
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("positive", "text")
-    sets = sample.mapInArrow(_feature_sets, "positive int, features array<string>")
+    sets, path = save(spark, sample.mapInArrow(_feature_sets, "positive int, features array<string>"), "op2-sample")
     size = sets.groupBy().agg(F.sum("positive").alias("p"), F.count("*").alias("n")).first()
     n_p, n_u = size["p"] or 0, size["n"] - (size["p"] or 0)
     if not n_p or not n_u:
@@ -161,6 +161,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["positive", "features"])
 
     rows = sets.mapInArrow(known, "positive int, features array<int>").orderBy("positive", "features").collect()
+    drop(spark, path)
     parts = [[np.array(r["features"], np.int64) for r in rows if r["positive"] == k] for k in (1, 0)]
     w, b = train(*parts, len(names), prior)
     return Model(dict(zip(names, w.tolist(), strict=True)), b)
