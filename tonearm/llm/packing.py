@@ -26,11 +26,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import parallelism, save, ship
-from .bpe import Cache, encode, merge
+from .bpe import Cache, encode
 
 CAPACITY = 1024
 #: Id that ends every document.
@@ -51,7 +52,9 @@ def json_ranks(path: str) -> dict[bytes, int]:
     Its ids follow the order of merges, so they also rank the pairs.
     """
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        data = json.load(f)
+    special = {t["content"] for t in data.get("added_tokens", [])}
+    vocab = {w: i for w, i in data["model"]["vocab"].items() if w not in special}
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -60,8 +63,9 @@ def json_ranks(path: str) -> dict[bytes, int]:
 
 @functools.lru_cache(4)
 def json_cache(path: str) -> Cache:
-    ranks = json_ranks(path)
-    return Cache(lambda piece: np.array(merge(piece.encode(), ranks), "<u4").tobytes())
+    """Pieces to their ids as bytes; a piece not seen before is merged by the tiktoken library."""
+    core = tiktoken.Encoding("byte_bpe", pat_str=r"\S+|\s+", mergeable_ranks=json_ranks(path), special_tokens={})._core_bpe
+    return Cache(lambda piece: np.array(core.encode_single_piece(piece.encode()), "<u4").tobytes())
 
 
 def document_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
