@@ -58,3 +58,20 @@ def similarity(a: str, b: str) -> Column:
         return F.when((n >= OVERLAP) | ((shift == 0) & (n > 0)), 1 - bits / (32 * n))
 
     return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(-SHIFT), F.lit(SHIFT)), at)), F.lit(0.0))
+
+
+def rank_by_rules(members: DataFrame, group: str, rules: list[str]) -> DataFrame:
+    """``keeper_rank`` by the user's rules in their order; a missing value comes last, the row's ``ordinal`` decides ties."""
+    keys = {
+        "codec": [F.when(F.col("ext").isNull(), 999).otherwise(format_rank(F.col("ext")))], "bitrate": [F.desc_nulls_last("bitrate")], "size": [F.desc_nulls_last("size_bytes")],
+        "modified": [F.desc_nulls_last("modified")], "shortest_path": [F.asc_nulls_last(F.size(F.split("path", r"[/\\]"))), F.length("path")],
+    }
+    order = [k for r in rules for k in keys[r]]
+    return members.withColumn("keeper_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order, "ordinal")))
+
+
+def planned(groups: DataFrame) -> DataFrame:
+    """Rows to remove, each once: of (path, phase, keeper) all but keepers of any group, the earliest phase first."""
+    keepers = groups.where("keeper").select("path").distinct()
+    left = groups.where("not keeper").join(keepers, "path", "left_anti")
+    return left.groupBy("path").agg(F.min("phase").alias("phase"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import music
-from ..operators import dedupe, evidence, library, organize, vectors
+from ..operators import dedupe, evidence, gates, library, organize, vectors
 from ..streaming import tracks as streaming
 from .views import TRACKS, table, tracks
 
@@ -374,3 +374,38 @@ def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     # a stream takes one file only as a pattern
     return streaming.last_rows(spark, path.replace("events", "event[s]"), spark.read.parquet(path).schema, "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("q_keeper_rules", f"""{_T}, g AS (SELECT track_id, path, track_id // 10 AS grp, CASE ext WHEN 'flac' THEN 1 WHEN 'wav' THEN 2 WHEN 'm4a' THEN 4 ELSE 5 END AS f, CASE WHEN size_bytes % 5 = 0 THEN NULL ELSE size_bytes END AS size_bytes, modified FROM tracks)
+SELECT track_id, row_number() OVER (PARTITION BY grp ORDER BY size_bytes DESC NULLS LAST, f, modified DESC NULLS LAST, track_id) AS keeper_rank FROM g""")
+def q_keeper_rules(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("track_id", "path", "ext", "modified", F.when(F.col("size_bytes") % 5 != 0, F.col("size_bytes")).alias("size_bytes"), F.floor(F.col("track_id") / 10).alias("grp"), F.col("track_id").alias("ordinal"))
+    return dedupe.rank_by_rules(t, "grp", ["size", "codec", "modified"]).select("track_id", "keeper_rank")
+
+
+@query("q_planned_duplicates", """WITH g AS (SELECT doc_id AS path, 1 AS phase, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1 AS keeper, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents),
+h AS (SELECT doc_id AS path, 2 AS phase, row_number() OVER (PARTITION BY substr(text, 1, 20) ORDER BY doc_id) = 1 AS keeper, count(*) OVER (PARTITION BY substr(text, 1, 20)) AS n FROM documents),
+u AS (SELECT * FROM g WHERE n > 1 UNION ALL SELECT * FROM h WHERE n > 1) SELECT path, min(phase) AS phase FROM u WHERE NOT keeper AND path NOT IN (SELECT path FROM u WHERE keeper) GROUP BY path""")
+def q_planned_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    both = [(1, "text"), (2, F.substring("text", 1, 20))]
+    parts = [dedupe.exact_groups(docs, c, "doc_id").select(F.col("doc_id").alias("path"), F.lit(p).alias("phase"), (F.col("pos") == 1).alias("keeper")) for p, c in both]
+    return dedupe.planned(parts[0].union(parts[1]))
+
+
+@query("q_gold_gate", """WITH e AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'brand' WHEN 1 THEN 'price' ELSE 'size' END AS field FROM part WHERE p_partkey <= 300)
+SELECT e.k, e.field, CASE WHEN e.k % 50 = 0 THEN 'missing' WHEN field = 'brand' THEN CASE WHEN p_brand = 'Brand#11' THEN NULL ELSE 'expect' END WHEN field = 'price' THEN CASE WHEN abs(p_retailprice - 1000) <= 300 THEN NULL ELSE 'close' END ELSE CASE WHEN p_size >= 20 THEN NULL ELSE 'min' END END AS failure
+FROM e JOIN part ON p_partkey = e.k""")
+def q_gold_gate(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").where("p_partkey <= 300").withColumn("k", F.col("p_partkey"))
+    m = F.col("k") % 3
+    field = F.when(m == 0, "brand").when(m == 1, "price").otherwise("size")
+    e = p.select("k", field.alias("field"), F.when(m == 0, "expect").when(m == 1, "close").otherwise("min").alias("kind"), F.when(m == 0, "Brand#11").when(m == 1, "1000").otherwise("20").alias("value"), F.lit(300.0).alias("tol"))
+    got = p.where("k % 50 <> 0").select("k", F.explode(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("price"), F.col("p_retailprice").cast("string"), F.lit("size"), F.col("p_size").cast("string"))).alias("field", "value"))
+    return gates.check(e, got, "k")
+
+
+@query("q_folder_hist", f"{_T}, t AS (SELECT CASE WHEN ml_subgenre IS NOT NULL THEN ml_genre || '/' || ml_subgenre ELSE ml_genre END AS folder FROM tracks) SELECT folder, count(*) AS n FROM t GROUP BY folder")
+def q_folder_hist(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d).select("track_id", "path", F.col("ml_genre").alias("genre"), F.col("ml_subgenre").alias("subgenre"), F.substring_index("path", "/", -1).alias("filename"))
+    return organize.plan(t, spark.createDataFrame([], "folder string, n long"), 1).groupBy("folder").agg(F.count("*").alias("n"))
