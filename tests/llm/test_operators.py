@@ -249,6 +249,30 @@ def test_toolcalls(spark):
     assert linked["json"] == '{"arguments":{"page":3},"id":"a","name":"open"}' and linked["result"] == "ok"
 
 
+def test_toolcall_chain_of_200(spark):
+    calls = spark.range(200).selectExpr("1L conv_id", "2 * id turn", "concat('c', 2 * id) call_id", "'search' name", "map('query', '\"q\"') arguments", "array(concat('c', 2 * id - 2)) refs")
+    results = calls.where("turn < 300").selectExpr("conv_id", "turn + 1 turn", "call_id", "'ok' content")
+    got = {r["call_id"]: (r["level"], r["status"]) for r in toolcalls.link(spark, calls, results, toolcalls.SCHEMAS).collect()}
+    assert got == {f"c{2 * i}": (i, "linked" if i < 150 else "no_result") for i in range(200)}
+
+
+def test_toolcall_levels(spark):
+    """Random references to earlier calls, and rings of 3 and 1 with calls behind them, in two conversations."""
+    r = random.Random(4)
+    refs = {f"a{i:02}": [f"a{j:02}" for j in range(i) if r.random() < (0.08 if i % 3 else 0)] + (["x9"] if i == 30 else []) for i in range(60)}
+    refs |= {f"b{i:03}": [f"b{i - 1:03}", "a40"] if i else ["gone"] for i in range(80)}
+    refs |= {"x1": ["x2"], "x2": ["x3"], "x3": ["x1", "a05"], "x9": ["x1"], "y1": ["y1", "a59"]}
+    level = {}
+    while True:
+        new = {c: 1 + max((level[t] for t in to), default=-1) for c, to in ((c, [t for t in to if t in refs]) for c, to in refs.items() if c not in level) if all(t in level for t in to)}
+        if not new:
+            break
+        level |= new
+    rows = [(k, c, to) for k in (1, 2) for c, to in refs.items()]
+    got = {(x["conv_id"], x["call_id"]): x["level"] for x in toolcalls.levels(spark, spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")).collect()}
+    assert got == {(k, c): n for k in (1, 2) for c, n in level.items()} and "a30" not in level
+
+
 def run_all(spark, df, tmp_path):
     labels = df.select("doc_id", F.lit(1).alias("toxic"))
     return {

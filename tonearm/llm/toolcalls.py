@@ -7,8 +7,8 @@ are serialised as canonical JSON: keys sorted, no spaces, strings escaped.
 
 References form a graph inside a conversation. A call's level is one more than
 the highest level it refers to; levels are found by rounds of joins over the
-calls that still wait, so a round touches only those. What never becomes free
-is in a cycle.
+calls that still wait, so a round touches only those. Depth has no limit: what
+waits when a round frees nothing is in a cycle or refers to one.
 
 Defined cases: null identifiers link nothing; repeated identifiers link the
 first result (lowest turn) to the first call, further calls are
@@ -22,10 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import save
-
-#: Rounds of the topological order; longer chains end as ``cycle``.
-MAX_DEPTH = 64
+from ..runtime import drop, new_path
 
 
 def canonical(arguments: Column) -> Column:
@@ -68,26 +65,58 @@ def validate(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
 
 
 def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls with ``refs array<string>``; no row for calls in a cycle."""
+    """(conv_id, call_id, level) of calls with ``refs array<string>``; no row for calls in a cycle.
+
+    A waiting call has edges (to, steps) and the least level it has by those
+    that are gone. Where a call that it refers to has one edge left, the edge
+    goes on to where that one leads, so a chain takes rounds by the logarithm
+    of its length. Of calls in no cycle some become free in every round.
+    """
     base = calls.select("conv_id", "call_id", "refs")
     known = base.select("conv_id", "call_id").distinct()
     edges = base.select("conv_id", "call_id", F.explode("refs").alias("to")).where("`to` is not null").distinct()
     edges = edges.join(known.withColumnRenamed("call_id", "to"), ["conv_id", "to"], "left_semi")
-    edges, _ = save(spark, edges, "op9-edges")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    done = known.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    done, _ = save(spark, done, "op9-level")
-    for depth in range(1, MAX_DEPTH):
-        if edges.isEmpty():
+    edges = edges.groupBy("conv_id", "call_id").agg(F.collect_list(F.struct("to", F.lit(1).cast("bigint").alias("steps"))).alias("edges"))
+    none = F.array().cast(edges.schema["edges"].dataType)
+    state = known.join(edges, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.lit(0).cast("bigint").alias("level"), F.coalesce("edges", none).alias("edges"))
+    free, before = [], None
+    while True:
+        path = new_path(spark, "op9-level")
+        state = state.withColumn("open", F.size("edges") > 0)
+        state.write.partitionBy("open").parquet(path)
+        state = spark.read.schema(state.schema).parquet(path)
+        if before:
+            drop(spark, f"{before}/open=true")
+        n = state.agg(F.count_if(~F.col("open")).alias("free"), F.count_if("open").alias("waiting")).first()
+        if n["free"]:
+            free.append(f"{path}/open=false")
+        if not n["free"] or not n["waiting"]:
             break
-        free = edges.join(done.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
-        ready = free.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").select("conv_id", "call_id")
-        ready, _ = save(spark, ready.withColumn("level", F.lit(depth)), "op9-level")
-        if ready.isEmpty():
-            break
-        done, _ = save(spark, done.union(ready), "op9-level")
-        edges, _ = save(spark, edges.join(ready, ["conv_id", "call_id"], "left_anti"), "op9-edges")
-    return done
+        state, before = _round(state), path
+    done = spark.read.schema(state.drop("open").schema).parquet(*free) if free else state.limit(0)
+    return done.select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
+
+
+def _round(state: DataFrame) -> DataFrame:
+    """Waiting calls after their edges went on by one hop over calls with one edge, and then to calls just freed."""
+    edges = state.where("open").select("conv_id", "call_id", "level", F.explode("edges").alias("e")).select("conv_id", "call_id", "level", "e.*")
+    one = state.where("open and size(edges) = 1").select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l"), F.col("edges")[0].alias("_e"))
+    hop = edges.join(one, ["conv_id", "to"], "left").select(
+        "conv_id", "call_id", F.greatest("level", capped(F.col("_l") + F.col("steps"))).alias("level"),
+        F.coalesce("_e.to", "to").alias("to"), capped(F.col("steps") + F.coalesce("_e.steps", F.lit(0))).alias("steps"),
+    )
+    now = state.where("not open").select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l"))
+    hop = hop.join(now, ["conv_id", "to"], "left").withColumn("level", F.greatest("level", capped(F.col("_l") + F.col("steps"))))
+    left = F.array_sort(F.collect_list(F.when(F.col("_l").isNull(), F.struct("to", "steps"))))
+    out = hop.groupBy("conv_id", "call_id").agg(F.max("level").alias("level"), left.alias("edges"))
+    # of edges to the same call the longest
+    last = lambda e, i: F.coalesce(F.get("edges", i + 1)["to"] != e["to"], F.lit(True))
+    return out.withColumn("edges", F.filter("edges", last))
+
+
+def capped(steps: Column) -> Column:
+    """Only ways round a cycle get as long as this, and would double in each round."""
+    return F.when(steps > 1 << 40, F.lit(1 << 40)).otherwise(steps)
 
 
 def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
