@@ -1,5 +1,6 @@
 """Cases of the scalar functions and table operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,22 @@ def test_knn(spark):
     ref = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [0.0, 1.0]), (3, "z", [0.0, 0.0])], "ref_id int, label string, emb array<double>")
     q = spark.createDataFrame([(10, [0.9, 0.1]), (11, [0.0, 0.0])], "query_id int, emb array<double>")
     assert [tuple(r) for r in vectors.predict(vectors.knn_votes(q, ref)).collect()] == [(10, "a")]
+
+
+def test_knn_of_many_references(spark):
+    """More references than one block or a broadcast holds, against brute force."""
+    n = 200_100
+    e = spark.range(n).selectExpr("id ref_id", "concat('l', id % 7) label", "array(cos(id * 0.37), sin(id * 0.37), id % 1000 / 1000) emb")
+    votes = vectors.knn_votes(e.where("ref_id % 66700 = 0").withColumnRenamed("ref_id", "query_id"), e, 5).collect()
+    i = np.arange(n)
+    x = np.stack([np.cos(i * 0.37), np.sin(i * 0.37), i % 1000 / 1000], 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, n, 66700):
+        sim = x @ x[q]
+        sim[q] = -2
+        near = np.argsort(-sim, kind="stable")[:5]
+        w = 1 / np.maximum(1 - sim[near], 1e-6)
+        for r, v in zip(near, w):
+            want[q, f"l{r % 7}"] = want.get((q, f"l{r % 7}"), 0) + v / w.sum()
+    assert {(v["query_id"], v["label"]): v["share"] for v in votes} == pytest.approx(want, rel=1e-3)

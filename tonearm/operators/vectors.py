@@ -10,22 +10,29 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-#: References up to this many are broadcast to the queries; more are refused, as each query meets all of them.
-MAX_REFERENCES = 200_000
+#: References in a block. Each query meets a block as one row, and only its nearest of each block go on.
+BLOCK = 1024
 
 
 def knn_votes(queries: DataFrame, reference: DataFrame, k: int = 15) -> DataFrame:
     """(query_id, label, share): the k nearest by cosine vote with weight 1 / max(1 - cosine, 1e-6).
 
-    ``queries`` is a stated set; ``reference`` a bounded model.
+    ``queries`` is a stated set; each of them meets all of ``reference``,
+    block by block, whatever its size.
     """
     unit = lambda df: df.withColumn("norm", F.sqrt(dot("emb", "emb"))).where("norm > 0")
-    if reference.limit(MAX_REFERENCES + 1).count() > MAX_REFERENCES:
-        raise ValueError("the reference set is too large to be met as a whole")
-    q, r = unit(queries), unit(reference)
-    pairs = q.select("query_id", F.col("emb").alias("x"), F.col("norm").alias("nx")).join(F.broadcast(r.select("ref_id", "label", F.col("emb").alias("y"), F.col("norm").alias("ny"))), F.col("query_id") != F.col("ref_id"))
-    pairs = pairs.select("query_id", "ref_id", "label", (dot("x", "y") / (F.col("nx") * F.col("ny"))).alias("sim"))
-    near = pairs.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id"))).where(F.col("pos") <= k)
+    q, r = unit(queries), unit(reference.where("ref_id is not null"))
+    blocks = max(1, -(-reference.count() // BLOCK))
+    # small in bytes, not in work: by number, so that they aren't coalesced into one task
+    parts = min(blocks, 1000)
+    r = r.withColumn("block", F.pmod(F.xxhash64("ref_id"), F.lit(blocks).cast("bigint"))).repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("ref_id", "label", F.col("emb").alias("y"), F.col("norm").alias("ny"))).alias("refs"))
+    q = q.select("query_id", F.col("emb").alias("x"), F.col("norm").alias("nx"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block")).repartition(parts, "block")
+    others = F.filter("refs", lambda e: e["ref_id"] != F.col("query_id"))
+    sims = F.transform(others, lambda e: F.struct((dot(F.col("x"), e["y"]) / (F.col("nx") * e["ny"])).alias("sim"), e["ref_id"].alias("ref_id"), e["label"].alias("label")))
+    # null similarities come last
+    ranked = F.array_sort(F.transform(sims, lambda e: F.struct(e["sim"].isNull().alias("none"), (-e["sim"]).alias("far"), e["ref_id"].alias("ref_id"), e["label"].alias("label"))))
+    near = q.join(r, "block").select("query_id", F.explode(F.slice(ranked, 1, k)).alias("e")).select("query_id", (-F.col("e.far")).alias("sim"), "e.ref_id", "e.label")
+    near = near.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "ref_id"))).where(F.col("pos") <= k)
     votes = near.groupBy("query_id", "label").agg(F.sum(1 / F.greatest(1 - F.col("sim"), F.lit(1e-6))).alias("w"), F.min("pos").alias("first"))
     return votes.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("query_id")))
 
