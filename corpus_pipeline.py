@@ -53,7 +53,7 @@ STAGES = [
     ("repeats", repeats_stage),
     ("packing", packing_stage),
 ]
-#: Signatures, trained scores and tokens can't be had in SQL; the tests compare each stage with brute force.
+#: Signatures, trained scores and tokens can't be had in SQL; the tests compare the stages' operators, not the whole run.
 ORACLE_SQL = None
 
 
