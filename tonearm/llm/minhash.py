@@ -38,6 +38,8 @@ WORDS, REGISTERS, BANDS = 5, 128, 32
 PERCENT = 75
 #: Buckets up to this size compare all their members; larger ones use leaders.
 SMALL = 8
+#: A member meets the leaders of its so many largest buckets; what they leave open is compared in full.
+LED = 6
 #: Estimates below this similarity (five standard deviations under the
 #: threshold with 128 registers) are not confirmed.
 FLOOR = 0.56
@@ -265,11 +267,12 @@ def _rest(spark: SparkSession, docs: DataFrame, reps: DataFrame, large: DataFram
     components, block by block; each block's members are stored once, and only
     links that join two components come out.
     """
-    rows = large.select("key", "band", "cid").join(roots.select(F.col("vertex").alias("cid"), "root"), "cid", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "cid")).join(reps.select("cid", "sig", "n_shingles"), "cid")
+    members = large.select("cid", "buckets").join(roots.select(F.col("vertex").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    members = members.join(reps.select("cid", "n_shingles"), "cid")
+    rows = members.select("cid", "root", "n_shingles", F.explode("buckets").alias("b")).select("cid", "root", "n_shingles", "b.key", "b.band")
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.sum("size").alias("size"))
-    rows, p = save(spark, rows.join(main.where("parts > 1").drop("parts"), "key"), "op7-open")
+    rows, p = save(spark, rows.join(main.where("parts > 1").drop("parts"), "key").join(reps.select("cid", "sig"), "cid"), "op7-open")
     made.append(p)
     if rows.isEmpty():
         return rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
@@ -295,11 +298,14 @@ def links(spark: SparkSession, docs: DataFrame, signed: DataFrame, made: list[st
     counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("n > 1")
     shared, p = save(spark, rows.join(counts, "key"), "op7-buckets")
     made.append(p)
-    large = shared.where(F.col("n") > SMALL)
+    # one row per class in large buckets, with its at most BANDS buckets, the largest first
+    bucket = F.struct("n", "key", "band", "lo", "hi")
+    large, p = save(spark, shared.where(F.col("n") > SMALL).groupBy("cid").agg(F.sum("n").alias("weight"), F.sort_array(F.collect_list(bucket), False).alias("buckets")), "op7-large")
+    made.append(p)
     # the member that is in the most and largest buckets is near the middle of its group
-    weight = large.groupBy("cid").agg(F.sum("n").alias("weight"))
-    middle = large.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("mid"))
-    star = large.join(middle, "key").select("cid", F.explode(F.array("lo", "hi", "mid")).alias("y")).where("cid <> y")
+    led = large.select("cid", "weight", F.explode(F.slice("buckets", 1, LED)).alias("b")).select("cid", "weight", "b.key", "b.lo", "b.hi")
+    middle = led.groupBy("key").agg(F.max(F.struct("weight", "cid"))["cid"].alias("mid"))
+    star = led.join(middle, "key").select("cid", F.explode(F.array("lo", "hi", "mid")).alias("y")).where("cid <> y")
     pairs = _small_pairs(shared.where(F.col("n") <= SMALL)).union(star.select(*_pair("cid", "y"))).distinct()
     likely, p = save(spark, _likely(pairs, reps), "op7-likely")
     made.append(p)
@@ -331,13 +337,17 @@ def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` without all but one document of each group of near-duplicates."""
+    """``docs`` without all but one document of each group of near-duplicates.
+
+    Documents without words all stay; of rows with equal id and text one
+    stays; other columns keep whatever names they have.
+    """
     found, _ = save(spark, groups(spark, docs).where("kept").groupBy("doc_id", "hash").agg(F.count("*").alias("n")), "op7-kept")
     size = found.agg(F.count("*").alias("rows"), F.max("n").alias("most")).first()
-    keys = found.select(F.col("doc_id").alias("_d"), F.col("hash").alias("_h"))
-    keys = F.broadcast(keys) if size["rows"] <= BROADCAST_ROWS else keys
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_h"))
-    out = docs.join(keys, same, "left_semi")
+    keys = found.select("doc_id", "hash")
+    keys = (F.broadcast(keys) if size["rows"] <= BROADCAST_ROWS else keys).alias("kept_keys")
+    same = F.col("kept_docs.doc_id").cast("long").eqNullSafe(F.col("kept_keys.doc_id")) & (F.xxhash64(F.col("kept_docs.text").cast("string")) == F.col("kept_keys.hash"))
+    out = docs.alias("kept_docs").join(keys, same, "left_semi")
     # only where whole rows repeat is there anything left to drop
     return out.dropDuplicates(["doc_id", "text"]) if (size["most"] or 0) > 1 else out
 
