@@ -18,19 +18,16 @@ import functools
 import hashlib
 import heapq
 import sys
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-# Code points with the Unicode property White_Space.
-WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
 LETTER, NUMBER, OTHER, SPACE, END = 0, 1, 2, 3, 4
 # what the scan reads: a class, sometimes with what follows it
 S_LETTER, S_NUMBER, S_OTHER, S_SPACE, S_LEAD, S_LAST, S_CUT1, S_CUT2, S_END = range(9)
@@ -54,10 +51,17 @@ _SPAN = 128
 
 @functools.lru_cache(1)
 def _classes() -> np.ndarray:
-    """The class of every code point."""
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.array([kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
-    out[[ord(c) for c in WHITE_SPACE]] = SPACE
+    """The class of every code point, in the Unicode version of the tiktoken library.
+
+    With single bytes as ids, encoding all code points under the pattern of
+    one class leaves the bytes of that class's members.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        members = bytes(only.encode_ordinary(every)).decode().encode("utf-32-le")
+        out[np.frombuffer(members, "<u4")] = kind
     return out
 
 

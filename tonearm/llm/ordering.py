@@ -15,8 +15,9 @@ depend on the data and the key alone, so a repeated task replaces equal bytes.
 
 Defined cases: null and empty texts are one sequence with the end id only;
 equal rows (id and text) share a slot and lie next to each other; null ids
-come first in the numbering; an empty table writes no shards; ids must fit
-16 bits; other columns are ignored.
+come first in the numbering; ids far apart (hashed ones) are numbered without
+gaps first; an empty table writes no shards; token ids must be below 65,535, the
+padding; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import new_path, parallelism, save, ship
@@ -38,12 +39,18 @@ from .packing import document_ids
 from .substrings import numbered
 
 LENGTH, ROUNDS = 512, 6
-#: Fills a record after its last id.
-PAD_ID = 0
+#: Fills a record after its last id; no token has it, so a record alone tells its length.
+PAD_ID = 0xFFFF
+#: Largest number of positions that the permutation's 64-bit arithmetic holds.
+MOST_POSITIONS = 1 << 62
+#: Most records of a shard, nearly.
+SHARD_RECORDS = 1 << 20
 
 
 def permute(index: np.ndarray, domain: int, key: int) -> np.ndarray:
     """A keyed permutation of 0..domain-1, applied to ``index``."""
+    if domain > MOST_POSITIONS:
+        raise ValueError(f"a domain of {domain} positions does not fit 64 bits")
     half = max(1, (max(domain - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     keys = mix(np.uint64(key & (1 << 64) - 1) + np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -69,8 +76,8 @@ def _sequences(path: str, length: int, most: int, first: int, domain: int, key:
             for ordinal, doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), document_ids(b.column(2).to_pylist(), path), strict=True):
                 ids = np.frombuffer(data, "<u4")
                 short = ids.astype("<u2")
-                if (short != ids).any():
-                    raise ValueError("an id does not fit 16 bits")
+                if (ids >= PAD_ID).any():
+                    raise ValueError("an id does not fit 16 bits, or is the padding's")
                 for k, s in enumerate(range(0, len(ids), length)):
                     rows.append((doc, k, (ordinal - first) * most + k, short[s : s + length].tobytes()))
             slots = permute(np.array([r[2] for r in rows], np.int64), domain, key)
@@ -108,6 +115,26 @@ def _write(folder: str, length: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+def dense(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with ``ord`` replaced by 0, 1, ... in its order, equal ones sharing a number; and how many there are.
+
+    Ranges of ``ord`` are counted (one row per range), and numbered inside.
+    """
+    keys = docs.select("ord").distinct()
+    many = parallelism(spark)
+    cuts = keys.agg(F.percentile_approx("ord", [i / many for i in range(1, many)], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    keys = keys.withColumn("_r", F.size(F.filter(bounds, lambda b: b <= F.col("ord"))))
+    start, before = 0, []
+    for r in keys.groupBy("_r").count().orderBy("_r").collect():
+        before.append((r["_r"], start))
+        start += r["count"]
+    table = F.broadcast(spark.createDataFrame(before or [(0, 0)], "_r int, _before long"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("_r").orderBy("ord")) - 1 + F.col("_before")
+    keys, _ = save(spark, keys.join(table, "_r").select("ord", place.cast("long").alias("_place")), "op1-places")
+    return docs.join(keys, "ord").withColumn("ord", F.col("_place")).drop("_place"), start
+
+
 def materialise(spark: SparkSession, docs: DataFrame, path: str, folder: str, key: int = 0, length: int = LENGTH) -> DataFrame:
     """Write the shards under ``folder`` and return their manifest, a row per sequence.
 
@@ -116,16 +143,20 @@ def materialise(spark: SparkSession, docs: DataFrame, path: str, folder: str, ke
     """
     ship(spark)
     docs = numbered(spark, docs)
-    size = docs.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.max(F.octet_length("text")).alias("bytes")).first()
+    size = docs.agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.max(F.octet_length("text")).alias("longest"), F.sum(F.octet_length("text")).alias("bytes")).first()
     # a document has at most one id for each byte, and the end id
-    most = ((size["bytes"] or 0) + length) // length + 1
-    first = size["lo"] or 0
-    domain = ((size["hi"] or 0) - first + 1) * most
+    most = ((size["longest"] or 0) + length) // length + 1
+    first, span = size["lo"] or 0, (size["hi"] or 0) - (size["lo"] or 0) + 1
+    if span * most > MOST_POSITIONS:
+        # numbers far apart, as hashed ids are: documents are numbered without gaps
+        docs, span = dense(spark, docs)
+        first = 0
+    domain = span * most
     made = docs.select("ord", "doc_id", "text").mapInArrow(_sequences(path, length, most, first, domain, key), "doc_id long, window long, slot long, ids binary")
     # slots are uniform in the domain, so equal ranges need no sampling pass over the tokens
-    n = parallelism(spark)
+    n = max(parallelism(spark), (size["bytes"] or 0) // (length * SHARD_RECORDS))
     width = -(-domain // n)
-    dealt = made.withColumn("_r", F.floor(F.col("slot") / width).cast("int")).repartitionById(n, "_r").drop("_r")
+    dealt = made.withColumn("_r", F.expr(f"cast(slot div {width} as int)")).repartitionById(n, "_r").drop("_r")
     kind = "doc_id long, window long, slot long, shard long, record long, n_tokens long, ids_crc32 long"
     rows, _ = save(spark, dealt.sortWithinPartitions("slot", "doc_id", "window").mapInArrow(_write(folder, length), kind), "op1-manifest")
     # one row per shard

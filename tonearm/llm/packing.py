@@ -14,13 +14,15 @@ offset plus the rank in it), so that one very common length is not one task.
 
 Defined cases: null and empty texts are the single id 0; repeated rows are
 packed each; a null doc_id is packed like any other; an empty table gives no
-rows; strings of special tokens are ordinary text; other columns are ignored.
+rows; a special token's string in a text becomes its id, as in the tokenizers
+library; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -53,8 +55,8 @@ def json_ranks(path: str) -> dict[bytes, int]:
     """
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    special = {t["content"] for t in data.get("added_tokens", [])}
-    vocab = {w: i for w, i in data["model"]["vocab"].items() if w not in special}
+    added = {t["content"] for t in data.get("added_tokens", [])}
+    vocab = {w: i for w, i in data["model"]["vocab"].items() if w not in added}
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -68,10 +70,35 @@ def json_cache(path: str) -> Cache:
     return Cache(lambda piece: np.array(core.encode_single_piece(piece.encode()), "<u4").tobytes())
 
 
+@functools.lru_cache(4)
+def json_marks(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """Pattern and ids (as bytes) of the strings that the file adds to its vocabulary.
+
+    They are found in a text before it is split, the longest first.
+    """
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("an added token takes or needs its surroundings")
+    ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+    return (re.compile("|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None), ids
+
+
 def document_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Each text's ids, with the end id, as little-endian unsigned 32-bit integers."""
+    """Each text's ids as the tokenizer gives them, with the end id, as little-endian unsigned 32-bit integers."""
     end = np.array([END_ID], "<u4").tobytes()
-    for parts in encode(texts, json_cache(path)):
+    pattern, ids = json_marks(path)
+    runs: list[list[str]] = []  # what lies between the marks of each text
+    marks: list[list[str]] = []
+    for t in texts:
+        found = pattern.findall(t) if pattern and t else []
+        runs.append(pattern.split(t) if found else [t or ""])
+        marks.append(found)
+    made = encode((x for r in runs for x in r), json_cache(path))
+    for found in marks:
+        parts = list(next(made))
+        for m in found:
+            parts += [ids[m], *next(made)]
         parts.append(end)
         yield b"".join(parts)
 
