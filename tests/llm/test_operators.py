@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, and on odd tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -28,7 +29,7 @@ def corpus():
     base = words(120)
     out = [(i, " ".join(words(80, i + 1))) for i in range(12)]
     out += [(20, " ".join(base)), (21, " ".join(base)), (22, " ".join(base[:-4] + ["x", "y", "z", "q"])), (23, " ".join(words(60, 99) + base[:60]))]
-    out += [(30, None), (31, ""), (32, "  \n "), (33, "One two"), (34, "one TWO"), (35, "é" * 300), (36, "a" * 400), (40, out[0][1]), (41, "x " * 3000)]
+    out += [(30, None), (31, ""), (32, "  \n "), (33, "One two"), (34, "one TWO"), (35, "é" * 300), (36, "a" * 400), (40, out[0][1]), (41, "x " * 3000), (42, "hi <|endoftext|> you<|endoftext|><|endoftext|>")]
     return out
 
 
@@ -115,6 +116,14 @@ def test_hot_anchors_agree(spark, docs, monkeypatch):
     assert sorted(map(str, substrings.remove_repeats(spark, docs).collect())) == want
 
 
+def test_substrings_without_broadcasts(spark, docs, monkeypatch):
+    want = sorted(map(str, substrings.remove_repeats(spark, docs).collect()))
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, substrings.remove_repeats(spark, docs).collect())) == want
+    assert minhash.keep_one(spark, docs.withColumn("_d", F.lit(1)).withColumn("kept", F.lit(1))).count() == len(corpus()) - 4
+
+
 def test_bwt():
     r = random.Random(3)
     for _ in range(60):
@@ -140,9 +149,28 @@ def test_bpe_matches_tiktoken():
         assert bpe.decode(ids, bpe.vocabulary(RANKS)).decode() == (t or "")
 
 
+def test_bpe_on_every_code_point():
+    ranks = bpe.load_ranks(RANKS)
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}'s" for c in every[k : k + 4096]) for k in range(0, len(every), 4096)]
+    cache = bpe.ids_cache(RANKS)
+    for t, parts in zip(texts, bpe.encode(texts, cache)):
+        assert b"".join(parts) == np.array(enc.encode_ordinary(t), "<u4").tobytes()
+
+
+def test_bpe_round_trip(spark, docs):
+    ids = bpe.encode_ids(docs, RANKS)
+    back = {r["doc_id"]: r["text"] for r in bpe.decode_ids(ids, RANKS).collect()}
+    assert back == {d: t or "" for d, t in corpus()}
+    for r in ids.collect():
+        data, at = back[r["doc_id"]].encode(), [*r["byte_offsets"], None]
+        vocab = bpe.vocabulary(RANKS)
+        assert [data[a:b] for a, b in zip(at, at[1:])] == [vocab[i] for i in r["ids"]]
+
+
 def test_packing(spark, docs):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     ids = {d: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in corpus()}
     rows = packing.pack(spark, docs, JSON).collect()
     by_doc, by_seq = {}, {}
@@ -170,17 +198,31 @@ def test_patterns_leave_little_padding():
     assert sum(b - a for _, a, b, _, _ in slots) == len(tails) and used * 1024 < 1.02 * sum(tails) + 1024
 
 
-def test_training_order(spark, docs, tmp_path):
+@pytest.mark.parametrize("spread", [1, 2**58 + 1])
+def test_training_order(spark, docs, tmp_path, spread):
+    """Every record's ids are the tokenizer's; ids far apart, as hashes are, don't overflow."""
     folder = f"file://{tmp_path}/shards"
-    rows = ordering.materialise(spark, docs, JSON, folder, key=5, length=64).orderBy("place").collect()
+    far = docs.withColumn("doc_id", (F.col("doc_id") - 20) * F.lit(spread))
+    rows = ordering.materialise(spark, far, JSON, folder, key=5, length=64).orderBy("place").collect()
     assert [r["place"] for r in rows] == list(range(len(rows)))
-    assert [r["slot"] for r in rows] == sorted(r["slot"] for r in rows)
+    assert len({r["slot"] for r in rows}) == len(rows) and [r["slot"] for r in rows] == sorted(r["slot"] for r in rows)
     counts = {}
     for r in rows:
         counts[r["shard"]] = counts.get(r["shard"], 0) + 1
-    got = ordering.read_from(folder, sorted(counts.items()), 3, 5, length=64)
-    for r, ids in zip(rows[3:8], got):
-        assert zlib.crc32(ids[: r["n_tokens"]].tobytes()) == r["ids_crc32"] and not ids[r["n_tokens"] :].any()
+    tok = Tokenizer.from_file(JSON)
+    ids = {(d - 20) * spread: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for d, t in corpus()}
+    assert len(rows) == sum(-(-len(x) // 64) for x in ids.values())
+    got = ordering.read_from(folder, sorted(counts.items()), 3, len(rows), length=64)
+    assert len(got) == len(rows) - 3
+    for r, found in zip(rows[3:], got):
+        want = ids[r["doc_id"]][64 * r["window"] : 64 * r["window"] + 64]
+        assert found[found != ordering.PAD_ID].tolist() == want and r["n_tokens"] == len(want) and (found[len(want) :] == ordering.PAD_ID).all()
+        assert zlib.crc32(np.array(want, "<u2").tobytes()) == r["ids_crc32"]
+
+
+def test_permutation_refuses_what_does_not_fit():
+    with pytest.raises(ValueError):
+        ordering.permute(np.arange(3), 2**66, 1)
 
 
 @pytest.mark.parametrize("domain", [1, 2, 7, 1000, 4096, 99_991])
@@ -201,19 +243,67 @@ def test_spotsigs(spark, docs):
     assert got[20]["fingerprint"] == got[21]["fingerprint"]
 
 
-def test_quality(spark, docs):
+def test_similar(spark):
+    """Pairs from length partitions and prefixes are those of brute force."""
+    r = random.Random(5)
+    base = [" ".join(words(60, 200 + k)) for k in range(4)]
+    texts = []
+    for t in base:
+        for _ in range(8):
+            w = t.split()
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(len(w))] = f"z{r.randint(0, 99)}"
+            texts.append(" ".join(w[: len(w) - r.randint(0, 15)]))
+    df = frame(spark, list(enumerate(texts)))
+    sets = {r["id"]: set(r["sig"]) for r in spotsigs.signatures(df.select("text"), "text", "sig").select(F.xxhash64("sig").alias("id"), "sig").collect()}
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b]):
+                want[frozenset((a, b))] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = {frozenset((r["a"], r["b"])): r["likeness"] for r in spotsigs.similar(df).collect()}
+    assert got == pytest.approx(want) and len(want) > 10
+
+
+def test_spots_without_common_words(spark):
+    t = " ".join(f"zork{i * 7919 % 1000}" for i in range(200))
+    got = spotsigs.signatures(frame(spark, [(1, t), (2, "other " * 9 + t)]), "text", "sig").select(F.array_sort("sig").alias("sig")).collect()
+    a, b = set(got[0]["sig"]), set(got[1]["sig"])
+    assert len(a) > 10 and len(a & b) >= 0.8 * len(a)
+
+
+def test_quality(spark):
+    rows = [*corpus(), (50, "a#b *c*\nsame line\n \nsame line\nsame line\nlast"), (51, None)]
+    trusted = {d for d, _ in rows if d < 10}
+    docs = frame(spark, rows)
     got = {r["row"]["doc_id"]: r for r in quality.judge(docs, docs.where("doc_id < 10").select("doc_id")).collect()}
-    for d, t in corpus():
-        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    split = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
+    grams = {d: [(x,) for x in w] + list(zip(w, w[1:])) for d, w in split.items()}
+    names = {g for x in grams.values() for g in x}
+    one = {r["w"]: r["h"] for r in spark.createDataFrame([(g[0],) for g in names if len(g) == 1], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = spark.createDataFrame([(*g, one[g[0]], one[g[1]]) for g in names if len(g) == 2], "a string, b string, x long, y long")
+    bucket = {(r["a"], r["b"]): r["h"] % quality.BUCKETS for r in pairs.select("a", "b", F.xxhash64("x", "y").alias("h")).collect()} | {(w,): h % quality.BUCKETS for w, h in one.items()}
+    every, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for d, g in grams.items():
+        for x in g:
+            every[bucket[x]] += 1
+            good[bucket[x]] += d in trusted
+    ratio = np.log((good + 1) / (good.sum() + quality.BUCKETS)) - np.log((every + 1) / (every.sum() + quality.BUCKETS))
+    for d, t in rows:
+        w = split[d]
         at, cover = {}, set()
         for p in range(len(w) - 4):
             at.setdefault(tuple(w[p : p + 5]), []).append(p)
         for v in at.values():
             if len(v) > 1:
                 cover.update(i for p in v for i in range(p, p + 5))
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         r = got[d]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(cover))
+        assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
         assert r["base_failed"] == (len(w) < 10 or 100 * len(cover) > 20 * len(w))
+        score = np.mean([ratio[bucket[x]] for x in grams[d]]) if grams[d] else 0.0
+        assert r["score"] == pytest.approx(score) and r["kept"] == (not r["base_failed"] and score >= quality.THRESHOLD)
 
 
 def test_toxicity(spark):
@@ -228,6 +318,51 @@ def test_toxicity(spark):
     assert r and toxicity.fit(spark, docs, labels.limit(0)).score("vilebad") < 0.01
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """Many rows of one id and text count once; the limits bound rows, not ids."""
+    monkeypatch.setattr(toxicity, "UNLABELLED", 20)
+    monkeypatch.setattr(toxicity, "POSITIVES", 5)
+    docs = frame(spark, [(1, "same text vilebad")] * 300 + [(i, f"text {i} vilebad") for i in range(2, 400)])
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda p, u, *rest: seen.append((len(p), len(u))) or train(p, u, *rest))
+    toxicity.fit(spark, docs, docs.select("doc_id", F.lit(1).alias("toxic")))
+    toxicity.fit(spark, docs, docs.select("doc_id", F.lit(1).alias("toxic")).limit(1))
+    assert all(p <= 5 and u <= 20 for p, u in seen)
+
+
+def test_revisits_far_back(spark):
+    """A URL with a response in the first time range only, asked for in all others; against brute force."""
+    r = random.Random(8)
+    rows = [(i, f"http://h{r.choice([0, 0, 0, i % 7])}.org/p", i, i < 3 or r.random() < 0.02, f"e{r.randint(0, 1)}") for i in range(600)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, full boolean, etag string").withColumn("last_modified", F.lit(None).cast("string")).withColumn("digest", F.lit(None).cast("string")).withColumn("headers", F.create_map(F.lit("x"), F.lit("y"))).repartition(5)
+    last, want = {}, {}
+    for i, url, _, full, tag in rows:
+        if full:
+            want[i] = ("full", i)
+            last[url] = (i, tag)
+        else:
+            src = last.get(url)
+            want[i] = ("no_response", None) if src is None else ("resolved", src[0]) if src[1] == tag else ("validator_mismatch", None)
+    assert {x["record_id"]: (x["status"], x["source_id"]) for x in warc.resolve(spark, df).collect()} == want
+    assert sum(s == "resolved" and i - src > 100 for i, (s, src) in want.items()) > 10
+
+
+def test_canonical_json(spark):
+    texts = ['{ "b" : [1, {"z": null, "a": "\\u00e9\\n"}], "a": {"d": -3, "c": true} }', "[]", '"x"', '{"a":1,"a":2}', '{"a":', "", None, '{"é": "<", "A": {}, "a": []}']
+    want = [json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if t and t not in ('{"a":1,"a":2}', '{"a":') else None for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", toolcalls.canonical(F.col("t")).alias("j")).orderBy("i").collect()
+    assert [r["j"] for r in got] == want
+
+
+def test_argument_types(spark):
+    schema = {"t": {k: (k, k == "string") for k in toolcalls.KINDS}}
+    cases = [('{"string":"a\\"b","integer":3,"number":2.5,"boolean":false,"array":[1],"object":{"x":1},"null":null}', None), ('{"string":"x","number":3}', None), ('{"integer":1}', "missing:string"), ('{"string":"","integer":1.5}', "type:integer"),
+             ('{"string":null}', "type:string"), ('{"string":"","array":{}}', "type:array"), ('{"string":"","object":[]}', "type:object"), ('{"string":"","boolean":"true"}', "type:boolean"), ('{"string":"","more":1}', "unknown:more"), ("[1]", "not_an_object"), ("x", "not_an_object"), (None, "not_an_object")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string").select("i", toolcalls.validate(F.lit("t"), F.col("t"), schema).alias("f")).orderBy("i").collect()
+    assert [r["f"] for r in got] == [f for _, f in cases]
+
+
 def test_revisits(spark):
     rows = [(1, "http://www.X.org/a/?b=2&a=1#f", 1, True, "e1"), (2, "https://x.org/a?a=1&b=2&utm_source=z", 5, False, "e1"), (3, "x.org:80/a?a=1&b=2", 9, False, "e2"), (4, "x.org/none", 9, False, "e"), (5, None, 1, True, "e"), (6, None, 2, False, "e"), (7, "http://x.org/a?a=1&b=2", 10, False, None)]
     df = spark.createDataFrame(rows, "record_id long, url string, ts long, full boolean, etag string").withColumn("last_modified", F.lit(None).cast("string")).withColumn("digest", F.lit(None).cast("string")).withColumn("headers", F.create_map(F.lit("date"), F.col("record_id").cast("string"), F.lit("x"), F.col("record_id").cast("string")))
@@ -238,8 +373,8 @@ def test_revisits(spark):
 
 def test_toolcalls(spark):
     calls = spark.createDataFrame(
-        [(1, 0, "a", "open", {"page": "3"}, []), (1, 2, "b", "open", {"page": '"3"'}, ["a"]), (1, 4, "c", "search", {"query": '"q"'}, ["d"]), (1, 6, "d", "search", {"query": '"q"'}, ["c"]), (1, 8, "a", "open", {"page": "4"}, []), (2, 0, None, "open", {}, []), (2, 1, "z", "no", {}, None)],
-        "conv_id long, turn long, call_id string, name string, arguments map<string,string>, refs array<string>",
+        [(1, 0, "a", "open", '{ "page" : 3 }', []), (1, 2, "b", "open", '{"page": "3"}', ["a"]), (1, 4, "c", "search", '{"query": "q"}', ["d"]), (1, 6, "d", "search", '{"query":"q"}', ["c"]), (1, 8, "a", "open", '{"page":4}', []), (2, 0, None, "open", "{}", []), (2, 1, "z", "no", None, None)],
+        "conv_id long, turn long, call_id string, name string, arguments string, refs array<string>",
     )
     results = spark.createDataFrame([(1, 1, "a", "ok"), (1, 3, "a", "late"), (3, 1, "a", "alone")], "conv_id long, turn long, call_id string, content string")
     rows = toolcalls.link(spark, calls, results, toolcalls.SCHEMAS).collect()
@@ -250,7 +385,7 @@ def test_toolcalls(spark):
 
 
 def test_toolcall_chain_of_200(spark):
-    calls = spark.range(200).selectExpr("1L conv_id", "2 * id turn", "concat('c', 2 * id) call_id", "'search' name", "map('query', '\"q\"') arguments", "array(concat('c', 2 * id - 2)) refs")
+    calls = spark.range(200).selectExpr("1L conv_id", "2 * id turn", "concat('c', 2 * id) call_id", "'search' name", "'{\"query\":\"q\"}' arguments", "array(concat('c', 2 * id - 2)) refs")
     results = calls.where("turn < 300").selectExpr("conv_id", "turn + 1 turn", "call_id", "'ok' content")
     got = {r["call_id"]: (r["level"], r["status"]) for r in toolcalls.link(spark, calls, results, toolcalls.SCHEMAS).collect()}
     assert got == {f"c{2 * i}": (i, "linked" if i < 150 else "no_result") for i in range(200)}
@@ -283,8 +418,35 @@ def run_all(spark, df, tmp_path):
 
 
 def test_odd_rows(spark, odd, tmp_path):
-    for name, out in run_all(spark, odd, tmp_path).items():
-        assert out.count() >= 6, name
+    """Nulls, repeated rows and one id with two texts: what each operator defines for them."""
+    out = {k: [r.asDict(recursive=True) for r in v.collect()] for k, v in run_all(spark, odd, tmp_path).items()}
+    own = lambda k, **w: [r for r in out[k] if all((r.get("row") or r).get(c, r.get(c)) == x for c, x in w.items())]
+    for k in ("minhash", "substrings", "spotsigs", "quality", "bpe", "toxicity"):
+        assert len(out[k]) == 6, k
+    # the null id sorts first, so the shared text stays there and goes from document 1; the two equal rows count once
+    assert sorted(r["n_removed"] for r in own("substrings", doc_id=None)) == [0, 0]
+    gone = sorted(r["n_removed"] for r in own("substrings", doc_id=1))
+    assert gone[1] == gone[2] > 200
+    assert {(r["n_shingles"], r["component_id"]) for r in own("minhash", doc_id=2)} == {(0, 2)}
+    assert {r["component_id"] for r in own("minhash", doc_id=1)} == {1}
+    assert sum(r["length"] for r in own("packing", doc_id=2)) == 1 and [r["n_tokens"] for r in own("ordering", doc_id=2)] == [1]
+    a, b = (r for r in own("toxicity", doc_id=1) if r["row"]["text"].startswith("the") or "other " not in r["row"]["text"])
+    assert a["score"] == b["score"]
+    assert own("bpe", doc_id=2)[0]["ids"] == [] and own("spotsigs", doc_id=2)[0]["n_chars"] == 0
+    assert own("quality", doc_id=2)[0]["base_failed"] and own("quality", doc_id=2)[0]["score"] == 0.0
+
+
+def test_very_long_text(spark, tmp_path):
+    """One document of a few million characters beside short ones: whole texts are worked on."""
+    r = random.Random(2)
+    long = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(300_000))
+    df = frame(spark, [(1, long), (2, long), (3, "short text")])
+    found = {x["doc_id"]: x for x in minhash.groups(spark, df).collect()}
+    assert found[1]["n_shingles"] > 290_000 and found[2]["component_id"] == 1 and found[3]["component_id"] == 3
+    cut = {x["row"]["doc_id"]: x for x in substrings.remove_repeats(spark, df).collect()}
+    assert (cut[1]["n_removed"], cut[2]["n_removed"], cut[2]["n_spans"]) == (0, len(long), 1)
+    assert sum(x["length"] for x in packing.pack(spark, df.where("doc_id = 2"), JSON).collect()) > 600_000
+    assert {x["row"]["doc_id"]: x["n_words"] for x in quality.judge(df, df.limit(0)).collect()}[2] == 300_000
 
 
 def test_empty_tables(spark, empty, tmp_path):

@@ -298,7 +298,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
     tails = tails.select("p.*", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).alias("sequence_id"))
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     tails = tails.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    return whole.withColumn("offset", F.lit(0).cast("long")).unionByName(tails).drop("rank")
+    out = whole.withColumn("offset", F.lit(0).cast("long")).unionByName(tails)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids, "sequence_id", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

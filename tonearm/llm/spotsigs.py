@@ -1,8 +1,8 @@
 """SpotSigs fingerprints: what common words are followed by.
 
 Words are maximal runs of letters and digits after lower-casing and removal
-of other signs. Where an anchor (a common word) is followed by a content
-word, that anchor and the chain of the next ``CHAIN`` content words form a
+of other signs. Where an anchor (a common word, or one in ``CHOSEN`` other words
+by its hash) is followed by a content word, that anchor and the chain of the next ``CHAIN`` content words form a
 signature; the fingerprint is the set of a text's signatures, each a 32-bit
 hash. Fingerprints are compared by Jaccard similarity: set lengths bound it
 from above, so pairs whose length classes are too far apart are never
@@ -36,6 +36,8 @@ ANCHORS = (
     "der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch "
     "el los las y por con para se del no su al es lo una"
 ).split()
+#: One in so many content words also serves as an anchor, so that texts without common words have chains too.
+CHOSEN = 8
 _EMPTY = "array<bigint>"
 
 
@@ -47,9 +49,10 @@ def signatures(docs: DataFrame, text: str, out: str) -> DataFrame:
     docs = docs.withColumn("_w", words).withColumn("_c", F.filter(tagged, lambda x: ~x["a"]))
 
     def spot(x: Column, k: Column) -> Column:
-        """The chain that starts here, if the word before is an anchor."""
+        """The chain that starts here, if the word before is an anchor, common or chosen by its hash."""
         chain = [F.get(F.col("_c"), k + j)["h"] for j in range(CHAIN)]
-        after = (x["i"] > 0) & F.coalesce(F.get(F.col("_c"), k - 1)["i"] < x["i"] - 1, F.lit(True))
+        last = F.get(F.col("_c"), k - 1)
+        after = (x["i"] > 0) & F.coalesce((last["i"] < x["i"] - 1) | (F.pmod(last["h"], F.lit(CHOSEN)) == 0), F.lit(True))
         return F.when(after, F.xxhash64(F.get(F.col("_w"), x["i"] - 1), *chain).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     spots = F.sort_array(F.array_distinct(F.array_compact(F.transform("_c", spot))))

@@ -3,7 +3,7 @@
 Calls and results are hash-joined by conversation and identifier; linked calls
 are put in topological order (a call comes after those whose results it
 refers to), arguments are checked against the schemas of the tools, and calls
-are serialised as canonical JSON: keys sorted, no spaces, strings escaped.
+are serialised as canonical JSON: keys sorted at every depth, no spaces.
 
 References form a graph inside a conversation. A call's level is one more than
 the highest level it refers to; levels are found by rounds of joins over the
@@ -14,7 +14,7 @@ Defined cases: null identifiers link nothing; repeated identifiers link the
 first result (lowest turn) to the first call, further calls are
 ``duplicate_call``; results without a call are ``orphan_result``; calls
 without a result are ``no_result``; unknown tools and arguments that are no
-JSON object are invalid; empty tables give no rows; other columns are ignored.
+JSON object (null, cut off, a key twice) are invalid; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from ..runtime import drop, new_path
 
 
 def canonical(arguments: Column) -> Column:
-    """A map<string,string> of raw JSON values as an object with sorted keys."""
-    pairs = F.array_sort(F.map_entries(arguments))
-    item = F.transform(pairs, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["value"]))
-    return F.concat(F.lit("{"), F.array_join(item, ","), F.lit("}"))
+    """JSON text in canonical form, at every depth: keys sorted, no spaces, plain escapes; null if it is no JSON.
+
+    Spark's variant keeps the fields of an object sorted and writes numbers in
+    one form only.
+    """
+    return F.to_json(F.try_parse_json(arguments))
 
 
 def quoted(text: Column) -> Column:
@@ -42,25 +44,34 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
+#: What the values of each JSON type are as variants.
+KINDS = {
+    "string": "^STRING$", "integer": "^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$",
+    "array": "^ARRAY<", "object": "^OBJECT<", "null": "^VOID$",
+}
+
+
 def validate(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """The first fault of a call's arguments, or null.
+    """The first fault of a call's arguments (JSON text), or null.
 
-    ``schemas``: per tool, per parameter, its JSON type (string, integer) and
+    ``schemas``: per tool, per parameter, its JSON type (see ``KINDS``) and
     whether it is required.
     """
+    parsed = F.try_parse_json(arguments)
+    keys = F.json_object_keys(F.to_json(parsed))  # null for what is no object
     fault = F.lit(None).cast("string")
     for tool, params in schemas.items():
         own = F.lit(None).cast("string")
         for p in sorted(params, reverse=True):
             kind, required = params[p]
-            value = F.try_element_at(arguments, F.lit(p))
-            right = value.rlike(r'^".*"$') if kind == "string" else value.rlike(r"^-?\d+$")
-            own = F.when(value.isNotNull() & ~right, F.lit(f"type:{p}")).otherwise(own)
+            there = F.array_contains(keys, p)
+            shape = F.schema_of_variant(F.try_variant_get(parsed, "$['" + p + "']", "variant"))
+            own = F.when(there & ~F.coalesce(shape.rlike(KINDS[kind]), F.lit(False)), F.lit(f"type:{p}")).otherwise(own)
             if required:
-                own = F.when(value.isNull(), F.lit(f"missing:{p}")).otherwise(own)
-        extra = F.array_sort(F.array_except(F.map_keys(arguments), F.array(*[F.lit(p) for p in params])))
-        own = F.coalesce(own, F.when(F.size(extra) > 0, F.concat(F.lit("unknown:"), extra[0])))
-        fault = F.when(name == tool, F.when(arguments.isNull(), F.lit("not_an_object")).otherwise(own)).otherwise(fault)
+                own = F.when(~there, F.lit(f"missing:{p}")).otherwise(own)
+        extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(p) for p in params]) if params else F.array().cast("array<string>")))
+        own = F.coalesce(own, F.when(F.size(extra) > 0, F.concat(F.lit("unknown:"), F.get(extra, F.lit(0)))))
+        fault = F.when(name == tool, F.when(keys.isNull(), F.lit("not_an_object")).otherwise(own)).otherwise(fault)
     return F.when(name.isNull() | ~name.isin(*schemas), F.lit("unknown_tool")).otherwise(fault)
 
 
@@ -120,7 +131,7 @@ def capped(steps: Column) -> Column:
 
 
 def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """calls: conv_id, turn, call_id, name, arguments map<string, raw JSON>, refs; results: conv_id, turn, call_id, content.
+    """calls: conv_id, turn, call_id, name, arguments (JSON text), refs array<string>; results: conv_id, turn, call_id, content.
 
     Returns a row per call and per orphan result: conv_id, call_id, status,
     level, seq (the order in its conversation), fault, json, result.
@@ -133,7 +144,7 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
     order = levels(spark, unique)
     linked = calls.join(answers, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
     fault = validate(F.col("name"), F.col("arguments"), schemas)
-    json = F.concat(F.lit('{"arguments":'), canonical(F.coalesce("arguments", F.create_map().cast("map<string,string>"))), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.coalesce("name", F.lit(""))), F.lit("}"))
+    json = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.coalesce("name", F.lit(""))), F.lit("}"))
     status = (
         F.when((F.col("_n") > 1) & F.col("call_id").isNotNull(), "duplicate_call").when(F.col("call_id").isNull(), "no_id").when(F.col("level").isNull(), "cycle")
         .when(fault.isNotNull(), "invalid").when(F.col("_t").isNull(), "no_result").otherwise("linked")
@@ -147,21 +158,27 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
 
 
 #: Tools of the query.
-SCHEMAS = {"search": {"query": ("string", True), "limit": ("integer", False)}, "open": {"page": ("integer", True)}}
+SCHEMAS = {
+    "search": {"query": ("string", True), "limit": ("integer", False), "filter": ("object", False)},
+    "open": {"page": ("integer", True), "scroll": ("number", False)},
+}
 
 
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made of the ``conversations`` table.
 
-    Each user turn is a call, named by its length, that refers to the call two
-    turns before; each assistant turn is the result of the turn before it.
-    Every fifth turn lacks its required argument.
+    Each user turn is a call, named by its text's length, that refers to the
+    call two turns before; each assistant turn is the result of the turn
+    before it. Every fifth turn lacks its required argument, some have one of
+    the wrong type, one too many, or text that ends too early.
     """
     c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    n = F.length("text")
+    n, turn = F.length("text"), F.coalesce(F.col("turn").cast("string"), F.lit("0"))
     name = F.when(n % 3 == 0, "search").when(n % 3 == 1, "open").otherwise("other")
-    query = F.create_map(F.lit("query"), quoted(F.col("text")), F.lit("limit"), F.col("turn").cast("string"))
-    args = F.when(n % 5 == 0, F.create_map(F.lit("limit"), F.col("turn").cast("string"))).when(n % 3 == 1, F.create_map(F.lit("page"), n.cast("string"))).otherwise(query)
+    search = F.concat(F.lit('{ "query" : '), quoted(F.col("text")), F.lit(', "limit": '), turn, F.lit(', "filter": {"to": 2.50, "from": [1, {"b": null, "a": true}]} }'))
+    page = F.when(n % 7 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise(n.cast("string"))
+    open_ = F.concat(F.lit('{"scroll":0.5,'), F.when(n % 11 == 0, '"width": 3, ').otherwise(""), F.lit('"page":'), page, F.lit("}"))
+    args = F.when(n % 13 == 0, F.left(search, F.length(search) - 2)).when(n % 5 == 0, F.concat(F.lit('{"limit":'), turn, F.lit("}"))).when(n % 3 == 1, open_).otherwise(search)
     call_id = F.concat(F.lit("c"), F.col("turn").cast("string"))
     calls = c.where("role = 'user'").select("conv_id", "turn", call_id.alias("call_id"), name.alias("name"), args.alias("arguments"), F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))).alias("refs"))
     results = c.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))

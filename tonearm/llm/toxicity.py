@@ -11,7 +11,8 @@ whose second part, the risk on negatives, is pushed back up whenever it would
 fall below zero. Scores are the logistic of the model's sum.
 
 The training sample is bounded: at most ``POSITIVES`` and ``UNLABELLED``
-documents, chosen by the hash of their ids, and at most ``FEATURES`` features.
+different documents, chosen by the hash of their ids (of equal rows one), and
+at most ``FEATURES`` features.
 Every whole text is scored.
 
 Defined cases: null and empty texts get the score of no evidence; a null
@@ -63,7 +64,7 @@ def feature_set(text: str | None) -> set[str]:
 def _feature_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [sorted(feature_set(t)) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["positive", "features"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array(out, pa.list_(pa.string()))], ["positive", "doc_id", "h", "features"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -128,6 +129,17 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, p
     return w, float(b)
 
 
+def _first(keys: DataFrame, most: int, order: tuple) -> DataFrame:
+    """The first ``most`` distinct rows by hash; twice as many as needed are cut out by it before anything is sorted."""
+    n = keys.count()
+    if n > 4 * most:
+        cut = int(2 * most / n * 2.0**64) - 2**63
+        few = keys.where(order[0] < cut).distinct()
+        if few.count() >= most:
+            return few.orderBy(*order).limit(most)
+    return keys.distinct().orderBy(*order).limit(most)
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of the rows that are not held out."""
     ship(spark)
@@ -136,13 +148,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     if not tally["p"]:
         return Model({}, -500.0)
     prior = float(np.clip(tally["p"] / tally["n"], 0.01, 0.5)) if tally["p"] < tally["n"] else PRIOR
-    by_hash = F.xxhash64("doc_id")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
-    pos = labels.where("toxic = 1").orderBy(by_hash, "doc_id").limit(POSITIVES).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("positive"))
-    unl = ids.distinct().orderBy(by_hash, "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(0))
-    chosen = F.broadcast(pos.union(unl))  # bounded by the two limits
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("positive", "text")
-    sets, path = save(spark, sample.mapInArrow(_feature_sets, "positive int, features array<string>"), "op2-sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    keys = rows.select("doc_id", "h")
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    # of equal ids and texts one row is enough, so the limits bound the rows of the sample
+    order = (F.xxhash64("doc_id"), "doc_id", "h")
+    pos = _first(keys.join(toxic, "doc_id", "left_semi"), POSITIVES, order).withColumn("positive", F.lit(1))
+    unl = _first(keys, UNLABELLED, order).withColumn("positive", F.lit(0))
+    chosen = F.broadcast(pos.union(unl))
+    sample = rows.join(chosen, ["doc_id", "h"]).select("positive", "text", "doc_id", "h")
+    sets = sample.mapInArrow(_feature_sets, "positive int, doc_id long, h long, features array<string>").dropDuplicates(["positive", "doc_id", "h"])
+    sets, path = save(spark, sets.select("positive", "features"), "op2-sample")
     size = sets.groupBy().agg(F.sum("positive").alias("p"), F.count("*").alias("n")).first()
     n_p, n_u = size["p"] or 0, size["n"] - (size["p"] or 0)
     if not n_p or not n_u:
@@ -160,7 +177,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             out = [[number[f] for f in x if f in number] for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["positive", "features"])
 
-    rows = sets.mapInArrow(known, "positive int, features array<int>").orderBy("positive", "features").collect()
+    rows = sorted(sets.mapInArrow(known, "positive int, features array<int>").collect(), key=lambda r: (r["positive"], r["features"]))
     drop(spark, path)
     parts = [[np.array(r["features"], np.int64) for r in rows if r["positive"] == k] for k in (1, 0)]
     w, b = train(*parts, len(names), prior)
