@@ -10,6 +10,10 @@ stage before kept. All but the last return the columns of ``documents``.
 - repeats: 100-byte strings that also occur earlier are cut out of the texts,
   and n_chars follows; every document stays, if need be with an empty text;
 - packing: the pieces of the token sequences.
+
+Null and empty texts fail the quality rules; a document without an id passes
+every stage that it does not fail; an empty table stays empty; columns beyond
+those of ``documents`` are kept under any name.
 """
 
 from __future__ import annotations
@@ -53,7 +57,7 @@ STAGES = [
     ("repeats", repeats_stage),
     ("packing", packing_stage),
 ]
-#: Signatures, trained scores and tokens can't be had in SQL; the tests compare the stages' operators, not the whole run.
+#: Signatures, trained scores and tokens can't be had in SQL; tests/llm/test_queries.py compares each stage with a plain computation.
 ORACLE_SQL = None
 
 

@@ -40,12 +40,14 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, is a temporary
-    folder made and kept for the session.
+    Only where the setting is absent in local mode, as in tests, is a
+    temporary folder made and kept for the session.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not getattr(sc, "_tonearm_local", None):
             sc._tonearm_local = "file://" + tempfile.mkdtemp(prefix="tonearm-shared-")
         base = sc._tonearm_local
