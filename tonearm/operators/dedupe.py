@@ -1,53 +1,99 @@
-"""Exact and near duplicates, and which of them to keep."""
+"""Exact and near duplicates, versions and encodings, and which files to keep.
+
+Defined cases: null contents, fingerprints and keys are in no group; equal
+rows are members each; empty tables give no rows; other columns are carried
+where a function returns its input's columns, else ignored.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Formats from best to worst.
-FORMAT_ORDER = ["flac", "wav", "aiff", "m4a", "mp3", "ogg", "aac", "wma"]
+from ..functions.music import version_key
+from ..functions.text import path_depth
+from ..runtime import save
+from .graph import components, led
+
+# Formats from best to worst, for the automatic choice and for the user's rules.
+FORMAT_RANK = {"flac": 1, "wav": 2, "aiff": 3, "aif": 3, "m4a": 4, "mp3": 5, "ogg": 6, "aac": 7, "wma": 8}
+CODEC_ORDER = ["flac", "wav", "aiff", "aif", "alac", "m4a", "opus", "mp3", "ogg", "aac", "wma"]
 PROBES, LEAST_FRAMES, SHIFT, OVERLAP = 4, 8, 20, 8
+#: Least similarity of copies, and the largest relative difference of their lengths.
+THRESHOLD, LENGTH_TOLERANCE = 0.95, 0.12
 
 
 def format_rank(ext: Column) -> Column:
-    at = F.array_position(F.array(*[F.lit(x) for x in FORMAT_ORDER]), ext)
-    return F.when(at > 0, at).otherwise(99)
+    table = F.create_map(*[F.lit(x) for kv in FORMAT_RANK.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.lower(ext)), F.lit(99))
+
+
+def codec_rank(ext: Column) -> Column:
+    at = F.array_position(F.array(*[F.lit(x) for x in CODEC_ORDER]), F.lower(ext))
+    return F.when(at > 0, at.cast("int")).otherwise(999)
 
 
-def rank_keepers(members: DataFrame, group: str) -> DataFrame:
-    """``keeper_rank`` 1 is kept: a file with content, the best format, the largest, the shallowest, the shortest path."""
-    order = [F.col("size_bytes") <= 0, format_rank(F.col("ext")), F.desc("size_bytes"), F.size(F.split("path", "/")), F.length("path"), F.col("path")]
+def rank_keepers(members: DataFrame, group: str | list[str]) -> DataFrame:
+    """``keeper_rank`` 1 is kept: a file with content, no alias, the best format, the largest, the shallowest, the shortest path."""
+    alias = [F.coalesce("alias", F.lit(False))] if "alias" in members.columns else []
+    order = [F.col("size_bytes") <= 0, *alias, format_rank(F.col("ext")), F.desc("size_bytes"), path_depth(F.col("path")), F.length("path"), F.col("path")]
     return members.withColumn("keeper_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
+def keepers(members: DataFrame, group: list[str]) -> DataFrame:
+    """``keeper`` as by :func:`rank_keepers`, by one aggregate: groups are never gathered or sorted."""
+    alias = F.coalesce("alias", F.lit(False)) if "alias" in members.columns else F.lit(False)
+    order = F.struct(
+        (F.col("size_bytes") <= 0).alias("a"), alias.alias("b"), format_rank(F.col("ext")).alias("c"), (-F.col("size_bytes")).alias("d"),
+        path_depth(F.col("path")).alias("e"), F.length("path").alias("f"), F.col("path").alias("g"),
+    )
+    best = members.groupBy(*group).agg(F.min(order)["g"].alias("_best"))
+    return members.join(best, group).withColumn("keeper", F.col("path") == F.col("_best")).drop("_best")
+
+
 def exact_groups(docs: DataFrame, content: str, key: str) -> DataFrame:
-    """Rows whose content occurs more than once, with a digest, the group's size and their rank by ``key``."""
+    """Rows whose content occurs more than once, with a digest, the group's size and whether they are its first by ``key``."""
     g = docs.withColumn("digest", F.md5(content))
-    many = g.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    return g.join(many, "digest").withColumn("pos", F.row_number().over(Window.partitionBy("digest").orderBy(key)))
+    many = g.groupBy("digest").agg(F.count("*").alias("n"), F.min(key).alias("_first")).where("n > 1")
+    return g.join(many, "digest").withColumn("first", F.col(key) == F.col("_first")).drop("_first")
+
+
+def group_sizes(members: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: files to remove, and megabytes they would free. The keeper counts for neither."""
+    gone = ~F.col("keeper")
+    return members.groupBy(*group).agg(F.count_if(gone).alias("files"), F.bround(F.sum(F.when(gone, F.col("size_bytes")).otherwise(0)) / 1048576, 2).alias("recoverable_mb"))
+
+
+def summary(members: DataFrame) -> DataFrame:
+    """Per method: groups, files to remove, megabytes."""
+    gone = ~F.col("keeper")
+    return members.groupBy("method").agg(F.count_distinct("group_id").alias("groups"), F.count_if(gone).alias("files"), F.bround(F.sum(F.when(gone, F.col("size_bytes")).otherwise(0)) / 1048576, 2).alias("recoverable_mb"))
+
+
+def drop_aliases(files: DataFrame) -> DataFrame:
+    """One path of each file: links go, and of equal (device, inode) all but the first path; inode 0 is no evidence."""
+    real = files.where("not coalesce(is_link, false)")
+    known = F.col("inode") != 0
+    first = real.where(known).groupBy("device", "inode").agg(F.min("path").alias("path"))
+    return real.where(~F.coalesce(known, F.lit(False))).unionByName(real.where(known).join(first, ["device", "inode", "path"], "left_semi"))
 
 
 def frames(docs: DataFrame, words: int = 4) -> DataFrame:
-    """A text's fingerprint: a 32-bit number of each run of four words."""
+    """A text's fingerprint: a 32-bit number of each run of four words; shorter texts than eight runs have none."""
 
     def numbers(w: Column) -> Column:
         at = F.sequence(F.lit(0), F.floor(F.size(w) / words).cast("int") - 1)
         return F.transform(at, lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(w, i * words + 1, F.lit(words)), " ")), 1, 8), 16, 10).cast("bigint"))
 
     split = F.split(F.lower("text"), " ")
-    long = F.size(split) >= words * LEAST_FRAMES
-    return docs.where(long).withColumn("fp", F.transform(F.array(split), numbers)[0])
+    return docs.withColumn("fp", F.when(F.size(split) >= words * LEAST_FRAMES, F.transform(F.array(split), numbers)[0]))
 
 
-def candidate_pairs(prints: DataFrame, key: str) -> DataFrame:
-    """Pairs that agree in one of the first frames; equal prints are one row each beforehand."""
-    probes = prints.select(key, F.posexplode(F.slice("fp", 1, PROBES)).alias("i", "v"))
-    a, b = probes.select(F.col(key).alias("a"), "i", "v"), probes.select(F.col(key).alias("b"), "i", "v")
-    return a.join(b, ["i", "v"]).where("a < b").select("a", "b").distinct()
+def fingerprint_digest(fp: Column) -> Column:
+    return F.md5(F.array_join(F.transform(fp, lambda x: x.cast("string")), ","))
 
 
-def similarity(a: str, b: str) -> Column:
+def similarity(a: str | Column, b: str | Column) -> Column:
     """Share of equal bits in the best alignment of two fingerprints, shifted by up to ``SHIFT`` frames."""
 
     def at(shift: Column) -> Column:
@@ -60,18 +106,121 @@ def similarity(a: str, b: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(-SHIFT), F.lit(SHIFT)), at)), F.lit(0.0))
 
 
+def near_clusters(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(path, cluster): files that sound alike, in clusters of two or more.
+
+    Files are filed under each of their first frames; in such a bucket a file
+    joins the first leader that it is alike to (``graph.led``), and clusters
+    that share a file are one. Equal fingerprints are one item beforehand.
+    """
+    long = files.where(F.size("fp") >= LEAST_FRAMES)
+    prints = long.groupBy("fp").agg(F.min("path").alias("ordinal"))
+    probes = prints.select("ordinal", "fp", F.posexplode(F.slice("fp", 1, PROBES)).alias("i", "v"))
+    met = led(spark, _shared(probes, ["i", "v"]), ["i", "v"], lambda own, head: similarity(F.col(f"{own}.fp"), F.col(f"{head}.fp")) >= threshold, ["fp"])
+    same = long.join(prints, "fp").select(F.col("path").alias("a"), F.col("ordinal").alias("b"))
+    edges = met.select(F.col("ordinal").alias("a"), F.col("head").alias("b")).union(same).where("a <> b")
+    return components(spark, edges).select(F.col("vertex").alias("path"), F.col("root").alias("cluster"))
+
+
+def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose ``by`` occurs more than once."""
+    return rows.join(rows.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), by, "left_semi")
+
+
+def versions(spark: SparkSession, members: DataFrame, tolerance: float = LENGTH_TOLERANCE) -> DataFrame:
+    """``members`` (path, cluster, filename, duration_s, ...) with ``version``, the first path of the version's files.
+
+    Files are of one version if their names give the same remix and kind, and
+    their lengths differ by at most ``tolerance``; unknown lengths only go
+    with unknown ones.
+    """
+    keyed = members.withColumn("kind", version_key(F.col("filename"))).withColumn("timed", F.col("duration_s").isNotNull())
+    length = lambda x: F.col(f"{x}.duration_s")
+    top = lambda a, b: F.greatest(length(a), length(b))
+    alike = lambda own, head: ~F.col("timed") | (top(own, head) <= 0) | (F.abs(length(own) - length(head)) / top(own, head) <= tolerance)
+    by = ["cluster", "kind", "timed"]
+    found = led(spark, keyed.withColumn("ordinal", F.col("path")), by, alike, ["duration_s"])
+    return members.join(found.select("cluster", F.col("ordinal").alias("path"), F.col("head").alias("version")), ["cluster", "path"])
+
+
+def find(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD, distinct_versions: bool = True, all_formats: bool = False, exact: bool = True) -> DataFrame:
+    """Members of all duplicate groups: method, group_id, path, keeper, size_bytes.
+
+    ``files``: path, filename, ext, size_bytes, duration_s, digest, fp. Equal
+    contents come first; of each such group the keeper goes on to the second
+    phase, where files that sound alike are split into versions (and formats).
+    """
+    cols = ["method", "group_id", "path", "keeper", "size_bytes"]
+    out = None
+    rest = files
+    if exact:
+        twice = _shared(files.where("digest is not null"), ["digest"])
+        first = keepers(twice, ["digest"])
+        first, _ = save(spark, first, "dedupe-exact")
+        rest = files.join(first.where("not keeper").select("path"), "path", "left_anti")
+        out = first.select(F.lit("md5").alias("method"), F.col("digest").alias("group_id"), "path", "keeper", "size_bytes")
+    clusters = near_clusters(spark, rest, threshold)
+    members = rest.join(clusters, "path")
+    # where all have one known content there is nothing to tell apart
+    states = members.groupBy("cluster").agg(F.count_distinct("digest").alias("contents"), F.count_if(F.col("digest").isNull()).alias("unknown"))
+    if exact:
+        members = members.join(states.where("contents > 1 or unknown > 0").select("cluster"), "cluster", "left_semi")
+    members = versions(spark, members) if distinct_versions else members.withColumn("version", F.col("cluster"))
+    by = ["cluster", "version", "ext"] if all_formats else ["cluster", "version"]
+    near = keepers(_shared(members, by), by)
+    group = F.concat_ws("|", *by)
+    near = near.select(F.lit("fingerprint").alias("method"), group.alias("group_id"), *cols[2:])
+    return out.unionByName(near) if out is not None else near
+
+
 def rank_by_rules(members: DataFrame, group: str, rules: list[str]) -> DataFrame:
     """``keeper_rank`` by the user's rules in their order; a missing value comes last, the row's ``ordinal`` decides ties."""
-    keys = {
-        "codec": [F.when(F.col("ext").isNull(), 999).otherwise(format_rank(F.col("ext")))], "bitrate": [F.desc_nulls_last("bitrate")], "size": [F.desc_nulls_last("size_bytes")],
-        "modified": [F.desc_nulls_last("modified")], "shortest_path": [F.asc_nulls_last(F.size(F.split("path", r"[/\\]"))), F.length("path")],
-    }
-    order = [k for r in rules for k in keys[r]]
+    order = [k for r in rules for k in _rule_keys()[r]]
     return members.withColumn("keeper_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order, "ordinal")))
 
 
+def _rule_keys() -> dict[str, list[Column]]:
+    return {
+        "codec": [codec_rank(F.col("ext"))], "bitrate": [F.desc_nulls_last("bitrate")], "size": [F.desc_nulls_last("size_bytes")],
+        "modified": [F.desc_nulls_last("modified")], "shortest_path": [F.asc_nulls_last(path_depth(F.col("path"))), F.length("path")],
+    }
+
+
+def _rule_values() -> dict[str, Column]:
+    """What a rule compares, the least is best; missing values are the worst."""
+    worst = F.lit(float("inf"))
+    return {
+        "codec": codec_rank(F.col("ext")).cast("double"), "bitrate": F.coalesce(-F.col("bitrate").cast("double"), worst), "size": F.coalesce(-F.col("size_bytes").cast("double"), worst),
+        "modified": F.coalesce(-F.unix_micros(F.col("modified").cast("timestamp")).cast("double"), worst),
+        "shortest_path": F.coalesce(path_depth(F.col("path")) * 1e6 + F.length("path"), worst),
+    }
+
+
+def explain(ranked: DataFrame, group: str, rules: list[str]) -> DataFrame:
+    """(group, reason): the first rule by which the keeper (keeper_rank 1) beats another file of its group, else ``tie``."""
+    values = _rule_values()
+    rows = ranked.select(group, "keeper_rank", *[values[r].alias(f"_{r}") for r in rules])
+    aggs = [F.min(F.when(F.col("keeper_rank") == 1, F.col(f"_{r}"))).alias(f"own_{r}") for r in rules] + [F.max(F.when(F.col("keeper_rank") > 1, F.col(f"_{r}"))).alias(f"far_{r}") for r in rules]
+    g = rows.groupBy(group).agg(*aggs)
+    reason = F.coalesce(*[F.when(F.col(f"own_{r}") < F.col(f"far_{r}"), r) for r in rules], F.lit("tie"))
+    return g.select(group, reason.alias("reason"))
+
+
+def apply_choices(ranked: DataFrame, group: str, chosen: DataFrame, skipped: DataFrame) -> DataFrame:
+    """``keeper`` after the user's choices: (group, path) to keep instead, ignored where the path isn't in the group; skipped groups go."""
+    real = chosen.select(group, F.col("path").alias("_path")).join(ranked.select(group, F.col("path").alias("_path")), [group, "_path"], "left_semi")
+    real = real.groupBy(group).agg(F.min("_path").alias("_path"))
+    left = ranked.join(skipped.select(group).distinct(), group, "left_anti").join(real, group, "left")
+    return left.withColumn("keeper", F.when(F.col("_path").isNotNull(), F.col("path") == F.col("_path")).otherwise(F.col("keeper_rank") == 1)).drop("_path")
+
+
 def planned(groups: DataFrame) -> DataFrame:
     """Rows to remove, each once: of (path, phase, keeper) all but keepers of any group, the earliest phase first."""
-    keepers = groups.where("keeper").select("path").distinct()
-    left = groups.where("not keeper").join(keepers, "path", "left_anti")
+    kept = groups.where("keeper").select("path").distinct()
+    left = groups.where("not keeper").join(kept, "path", "left_anti")
     return left.groupBy("path").agg(F.min("phase").alias("phase"))
+
+
+def handled(plan: DataFrame, n: int, failed: DataFrame) -> DataFrame:
+    """Paths that a run which got ``n`` files far has removed: the first of the plan by ``seq``, but for those that failed."""
+    return plan.orderBy("seq").limit(n).join(failed.select("path"), "path", "left_anti")

@@ -1,12 +1,20 @@
-"""Queries and merges over a library of tracks."""
+"""Queries and merges over a library of tracks.
+
+Defined cases: a null never matches an active filter; null keys match nothing
+in joins; repeated keys of a right side repeat rows, so right sides are unique
+by contract; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.music import canonical_genre, parent_genre
+from ..functions.text import path_key
+
 #: How the values of a facet are ordered where that isn't alphabetical.
 DIRECTION_ORDER = ["Up", "Steady", "Down"]
 
@@ -22,6 +30,12 @@ def search(tracks: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return tracks.where(reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(text.lower()) for c in columns]))
 
 
+def facet_order(facet: Column, value: Column) -> Column:
+    """Directions go Up, Steady, Down; other values by themselves."""
+    at = F.array_position(F.array(*[F.lit(x) for x in DIRECTION_ORDER]), value)
+    return F.when(facet == "direction", F.concat(F.lit("#"), at.cast("string"))).otherwise(value)
+
+
 def facets(tracks: DataFrame, columns: list[str]) -> DataFrame:
     """(facet, value, n) of all non-null values, in one pass."""
     pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -29,10 +43,20 @@ def facets(tracks: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def find_compatible(tracks: DataFrame, seed: DataFrame) -> DataFrame:
-    """Tracks near the seeds: energy within one of theirs, direction theirs or Up, the same key."""
-    s = seed.select(F.col("track_id").alias("seed_id"), F.col("energy").alias("_e"), F.col("direction").alias("_d"), F.col("camelot").alias("camelot"))
-    near = (F.abs(F.col("energy") - F.col("_e")) <= 1) & ((F.col("direction") == F.col("_d")) | (F.col("direction") == "Up")) & (F.col("track_id") != F.col("seed_id"))
-    return tracks.join(s, "camelot").where(near).select("seed_id", "track_id", "camelot", "energy", "direction")
+    """Per seed (track_id) the filter that it makes and how many other tracks pass: seed_id, camelot, directions, energies, n.
+
+    Passing tracks have an energy within one of the seed's, its direction or
+    Up, and its key. Tracks are counted by these three first, so a seed meets
+    at most six counts, whatever the number of tracks. Seeds without energy or
+    key pass nothing.
+    """
+    sizes = tracks.groupBy("camelot", "direction", "energy").agg(F.count("*").alias("n"))
+    near = F.sequence(F.greatest(F.lit(0), F.col("energy") - 1), F.least(F.lit(5), F.col("energy") + 1))
+    ways = F.array_distinct(F.array("direction", F.lit("Up")))
+    s = seed.where("energy is not null and camelot is not null and direction is not null").select(F.col("track_id").alias("seed_id"), "camelot", ways.alias("directions"), near.alias("energies"))
+    cells = s.select("seed_id", "camelot", F.explode("directions").alias("direction"), "energies").select("seed_id", "camelot", "direction", F.explode("energies").alias("energy"))
+    found = cells.join(sizes, ["camelot", "direction", "energy"]).groupBy("seed_id").agg((F.sum("n") - 1).alias("n"))
+    return s.join(found, "seed_id").select("seed_id", "camelot", F.array_join("directions", ",").alias("directions"), F.array_join(F.transform("energies", lambda e: e.cast("string")), ",").alias("energies"), "n")
 
 
 def report_stats(tracks: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,7 +71,8 @@ def report_stats(tracks: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def summary(tracks: DataFrame) -> DataFrame:
-    failed = F.col("error").isNotNull()
+    """One row of counts; failed is what has an error of its own or of its analysis."""
+    failed = (F.coalesce("error", F.lit("")) != "") | (F.coalesce("ml_error", F.lit("")) != "")
     return tracks.agg(
         F.count("*").alias("total_files"), F.count_if(~failed & F.col("ml_genre").isNotNull()).alias("analyzed"),
         F.count_if(failed).alias("errors"), F.count_if(F.col("ml_genre").isNotNull()).alias("with_genre"),
@@ -56,8 +81,8 @@ def summary(tracks: DataFrame) -> DataFrame:
 
 def merge_priors(tracks: DataFrame, priors: DataFrame) -> DataFrame:
     """Priors replace a differing genre and fill missing keys and energies; ``changed`` names what they changed."""
-    p = priors.select("path", F.col("genre").alias("_g"), F.col("key").alias("_k"), F.col("energy").alias("_e"))
-    j = tracks.join(p, "path", "left")
+    p = priors.select(path_key(F.col("path")).alias("_p"), F.col("genre").alias("_g"), F.col("key").alias("_k"), F.col("energy").alias("_e"))
+    j = tracks.join(p, path_key(F.col("path")) == F.col("_p"), "left")
     genre = F.col("_g").isNotNull() & (F.lower("_g") != F.lower(F.coalesce("genre_tag", F.lit(""))))
     key, energy = F.col("key_raw").isNull() & F.col("_k").isNotNull(), F.col("energy").isNull() & F.col("_e").isNotNull()
     changed = F.array_join(F.array_compact(F.array(F.when(genre, "genre"), F.when(key, "key"), F.when(energy, "energy"))), ",")
@@ -73,9 +98,35 @@ def reattach(old: DataFrame, new: DataFrame, skipped: DataFrame, present: DataFr
 
 
 def upsert(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+    """The last row of each key by ``order``; a key with very many rows is reduced in every task first. Null keys are one key."""
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.col(order)).alias("_row"))
+    return last.select("_row.*")
+
+
+def merge_full(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of a new full report, in the order of the old one, those new to it after that (column ``place``)."""
+    at = old.select("path", F.col("place").alias("_old"))
+    j = new.join(at, "path", "left")
+    return j.select(*[F.col(c) for c in new.columns if c != "place"], F.struct(F.col("_old").isNull().alias("fresh"), F.coalesce("_old", "place").alias("at")).alias("place"))
+
+
+def delete(rows: DataFrame, removed: DataFrame, moved: DataFrame) -> DataFrame:
+    """Rows without those removed, the others with the path that they moved to (src, dst); removal goes before."""
+    return remap(rows.join(removed.select("path"), "path", "left_anti"), moved)
+
+
+def merge_sidecar(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Priors by path_key: a new row replaces the whole old one."""
+    return new.unionByName(old.join(new.select("path_key"), "path_key", "left_anti"))
+
+
+def count_new(files: DataFrame, known: DataFrame) -> DataFrame:
+    """One row (n_files, n_known, n_new, reason): file names on disk that the report doesn't have. Names, not paths, so a moved library isn't all new."""
+    name = lambda df: df.select(F.regexp_extract("path", r"[^/\\]*$", 0).alias("name")).distinct()
+    f, k = name(files), name(known)
+    both = f.join(k.withColumn("_k", F.lit(True)), "name", "left")
+    out = both.agg(F.count("*").alias("n_files"), F.count("_k").alias("n_known"), (F.count("*") - F.count("_k")).alias("n_new"))
+    return out.withColumn("reason", F.when(F.col("n_files") == 0, "empty").when(F.col("n_known") == 0, "nothing_known").when(F.col("n_new") == 0, "up_to_date").otherwise("new_files"))
 
 
 def remap(tracks: DataFrame, moves: DataFrame) -> DataFrame:
@@ -85,15 +136,17 @@ def remap(tracks: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def resolve_conflicts(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """``approve`` (or any unknown action) fixes the reading; ``revert`` goes back to a tag, if there is one."""
+    """``approve`` (or any unknown action) fixes the reading; ``revert`` goes back to the tag's genre, if there is a tag. Both end the conflict."""
     j = rows.join(decisions, "track_id", "left")
-    back = (F.col("action") == "revert") & (F.coalesce("genre_tag", F.lit("")) != "")
-    decided = F.col("action").isNotNull() & ((F.col("action") != "revert") | back)
-    return j.select("track_id", F.when(back, F.col("genre_tag")).otherwise(F.col("genre")).alias("genre"),
-                    F.when(~F.coalesce(decided, F.lit(False)), F.col("source")).when(back, "tag").otherwise("approved").alias("source"),
-                    F.when(F.coalesce(decided, F.lit(False)), False).otherwise(F.col("conflict")).alias("conflict"))
+    decided, revert = F.col("action").isNotNull(), F.coalesce(F.col("action") == "revert", F.lit(False))
+    back = revert & (F.trim(F.coalesce("genre_tag", F.lit(""))) != "")
+    j = j.withColumn("_sub", canonical_genre(F.col("genre_tag")))
+    return j.select(
+        "track_id", F.when(back, parent_genre(F.col("_sub"))).otherwise(F.col("genre")).alias("genre"), F.when(back, F.col("_sub")).otherwise(F.col("subgenre")).alias("subgenre"),
+        F.when(back, "tag").when(decided & ~revert, "approved").otherwise(F.col("source")).alias("source"), F.when(decided, False).otherwise(F.col("conflict")).alias("conflict"),
+    )
 
 
 def newest(rows: DataFrame, by: str, order: list, n: int) -> DataFrame:
-    """Ring buffer: the ``n`` newest rows of each owner."""
+    """Ring buffer: the ``n`` newest rows of each owner; each task keeps no more than these of an owner before rows are shuffled."""
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("pos") <= n)

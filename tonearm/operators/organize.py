@@ -1,40 +1,211 @@
-"""Where files go: folder plans and backups."""
+"""Where files go: folders, free names, routes by tag, undo, exports for players, backups.
+
+All of it makes plans, as tables; moving files is left to who carries them
+out. Defined cases: a null genre is "Unknown"; equal rows are placed each;
+empty tables give no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.music import safe_folder
+from ..functions import music
+from ..functions.text import folder_of, is_under, path_key
+from ..runtime import drop, save
+from .ranks import with_rank
+
+#: Folders that no census counts.
+OUTSIDE = ["other", "unknown"]
+# Suffixes of files whose tags can't be read.
+UNREADABLE = ["aac"]
+
 
+def census(files: DataFrame, root: str, most: int) -> DataFrame:
+    """(folder, n): files per folder right below ``root``, counted up to ``most``; dot folders, Other and Unknown don't count."""
+    rest = F.substring(F.col("path"), F.lit(len(root.rstrip("/")) + 2), F.length("path"))
+    top = files.where(is_under(F.col("path"), root)).select(F.when(F.contains(rest, F.lit("/")), F.substring_index(rest, "/", 1)).alias("folder")).where("folder is not null")
+    top = top.where(~F.col("folder").startswith(".") & ~F.lower("folder").isin(OUTSIDE))
+    return top.groupBy(F.lower("folder").alias("_k")).agg(F.min("folder").alias("folder"), F.least(F.count("*"), F.lit(most)).alias("n")).drop("_k")
 
-def plan(tracks: DataFrame, existing: DataFrame, least: int, subfolders: bool = True) -> DataFrame:
-    """Folder and unique file name of each track; genres that stay below ``least`` files go under Other.
 
-    ``existing`` (folder, n): files already there, counted up to ``least``.
+def place(tracks: DataFrame, existing: DataFrame, least: int, subfolders: bool = True) -> DataFrame:
+    """``folder`` and ``rare`` for each track; genres that stay below ``least`` files go under Other.
+
+    ``existing`` (folder, n): files already there (:func:`census`). An
+    established folder keeps the spelling that it has.
     """
     genre = F.coalesce("genre", F.lit("Unknown"))
     sizes = tracks.groupBy(F.lower(genre).alias("_k")).agg(F.count("*").alias("_n"))
     have = existing.select(F.lower("folder").alias("_k"), F.least("n", F.lit(least)).alias("_have"), F.col("folder").alias("_name"))
     sizes = sizes.join(have, "_k", "left").select("_k", "_name", (F.col("_n") + F.coalesce("_have", F.lit(0)) < least).alias("rare"))
     t = tracks.withColumn("_g", genre).join(sizes, F.lower("_g") == F.col("_k"))
-    name = safe_folder(F.col("_g"))
+    name = music.safe_folder(F.col("_g"))
     sub = F.col("subgenre").isNotNull() & (F.col("subgenre") != F.col("_g")) & (F.col("subgenre") != "Unknown") & F.lit(subfolders)
     home = F.coalesce("_name", name)
-    t = t.withColumn("folder", F.when(F.col("rare"), F.concat(F.lit("Other/"), name)).when(sub, F.concat(home, F.lit("/"), safe_folder(F.col("subgenre")))).otherwise(home))
-    nth = F.row_number().over(Window.partitionBy("folder", "filename").orderBy("path")) - 1
-    stem, ext = F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"(\.[^.]*)?$", 0)
-    unique = F.when(nth == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), nth.cast("string"), ext))
-    return t.select("track_id", "folder", unique.alias("destination"), "rare")
+    folder = F.when(F.col("rare"), F.concat(F.lit("Other/"), name)).when(sub, F.concat(home, F.lit("/"), music.safe_folder(F.col("subgenre")))).otherwise(home)
+    return t.withColumn("folder", folder).drop("_g", "_k", "_name")
+
+
+def free_names(spark: SparkSession, moves: DataFrame, taken: DataFrame) -> DataFrame:
+    """``destination`` for rows of (ordinal, folder, filename, ...): ``name``, ``name_1``, ... , the first that is free.
+
+    Names go to the least ``ordinal`` that wants them, as if given out one
+    after another; files of ``taken`` (folder, filename) keep theirs. Case
+    does not tell names apart. Each round every row asks for its next name and
+    the least ordinal holds it, perhaps in place of a later one that asked
+    before; rows of one name start from their rank, which their elders need.
+    """
+    stem, ext = F.regexp_extract("filename", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"^.+?(\.[^.]*)?$", 1)
+    rows = with_rank(moves.withColumn("_key", F.lower(F.concat("folder", F.lit("/"), "filename"))), ["_key"], "ordinal", "k")
+    state, path = save(spark, rows.select("ordinal", "folder", stem.alias("stem"), ext.alias("ext"), F.col("k"), F.lit(False).alias("held")), "names")
+    fixed, kept = save(spark, taken.select(F.lower(F.concat("folder", F.lit("/"), "filename")).alias("name")).distinct(), "names-taken")
+    while True:
+        name = F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""), "ext")
+        asked = state.withColumn("file", name).withColumn("name", F.lower(F.concat("folder", F.lit("/"), "file")))
+        best = asked.groupBy("name").agg(F.min("ordinal").alias("_best"))
+        met = asked.join(best, "name").join(fixed.withColumn("_taken", F.lit(True)), "name", "left")
+        won = F.col("_taken").isNull() & (F.col("ordinal") == F.col("_best"))
+        nxt, p = save(spark, met.select("ordinal", "folder", "stem", "ext", F.when(won, F.col("k")).otherwise(F.col("k") + 1).alias("k"), won.alias("held"), "file"), "names")
+        drop(spark, path)
+        path = p
+        if nxt.where("not held").isEmpty():
+            drop(spark, kept)
+            return moves.join(nxt.select("ordinal", F.col("file").alias("destination")), "ordinal")
+        state = nxt.drop("file")
+
+
+def plan(spark: SparkSession, tracks: DataFrame, existing: DataFrame, least: int, taken: DataFrame | None = None, subfolders: bool = True, root: str = "") -> DataFrame:
+    """track_id, folder, destination, rare of each track that moves; one whose file is at its place already is left out.
+
+    ``tracks``: track_id (which orders them), path, genre, subgenre, filename.
+    """
+    placed = place(tracks, existing, least, subfolders).withColumn("ordinal", F.col("track_id"))
+    if root:
+        placed = placed.where(path_key(F.col("path")) != path_key(F.concat(F.lit(root.rstrip("/") + "/"), "folder", F.lit("/"), "filename")))
+    none = placed.select("folder", "filename").limit(0)
+    return free_names(spark, placed, taken if taken is not None else none).select("track_id", "folder", "destination", "rare")
+
+
+def route(spark: SparkSession, files: DataFrame, taken: DataFrame) -> DataFrame:
+    """Plan by the files' own tags: ordinal, status (copied, no_genre, unreadable), folder, destination, renamed.
+
+    Spellings are made equal; tags that name no genre go under Other.
+    ``files``: ordinal, filename, ext, genre_tag.
+    """
+    genre = music.canonical_genre(F.col("genre_tag"))
+    t = files.withColumn("_g", F.when(F.trim(F.coalesce("genre_tag", F.lit(""))) != "", genre))
+    lost = t.where("_g is null").select("ordinal", F.when(F.col("ext").isin(UNREADABLE), "unreadable").otherwise("no_genre").alias("status"), F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("destination"), F.lit(False).alias("renamed"))
+    folder = F.concat(F.when(music.is_label(F.col("_g")), "").otherwise("Other/"), music.safe_folder(F.col("_g")))
+    named = free_names(spark, t.where("_g is not null").select("ordinal", "filename", folder.alias("folder")), taken)
+    return named.select("ordinal", F.lit("copied").alias("status"), "folder", "destination", (F.col("destination") != F.col("filename")).alias("renamed")).unionByName(lost)
+
+
+def scope(moves: DataFrame, root: str) -> DataFrame:
+    """Moves with ``inside``: whether the destination lies below ``root``; all do if it is empty."""
+    return moves.withColumn("inside", is_under(F.col("dst"), root))
+
+
+def root_of(tracks: DataFrame) -> DataFrame:
+    """One row (root): the longest folder that all files are below; null if they have none in common.
+
+    The first and the last path in order share what all share.
+    """
+    ends = tracks.select(folder_of(F.replace("path", F.lit("\\"), F.lit("/"))).alias("p")).agg(F.split(F.min("p"), "/").alias("a"), F.split(F.max("p"), "/").alias("b"))
+    same = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(same, F.lit(False))
+    n = F.when(stop > 0, stop - 1).otherwise(F.size("a")).cast("int")
+    return ends.select(F.nullif(F.array_join(F.slice("a", F.lit(1), n), "/"), F.lit("")).alias("root"))
+
+
+def emptied(moves: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(folder, depth) below ``root`` that lose their last file by the moves, the deepest first."""
+    parents = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(folder_of(c), "/"))), lambda i: F.array_join(F.slice(F.split(folder_of(c), "/"), F.lit(1), i), "/"))
+    left = moves.select(F.explode(parents(F.col("src"))).alias("folder")).distinct()
+    stay = files.join(moves.select(F.col("src").alias("path")), "path", "left_anti").select("path").union(moves.select("dst"))
+    stay = stay.select(F.explode(parents(F.col("path"))).alias("folder")).distinct()
+    gone = left.join(stay, "folder", "left_anti").where(is_under(F.col("folder"), root))
+    return gone.select("folder", F.size(F.split("folder", "/")).alias("depth")).orderBy(F.desc("depth"), "folder")
+
+
+def undo(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Statuses of a journal's moves (seq, action, src, dst), to be undone from the last to the first.
+
+    skipped_gone: the file is no longer at dst; skipped_taken: something else
+    is at src; reverted; trash can't be undone. Each path is judged by the
+    files there are now and by what later moves from or to it give back.
+    """
+    have = files.select(F.col("path").alias("_p")).distinct()
+    moves = entries.where("action = 'move'")
+    # the next later move that took the file on from dst puts it back there first
+    later = moves.select(F.col("src").alias("dst"), F.col("seq").alias("_next"))
+    chained = moves.join(later, "dst", "left").where("_next is null or _next > seq").groupBy("seq", "src", "dst").agg(F.min("_next").alias("_next"))
+    m = moves.join(chained.select("seq", "_next"), "seq", "left")
+    m = m.join(have.withColumnRenamed("_p", "dst").withColumn("_at", F.lit(True)), "dst", "left").join(have.withColumnRenamed("_p", "src").withColumn("_old", F.lit(True)), "src", "left")
+    there = F.col("_at").isNotNull() | F.col("_next").isNotNull()
+    status = F.when(~there, "skipped_gone").when(F.col("_old").isNotNull(), "skipped_taken").otherwise("reverted")
+    out = m.select("seq", "src", "dst", status.alias("status"))
+    return out.unionByName(entries.where("action = 'trash'").select("seq", "src", "dst", F.lit("trashed").alias("status")))
+
+
+def tally(journal: DataFrame) -> DataFrame:
+    """Moves, trashes and entries of each journal file."""
+    return journal.groupBy("file").agg(F.count_if(F.col("action") == "move").alias("moves"), F.count_if(F.col("action") == "trash").alias("trashes"), F.count("*").alias("entries"))
 
 
 def restore_map(backup: DataFrame, library: DataFrame) -> DataFrame:
     """Backup rows to library paths: the same path, else a unique (name, size), else a unique name."""
     lib = library.select(F.col("path").alias("_p"), F.lower("name").alias("_n"), F.col("size").alias("_s"))
-    exact = lib.select(F.col("_p").alias("path"), F.lit(True).alias("exact"))
+    exact = lib.select(F.col("_p").alias("path"), F.lit(True).alias("exact")).distinct()
     sized = lib.groupBy(F.col("_n").alias("key"), F.col("_s").alias("size")).agg(F.count("*").alias("n_size"), F.min("_p").alias("p_size"))
     named = lib.groupBy(F.col("_n").alias("key")).agg(F.count("*").alias("n_name"), F.min("_p").alias("p_name"))
     j = backup.withColumn("key", F.lower("name")).join(exact, "path", "left").join(sized, ["key", "size"], "left").join(named, "key", "left")
     how = F.when(F.col("exact"), "exact").when(F.col("n_size") == 1, "filename_size").when(F.col("n_size") > 1, "ambiguous").when(F.col("n_name") == 1, "filename").when(F.col("n_name") > 1, "ambiguous").otherwise("missing")
     target = F.when(how == "exact", F.col("path")).when(how == "filename_size", F.col("p_size")).when(how == "filename", F.col("p_name"))
     return j.select("path", how.alias("how"), target.alias("target"))
+
+
+def restore_status(backup: DataFrame, files: DataFrame) -> DataFrame:
+    """Which entries of a tag backup can be written back to the same path: path, status (error, unsupported, missing, ok)."""
+    j = backup.join(files.select("path", F.lit(True).alias("_there")).distinct(), "path", "left")
+    return j.select("path", F.when(F.col("error").isNotNull(), "error").when(F.coalesce("unsupported", F.lit(False)), "unsupported").when(F.col("_there").isNull(), "missing").otherwise("ok").alias("status"))
+
+
+# -- exports for players ----------------------------------------------------
+
+
+def target_rate(rate: Column) -> Column:
+    """Players read up to 48 kHz; higher rates become 44.1 kHz."""
+    return F.when(rate <= 48000, rate).otherwise(F.lit(44100))
+
+
+def is_lossless(kind: Column, location: Column) -> Column:
+    return F.contains(F.upper(F.coalesce(kind, F.lit(""))), F.lit("FLAC")) | F.coalesce(F.endswith(F.lower(location), F.lit(".flac")), F.lit(False))
+
+
+def player_plan(spark: SparkSession, tracks: DataFrame, files: DataFrame) -> DataFrame:
+    """Per collection row: ordinal, status (convert, passthrough, missing), destination, renamed, resampled.
+
+    ``tracks``: ordinal, location, path, kind, rate; ``files`` (path) exist.
+    FLAC files get an AIFF copy in one folder, under the next free name.
+    """
+    there = files.select(F.col("path"), F.lit(True).alias("_there")).distinct()
+    t = tracks.join(there, "path", "left")
+    status = F.when(F.col("location").isNull() | ~is_lossless(F.col("kind"), F.col("location")), "passthrough").when(F.col("_there").isNull(), "missing").otherwise("convert")
+    t = t.withColumn("status", status)
+    name = F.concat(F.regexp_replace(F.regexp_extract("path", r"[^/\\]*$", 0), r"(?<=.)\.[^.]*$", ""), F.lit(".aiff"))
+    made = t.where("status = 'convert'").select("ordinal", "rate", F.lit("").alias("folder"), name.alias("filename"))
+    named = free_names(spark, made, made.select("folder", "filename").limit(0))
+    done = named.select("ordinal", F.lit("convert").alias("status"), "destination", (F.col("destination") != F.col("filename")).alias("renamed"), (F.col("rate") > target_rate(F.col("rate"))).alias("resampled"))
+    rest = t.where("status <> 'convert'").select("ordinal", "status", F.lit(None).cast("string").alias("destination"), F.lit(False).alias("renamed"), F.lit(False).alias("resampled"))
+    return done.unionByName(rest)
+
+
+def rewritten(tracks: DataFrame, converted: DataFrame) -> DataFrame:
+    """Collection rows with the location, kind, size and rate of their converted files (src, location, size, rate) in place; the bit rate goes."""
+    c = converted.select(path_key(F.col("src")).alias("_k"), F.col("location").alias("_l"), F.col("size").alias("_s"), F.col("rate").alias("_r"))
+    j = tracks.join(c, path_key(F.col("path")) == F.col("_k"), "left")
+    new = F.col("_k").isNotNull()
+    put = lambda name, value: F.when(new, value).otherwise(F.col(name)).alias(name)
+    changed = {"location": F.col("_l"), "kind": F.lit("AIFF File"), "size": F.col("_s"), "rate": F.col("_r"), "bit_rate": F.lit(0)}
+    return j.select(*[put(c, changed[c]) if c in changed else F.col(c) for c in tracks.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import music
 from ..operators import dedupe, evidence, gates, library, organize, vectors
 from ..streaming import tracks as streaming
+from . import twins
 from .views import TRACKS, table, tracks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,22 +28,6 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-def _camelot_sql(c: str) -> str:
-    t = f"trim(regexp_replace(trim({c}), '\\s*\\([^()]*\\)\\s*$', ''))"
-    pc = f"(CASE lower(substr({t}, 1, 1)) WHEN 'c' THEN 0 WHEN 'd' THEN 2 WHEN 'e' THEN 4 WHEN 'f' THEN 5 WHEN 'g' THEN 7 WHEN 'a' THEN 9 ELSE 11 END + CASE substr({t}, 2, 1) WHEN '#' THEN 1 WHEN 'b' THEN -1 ELSE 0 END + CASE WHEN regexp_matches({t}, '(m|min|minor)$') THEN 3 ELSE 0 END)"
-    return f"""CASE WHEN regexp_matches({t}, '^0?([1-9]|1[0-2])[ABab]$') THEN upper(ltrim({t}, '0'))
-      WHEN regexp_matches({t}, '^([1-9]|1[0-2])[dm]$') THEN CAST((CAST(regexp_extract({t}, '^\\d+', 0) AS INT) + 6) % 12 + 1 AS VARCHAR) || CASE WHEN right({t}, 1) = 'm' THEN 'A' ELSE 'B' END
-      WHEN regexp_matches({t}, '^[A-G][#b]?\\s*(maj|min|major|minor|m)?$') THEN CAST((((({pc} % 12) + 12) % 12) * 7 + 7) % 12 + 1 AS VARCHAR) || CASE WHEN regexp_matches({t}, '(m|min|minor)$') THEN 'A' ELSE 'B' END END"""
-
-
-def _canon_sql(c: str) -> str:
-    return f"CASE {c} WHEN 'techno' THEN 'Techno' WHEN 'D&B' THEN 'Drum & Bass' WHEN 'Minimal / Deep Tech' THEN 'Minimal Techno' ELSE {c} END"
-
-
-def _parent_sql(c: str) -> str:
-    return f"CASE {c} WHEN 'Deep House' THEN 'House' WHEN 'Minimal Techno' THEN 'Techno' WHEN 'Psytrance' THEN 'Trance' WHEN 'Jungle' THEN 'Drum & Bass' ELSE {c} END"
-
-
 # -- report -----------------------------------------------------------------
 
 _STATS = ["ml_genre", "energy", "direction", "ext"]
@@ -57,7 +42,7 @@ def q_report_stats(spark: SparkSession, d: str) -> DataFrame:
     return library.report_stats(tracks(spark, d), _STATS)
 
 
-@query("q_report_summary", f"{_T} SELECT count(*) AS total_files, count(*) FILTER (error IS NULL AND ml_genre IS NOT NULL) AS analyzed, count(error) AS errors, count(ml_genre) AS with_genre FROM tracks")
+@query("q_report_summary", f"{_T} SELECT count(*) AS total_files, count(*) FILTER (error IS NULL AND ml_error IS NULL AND ml_genre IS NOT NULL) AS analyzed, count(*) FILTER (error IS NOT NULL OR ml_error IS NOT NULL) AS errors, count(ml_genre) AS with_genre FROM tracks")
 def q_report_summary(spark: SparkSession, d: str) -> DataFrame:
     return library.summary(tracks(spark, d))
 
@@ -90,12 +75,13 @@ def q_facets(spark: SparkSession, d: str) -> DataFrame:
     return library.facets(tracks(spark, d), ["ml_genre", "direction", "energy"])
 
 
-@query("q_find_compatible", f"""{_T}, k AS (SELECT *, {_camelot_sql('key_raw')} AS camelot FROM tracks)
-SELECT s.track_id AS seed_id, k.track_id, k.camelot, k.energy, k.direction FROM k JOIN k s ON k.camelot = s.camelot
-WHERE s.track_id % 5000 = 11 AND abs(k.energy - s.energy) <= 1 AND (k.direction = s.direction OR k.direction = 'Up') AND k.track_id <> s.track_id""")
+@query("q_find_compatible", f"""{_T}, k AS (SELECT track_id, release_id, direction, energy, {twins.camelot('key_raw')} AS camelot FROM tracks), c AS (SELECT camelot, direction, energy, count(*) AS n FROM k GROUP BY ALL)
+SELECT s.track_id AS seed_id, s.camelot, CASE s.direction WHEN 'Up' THEN 'Up' ELSE s.direction || ',Up' END AS directions,
+  concat_ws(',', CASE WHEN s.energy > 0 THEN s.energy - 1 END, s.energy, CASE WHEN s.energy < 5 THEN s.energy + 1 END) AS energies, CAST(sum(c.n) - 1 AS BIGINT) AS n
+FROM k s JOIN c ON c.camelot = s.camelot AND abs(c.energy - s.energy) <= 1 AND (c.direction = s.direction OR c.direction = 'Up') WHERE s.release_id % 50 = 0 GROUP BY s.track_id, s.camelot, s.direction, s.energy""")
 def q_find_compatible(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d).withColumn("camelot", music.key_to_camelot(F.col("key_raw")))
-    return library.find_compatible(t, t.where("track_id % 5000 = 11"))
+    t = tracks(spark, d).select("track_id", "release_id", "direction", "energy", music.key_to_camelot(F.col("key_raw")).alias("camelot"))
+    return library.find_compatible(t, t.where("release_id % 50 = 0"))
 
 
 @query("q_skip_limit", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY o_orderkey LIMIT 50 OFFSET 20")
@@ -107,30 +93,41 @@ def q_skip_limit(spark: SparkSession, d: str) -> DataFrame:
 # -- scalars ----------------------------------------------------------------
 
 
-@query("q_key_normalise", f"{_T} SELECT track_id, key_raw, {_camelot_sql('key_raw')} AS camelot FROM tracks")
+@query("q_key_normalise", f"{_T} SELECT track_id, key_raw, {twins.camelot('key_raw')} AS camelot FROM tracks")
 def q_key_normalise(spark: SparkSession, d: str) -> DataFrame:
     return tracks(spark, d).select("track_id", "key_raw", music.key_to_camelot(F.col("key_raw")).alias("camelot"))
 
 
 def _mix_sql() -> str:
     one = lambda a, b: f"({b}.c = {a}.c OR ({b}.s = {a}.s AND ({b}.n - {a}.n + 12) % 12 IN (1, 11, 7)) OR ({b}.n = {a}.n))"
-    return f"""WITH c AS (SELECT p_partkey AS id, p_partkey % 12 + 1 AS n, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS s FROM part WHERE p_partkey <= 60),
-k AS (SELECT id, n, s, CAST(n AS VARCHAR) || s AS c FROM c) SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.id < b.id WHERE {one('a', 'b')} OR {one('b', 'a')}"""
+    return f"""WITH k AS (SELECT DISTINCT p_partkey % 12 + 1 AS n, CASE WHEN p_partkey % 5 < 2 THEN 'A' ELSE 'B' END AS s FROM part), c AS (SELECT n, s, CAST(n AS VARCHAR) || s AS c FROM k)
+SELECT a.c AS a, b.c AS b FROM c a JOIN c b ON a.c < b.c WHERE {one('a', 'b')} OR {one('b', 'a')}"""
 
 
 @query("q_key_compatible_pairs", _mix_sql())
 def q_key_compatible_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.concat((F.col("p_partkey") % 12 + 1).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B")).alias("c"))
+    """The keys of all parts that mix; which part has which key is in q_key_of_parts, so pairs of parts need not be written out."""
+    k = _part_keys(spark, d).select("c").distinct()
     # each key meets the keys it mixes with by an equi-join, not each pair
-    way = p.select("id", F.explode(music.compatible_keys(F.col("c"), "energy-boost")).alias("c")).join(p.select(F.col("id").alias("other"), "c"), "c").where("id <> other")
-    return way.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    way = k.select(F.col("c").alias("own"), F.explode(music.compatible_keys(F.col("c"), "energy-boost")).alias("c")).join(k, "c").where("own <> c")
+    return way.select(F.least("own", "c").alias("a"), F.greatest("own", "c").alias("b")).distinct()
+
+
+def _part_keys(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_partkey")
+    return table(spark, d, "part").select(n.alias("id"), F.concat((n % 12 + 1).cast("string"), F.when(n % 5 < 2, "A").otherwise("B")).alias("c"))
+
+
+@query("q_key_of_parts", "SELECT p_partkey AS id, CAST(p_partkey % 12 + 1 AS VARCHAR) || CASE WHEN p_partkey % 5 < 2 THEN 'A' ELSE 'B' END AS c FROM part")
+def q_key_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _part_keys(spark, d)
 
 
 def _snap_sql() -> str:
     b = "bpm"
     for _ in range(4):
         b = f"(CASE WHEN {b} < 70 THEN {b} * 2 WHEN {b} >= 200 THEN {b} / 2 ELSE {b} END)"
-    return f"""{_T}, f AS (SELECT track_id, bpm, {b} AS b, CASE l WHEN 0 THEN 128 WHEN 2 THEN 174 END AS hint FROM (SELECT *, (track_id % 10) % 3 AS l FROM tracks))
+    return f"""{_T}, f AS (SELECT track_id, bpm, {b} AS b, CASE l WHEN 0 THEN 128 WHEN 2 THEN 174 END AS hint FROM (SELECT *, CASE WHEN stem LIKE '%128bpm' THEN 0 WHEN stem LIKE '% 174' THEN 2 ELSE 1 END AS l FROM tracks))
 SELECT track_id, hint AS filename_bpm, CASE WHEN hint IS NULL THEN b WHEN abs(2 * b - hint) < least(abs(b - hint), abs(b / 2 - hint)) THEN 2 * b WHEN abs(b / 2 - hint) < abs(b - hint) THEN b / 2 ELSE b END AS snapped FROM f"""
 
 
@@ -149,7 +146,7 @@ def q_filename_parse(spark: SparkSession, d: str) -> DataFrame:
     return tracks(spark, d).select("track_id", artist.alias("artist"), title.alias("title"), music.mix_type(F.col("stem")).alias("mix"), music.filename_key(F.col("stem")).alias("key"))
 
 
-@query("q_version_key", f"""{_T} SELECT track_id, CASE WHEN contains(stem, '(Bob Remix)') THEN 'remix:bob' ELSE '' END || '|' || CASE WHEN contains(stem, 'Extended') THEN 'extended' WHEN contains(stem, 'Radio') THEN 'radio' WHEN contains(stem, 'Club') THEN 'club' WHEN contains(stem, 'Original') THEN 'original' ELSE '' END AS version FROM tracks""")
+@query("q_version_key", f"""{_T} SELECT track_id, CASE WHEN contains(stem, '(Bob Remix)') THEN 'remix:bob' ELSE '' END || '|' || CASE WHEN contains(stem, 'Extended') THEN 'extended' WHEN contains(stem, 'Radio') THEN 'radio' WHEN contains(stem, 'Club') THEN 'club' ELSE '' END AS version FROM tracks""")
 def q_version_key(spark: SparkSession, d: str) -> DataFrame:
     return tracks(spark, d).select("track_id", music.version_key(F.col("stem")).alias("version"))
 
@@ -174,10 +171,14 @@ def q_timeslot_vocal(spark: SparkSession, d: str) -> DataFrame:
 # -- genres -----------------------------------------------------------------
 
 
-@query("q_tag_split", f"{_T}, c AS (SELECT track_id, genre_tag, {_canon_sql('genre_tag')} AS subgenre FROM tracks) SELECT track_id, {_parent_sql('subgenre')} AS parent, subgenre, coalesce(genre_tag NOT IN ('Electro', 'Dance', 'music for the late night'), false) AS usable FROM c")
+_G = f"{twins.names()}, {twins.split('(SELECT genre_tag AS tag FROM tracks)', 'g_tag')}, {twins.split('(SELECT web_genre AS tag FROM tracks)', 'g_web')}"
+
+
+@query("q_tag_split", f"{_T}, {_G} SELECT track_id, parent, sub AS subgenre, coalesce(usable, false) AS usable FROM tracks LEFT JOIN g_tag ON tag = genre_tag")
 def q_tag_split(spark: SparkSession, d: str) -> DataFrame:
     name = music.canonical_genre(F.col("genre_tag"))
-    return tracks(spark, d).select("track_id", music.parent_genre(name).alias("parent"), name.alias("subgenre"), F.coalesce(music.is_usable(F.col("genre_tag")), F.lit(False)).alias("usable"))
+    t = tracks(spark, d).select("track_id", "genre_tag", name.alias("name"))
+    return t.select("track_id", music.parent_genre(F.col("name")).alias("parent"), F.col("name").alias("subgenre"), music.is_usable(F.col("genre_tag")).alias("usable"))
 
 
 def _reconcile_sql(policy: str) -> str:
@@ -185,15 +186,15 @@ def _reconcile_sql(policy: str) -> str:
         "ml_only": "'ml'", "tag_only": "'tag'", "prefer_ml": "CASE WHEN raw_conf < 0.5 THEN 'tag' ELSE 'ml' END",
         "prefer_tag": "CASE WHEN tag_ml AND raw_conf >= 0.9 THEN 'ml_override' ELSE 'tag' END",
     }[policy]
-    both = {"ml_only": "'web'", "tag_only": "'tag'", "prefer_ml": "'web'", "prefer_tag": "CASE WHEN web_grounded AND web_genre <> t THEN 'web_override' ELSE 'tag' END"}[policy]
+    both = {"ml_only": "'web'", "tag_only": "'tag'", "prefer_ml": "'web'", "prefer_tag": "CASE WHEN web_grounded AND (w <> t OR wp <> tp) THEN 'web_override' ELSE 'tag' END"}[policy]
     tag_conf = {"tag_only": "1.0"}.get(policy, "0.99")
-    return f"""{_T}, a AS (SELECT *, {_canon_sql('genre_tag')} AS t, coalesce(genre_tag NOT IN ('Electro', 'Dance', 'music for the late night'), false) AS specific FROM tracks),
-b AS (SELECT *, {_parent_sql('t')} AS tp, {_parent_sql('web_genre')} AS wp FROM a),
-c AS (SELECT *, NOT coalesce(tp = ml_genre OR tp = ml_subgenre OR t = ml_genre OR t = ml_subgenre, false) AS tag_ml, NOT coalesce(tp = wp OR tp = web_genre OR t = wp OR t = web_genre, false) AS tag_web FROM b),
-s AS (SELECT *, CASE WHEN web_genre IS NOT NULL AND NOT specific THEN 'web' WHEN web_genre IS NOT NULL THEN {both} WHEN NOT specific THEN 'ml' ELSE {alone} END AS source FROM c)
-SELECT track_id, CASE WHEN source LIKE 'web%' THEN wp WHEN source = 'tag' THEN tp ELSE ml_genre END AS genre, CASE WHEN source LIKE 'web%' THEN web_genre WHEN source = 'tag' THEN t ELSE ml_subgenre END AS subgenre,
+    return f"""{_T}, {_G}, a AS (SELECT tracks.*, g.sub AS t, g.parent AS tp, coalesce(g.usable, false) AS specific, w.sub AS w, w.parent AS wp, coalesce(w.label, false) AS web_ok
+  FROM tracks LEFT JOIN g_tag g ON g.tag = genre_tag LEFT JOIN g_web w ON w.tag = web_genre),
+c AS (SELECT *, NOT coalesce(tp = ml_genre OR tp = ml_subgenre OR t = ml_genre OR t = ml_subgenre, false) AS tag_ml, NOT coalesce(tp = wp OR tp = w OR t = wp OR t = w, false) AS tag_web FROM a),
+s AS (SELECT *, CASE WHEN web_ok AND NOT specific THEN 'web' WHEN web_ok THEN {both} WHEN NOT specific THEN 'ml' ELSE {alone} END AS source FROM c)
+SELECT track_id, CASE WHEN source LIKE 'web%' THEN wp WHEN source = 'tag' THEN tp ELSE ml_genre END AS genre, CASE WHEN source LIKE 'web%' THEN w WHEN source = 'tag' THEN t ELSE ml_subgenre END AS subgenre,
  CAST(CASE WHEN source LIKE 'web%' THEN 0.9 WHEN source = 'tag' THEN {tag_conf} ELSE raw_conf END AS DOUBLE) AS confidence, source,
- CASE WHEN source IN ('web_override', 'ml_override') THEN true WHEN NOT specific THEN false WHEN '{policy}' = 'ml_only' THEN false WHEN web_genre IS NOT NULL THEN tag_web ELSE tag_ml END AS conflict FROM s"""
+ CASE WHEN source IN ('web_override', 'ml_override') THEN true WHEN NOT specific THEN false WHEN '{policy}' = 'ml_only' THEN false WHEN web_ok THEN tag_web ELSE tag_ml END AS conflict FROM s"""
 
 
 def _reconciled(spark: SparkSession, d: str, policy: str) -> DataFrame:
@@ -205,10 +206,13 @@ for _policy in ("prefer_tag", "prefer_ml", "tag_only", "ml_only"):
     query(f"q_reconcile_{_policy}", _reconcile_sql(_policy))(lambda spark, d, p=_policy: _reconciled(spark, d, p).select("track_id", "r.*"))
 
 
-@query("q_tag_gate", f"""{_T} SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN coalesce(raw_conf, fam_conf) >= 0.85 AND ml_subgenre IS NOT NULL THEN 'subgenre' WHEN raw_conf IS NOT NULL AND fam_conf >= 0.5 THEN 'parent' ELSE 'low-confidence' END AS outcome FROM tracks) GROUP BY outcome""")
+@query("q_tag_gate", f"""{_T} SELECT track_id, outcome, CASE outcome WHEN 'subgenre' THEN ml_subgenre WHEN 'parent' THEN ml_genre END AS genre, CASE outcome WHEN 'subgenre' THEN ml_subgenre END AS subgenre
+FROM (SELECT *, CASE WHEN own >= 0.85 AND ml_subgenre IS NOT NULL THEN 'subgenre' WHEN raw_conf IS NOT NULL AND fam_conf >= 0.5 THEN 'parent' ELSE 'low-confidence' END AS outcome
+FROM (SELECT *, CASE WHEN release_id % 4 = 0 THEN fam_conf ELSE coalesce(raw_conf, fam_conf) END AS own FROM tracks))""")
 def q_tag_gate(spark: SparkSession, d: str) -> DataFrame:
-    gate = music.tag_gate(F.col("raw_conf"), F.col("fam_conf"), F.col("ml_genre"), F.col("ml_subgenre"), F.lit("ml"))
-    return tracks(spark, d).groupBy(gate.alias("outcome")).agg(F.count("*").alias("n"))
+    source = F.when(F.col("release_id") % 4 == 0, "tag").otherwise("ml")
+    gate = music.tag_gate(F.col("raw_conf"), F.col("fam_conf"), F.col("ml_genre"), F.col("ml_subgenre"), source)
+    return tracks(spark, d).select("track_id", gate.alias("g")).select("track_id", "g.*")
 
 
 # -- merges -----------------------------------------------------------------
@@ -235,8 +239,15 @@ def q_upsert(spark: SparkSession, d: str) -> DataFrame:
     return library.upsert(table(spark, d, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("q_count_new", "SELECT count(*) AS n_new FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)")
+@query("q_count_new", f"""{_T}, f AS (SELECT DISTINCT regexp_extract(path, '[^/]*$', 0) AS name FROM tracks), k AS (SELECT DISTINCT regexp_extract(path, '[^/]*$', 0) AS name FROM tracks WHERE release_id % 3 = 0)
+SELECT (SELECT count(*) FROM f) AS n_files, (SELECT count(*) FROM f JOIN k USING (name)) AS n_known, (SELECT count(*) FROM f WHERE name NOT IN (SELECT name FROM k)) AS n_new, 'new_files' AS reason""")
 def q_count_new(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks(spark, d)
+    return library.count_new(t, t.where("release_id % 3 = 0").select(F.replace("path", F.lit("/lib/"), F.lit("/elsewhere/")).alias("path")))
+
+
+@query("q_name_sets", "SELECT count(*) AS n_new FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)")
+def q_name_sets(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.where("o_orderkey % 2 = 0").select("o_custkey").distinct().join(o.where("o_orderkey % 2 = 1"), "o_custkey", "left_anti").agg(F.count("*").alias("n_new"))
 
@@ -248,14 +259,16 @@ def q_path_remap(spark: SparkSession, d: str) -> DataFrame:
     return library.remap(t, moves).select("track_id", "path", "filename")
 
 
-@query("q_resolve_conflicts", f"""WITH r AS ({_reconcile_sql('prefer_tag')}), g AS (SELECT r.*, t.genre_tag FROM r JOIN ({TRACKS}) t USING (track_id)),
-d AS (SELECT track_id, CASE WHEN track_id % 3 = 0 THEN 'revert' ELSE 'approve' END AS action FROM r WHERE conflict AND track_id % 2 = 1)
-SELECT g.track_id, CASE WHEN action = 'revert' AND coalesce(genre_tag, '') <> '' THEN genre_tag ELSE genre END AS genre,
- CASE WHEN action = 'approve' THEN 'approved' WHEN action = 'revert' AND coalesce(genre_tag, '') <> '' THEN 'tag' ELSE source END AS source,
- CASE WHEN action = 'approve' OR (action = 'revert' AND coalesce(genre_tag, '') <> '') THEN false ELSE conflict END AS conflict FROM g LEFT JOIN d USING (track_id)""")
+@query("q_resolve_conflicts", f"""WITH r AS ({_reconcile_sql('prefer_tag')}), t AS ({TRACKS}), {twins.names()}, {twins.split('(SELECT genre_tag AS tag FROM t)', 'g_tag')},
+g AS (SELECT r.*, t.genre_tag, coalesce(g_tag.parent, t.genre_tag) AS tp, g_tag.sub AS ts FROM r JOIN t USING (track_id) LEFT JOIN g_tag ON g_tag.tag = t.genre_tag),
+d AS (SELECT track_id, CASE track_id % 3 WHEN 0 THEN 'revert' WHEN 1 THEN 'approve' ELSE 'later' END AS action FROM r WHERE track_id % 2 = 1),
+e AS (SELECT g.*, action, action = 'revert' AND trim(coalesce(genre_tag, '')) <> '' AS back FROM g LEFT JOIN d USING (track_id))
+SELECT track_id, CASE WHEN back THEN tp ELSE genre END AS genre, CASE WHEN back THEN ts ELSE subgenre END AS subgenre,
+ CASE WHEN action IS NULL THEN source WHEN back THEN 'tag' WHEN action = 'revert' THEN source ELSE 'approved' END AS source, CASE WHEN action IS NULL THEN conflict ELSE false END AS conflict FROM e""")
 def q_resolve_conflicts(spark: SparkSession, d: str) -> DataFrame:
     rows = _reconciled(spark, d, "prefer_tag").select("track_id", "genre_tag", "r.*")
-    decisions = rows.where("conflict and track_id % 2 = 1").select("track_id", F.when(F.col("track_id") % 3 == 0, "revert").otherwise("approve").alias("action"))
+    n = F.col("track_id") % 3
+    decisions = rows.where("track_id % 2 = 1").select("track_id", F.when(n == 0, "revert").when(n == 1, "approve").otherwise("later").alias("action"))
     return library.resolve_conflicts(rows, decisions)
 
 
@@ -267,35 +280,15 @@ def q_recents(spark: SparkSession, d: str) -> DataFrame:
 # -- duplicates, folders ----------------------------------------------------
 
 
-@query("q_exact_dupes", "SELECT doc_id, digest, n, pos FROM (SELECT doc_id, md5(text) AS digest, count(*) OVER (PARTITION BY md5(text)) AS n, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS pos FROM documents) WHERE n > 1")
+@query("q_exact_dupes", "SELECT doc_id, digest, n, first FROM (SELECT doc_id, md5(text) AS digest, count(*) OVER (PARTITION BY md5(text)) AS n, doc_id = min(doc_id) OVER (PARTITION BY md5(text)) AS first FROM documents) WHERE n > 1")
 def q_exact_dupes(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.exact_groups(table(spark, d, "documents"), "text", "doc_id").select("doc_id", "digest", "n", "pos")
+    return dedupe.exact_groups(table(spark, d, "documents"), "text", "doc_id").select("doc_id", "digest", "n", "first")
 
 
-@query("q_keepers", f"""{_T}, g AS (SELECT track_id, path, size_bytes, track_id // 10 AS grp, CASE ext WHEN 'flac' THEN 1 WHEN 'wav' THEN 2 WHEN 'm4a' THEN 4 ELSE 5 END AS f FROM tracks)
+@query("q_keepers", f"""{_T}, g AS (SELECT track_id, path, size_bytes, release_id AS grp, CASE ext WHEN 'flac' THEN 1 WHEN 'wav' THEN 2 WHEN 'm4a' THEN 4 ELSE 5 END AS f FROM tracks)
 SELECT track_id, row_number() OVER (PARTITION BY grp ORDER BY size_bytes <= 0, f, size_bytes DESC, len(string_split(path, '/')), length(path), path) AS keeper_rank FROM g""")
 def q_keepers(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.rank_keepers(tracks(spark, d).withColumn("grp", F.floor(F.col("track_id") / 10)), "grp").select("track_id", "keeper_rank")
-
-
-@query("q_near_dupes")
-def q_near_dupes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    prints = dedupe.frames(docs).groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    a, b = prints.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), prints.select(F.col("doc_id").alias("b"), F.col("fp").alias("y"))
-    pairs = dedupe.candidate_pairs(prints, "doc_id").join(a, "a").join(b, "b")
-    return pairs.withColumn("similarity", F.round(dedupe.similarity("x", "y"), 6)).where("similarity >= 0.85").select("a", "b", "similarity")
-
-
-@query("q_organize_plan", f"""{_T}, t AS (SELECT track_id, path, coalesce(ml_genre, 'Unknown') AS g, ml_subgenre AS s, regexp_extract(path, '[^/]*$', 0) AS f FROM tracks WHERE ml_genre <> 'Ambient' OR track_id % 400 = 1),
-n AS (SELECT g, count(*) AS n FROM t GROUP BY g), p AS (SELECT t.*, n < 100 AS rare FROM t JOIN n USING (g)),
-q AS (SELECT *, CASE WHEN rare THEN 'Other/' || g WHEN s IS NOT NULL AND s <> g THEN g || '/' || s ELSE g END AS folder FROM p)
-SELECT track_id, folder, f AS destination, rare FROM q""")
-def q_organize_plan(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d).where("ml_genre <> 'Ambient' or track_id % 400 = 1")
-    t = t.select("track_id", "path", F.col("ml_genre").alias("genre"), F.col("ml_subgenre").alias("subgenre"), F.substring_index("path", "/", -1).alias("filename"))
-    none = spark.createDataFrame([], "folder string, n long")
-    return organize.plan(t, none, 100)
+    return dedupe.rank_keepers(tracks(spark, d), "release_id").select("track_id", "keeper_rank")
 
 
 @query("q_restore_remap", """WITH lib AS (SELECT '/new/' || CAST(p_partkey AS VARCHAR) AS path, lower(p_name) AS name, p_size + CASE WHEN p_partkey % 4 = 0 THEN 100 ELSE 0 END AS size FROM part),
@@ -336,27 +329,14 @@ def q_key_vote(spark: SparkSession, d: str) -> DataFrame:
     return vectors.majority(table(spark, d, "events"), "user_id", "event_type", "event_id")
 
 
-_TIERS = {"A": ["example.org"], "B": ["example.net"], "C": ["example.com"]}
+_EXAMPLE_TIERS = {"A": ["example.org"], "B": ["example.net"], "C": ["example.com"]}
 
 
 @query("q_page_fields", """SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host,
  CASE WHEN regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1) LIKE '%.example.org' THEN 'A' WHEN regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1) LIKE '%.example.net' THEN 'B' WHEN regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1) LIKE '%.example.com' THEN 'C' ELSE 'X' END AS tier FROM pages""")
 def q_page_fields(spark: SparkSession, d: str) -> DataFrame:
     name = evidence.host(F.col("url"))
-    return table(spark, d, "pages").select("page_id", evidence.title(F.col("html")).alias("title"), name.alias("host"), evidence.domain_tier(name, _TIERS).alias("tier"))
-
-
-@query("q_evidence", """WITH h AS (SELECT CAST(regexp_extract(url, '/(\\d+)', 1) AS BIGINT) % 500 AS owner, substr(url, 1, 5) AS value, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages),
-g AS (SELECT owner, value FROM h GROUP BY ALL HAVING count(DISTINCT host) >= 2) SELECT owner, min(value) AS value FROM g GROUP BY owner HAVING count(*) = 1""")
-def q_evidence(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select((F.regexp_extract("url", r"/(\d+)", 1).cast("bigint") % 500).alias("owner"), F.substring("url", 1, 5).alias("value"), evidence.host(F.col("url")).alias("host"))
-    return evidence.two_host_consensus(p, "owner", "value")
-
-
-@query("q_csv_export", f"{_T} SELECT path, coalesce(ml_genre, '') AS genre, CASE WHEN energy IS NULL OR energy = 0 THEN '' ELSE CAST(energy AS VARCHAR) END AS energy, coalesce(error, '') AS error FROM tracks")
-def q_csv_export(spark: SparkSession, d: str) -> DataFrame:
-    blank = F.when(F.coalesce("energy", F.lit(0)) == 0, "").otherwise(F.col("energy").cast("string"))
-    return tracks(spark, d).select("path", F.coalesce("ml_genre", F.lit("")).alias("genre"), blank.alias("energy"), F.coalesce("error", F.lit("")).alias("error"))
+    return table(spark, d, "pages").select("page_id", evidence.title(F.col("html")).alias("title"), name.alias("host"), evidence.domain_tier(name, _EXAMPLE_TIERS).alias("tier"))
 
 
 @query("q_journal_tally", "SELECT conv_id, count(*) FILTER (role = 'user') AS moves, count(*) FILTER (role = 'assistant') AS trashes, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
@@ -376,28 +356,18 @@ def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return streaming.last_rows(spark, path.replace("events", "event[s]"), spark.read.parquet(path).schema, "user_id", "event_id").select("user_id", "event_id", "event_type")
 
 
-@query("q_keeper_rules", f"""{_T}, g AS (SELECT track_id, path, track_id // 10 AS grp, CASE ext WHEN 'flac' THEN 1 WHEN 'wav' THEN 2 WHEN 'm4a' THEN 4 ELSE 5 END AS f, CASE WHEN size_bytes % 5 = 0 THEN NULL ELSE size_bytes END AS size_bytes, modified FROM tracks)
+@query("q_keeper_rules", f"""{_T}, g AS (SELECT track_id, path, release_id AS grp, CASE ext WHEN 'flac' THEN 1 WHEN 'wav' THEN 2 WHEN 'm4a' THEN 6 ELSE 8 END AS f, CASE WHEN size_bytes % 5 = 0 THEN NULL ELSE size_bytes END AS size_bytes, modified FROM tracks)
 SELECT track_id, row_number() OVER (PARTITION BY grp ORDER BY size_bytes DESC NULLS LAST, f, modified DESC NULLS LAST, track_id) AS keeper_rank FROM g""")
 def q_keeper_rules(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d).select("track_id", "path", "ext", "modified", F.when(F.col("size_bytes") % 5 != 0, F.col("size_bytes")).alias("size_bytes"), F.floor(F.col("track_id") / 10).alias("grp"), F.col("track_id").alias("ordinal"))
+    t = tracks(spark, d).select("track_id", "path", "ext", "modified", F.when(F.col("size_bytes") % 5 != 0, F.col("size_bytes")).alias("size_bytes"), F.col("release_id").alias("grp"), F.col("track_id").alias("ordinal"))
     return dedupe.rank_by_rules(t, "grp", ["size", "codec", "modified"]).select("track_id", "keeper_rank")
 
 
-@query("q_planned_duplicates", """WITH g AS (SELECT doc_id AS path, 1 AS phase, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1 AS keeper, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents),
-h AS (SELECT doc_id AS path, 2 AS phase, row_number() OVER (PARTITION BY substr(text, 1, 20) ORDER BY doc_id) = 1 AS keeper, count(*) OVER (PARTITION BY substr(text, 1, 20)) AS n FROM documents),
-u AS (SELECT * FROM g WHERE n > 1 UNION ALL SELECT * FROM h WHERE n > 1) SELECT path, min(phase) AS phase FROM u WHERE NOT keeper AND path NOT IN (SELECT path FROM u WHERE keeper) GROUP BY path""")
-def q_planned_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    both = [(1, "text"), (2, F.substring("text", 1, 20))]
-    parts = [dedupe.exact_groups(docs, c, "doc_id").select(F.col("doc_id").alias("path"), F.lit(p).alias("phase"), (F.col("pos") == 1).alias("keeper")) for p, c in both]
-    return dedupe.planned(parts[0].union(parts[1]))
-
-
-@query("q_gold_gate", """WITH e AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'brand' WHEN 1 THEN 'price' ELSE 'size' END AS field FROM part WHERE p_partkey <= 300)
+@query("q_gold_gate", """WITH e AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'brand' WHEN 1 THEN 'price' ELSE 'size' END AS field FROM part)
 SELECT e.k, e.field, CASE WHEN e.k % 50 = 0 THEN 'missing' WHEN field = 'brand' THEN CASE WHEN p_brand = 'Brand#11' THEN NULL ELSE 'expect' END WHEN field = 'price' THEN CASE WHEN abs(p_retailprice - 1000) <= 300 THEN NULL ELSE 'close' END ELSE CASE WHEN p_size >= 20 THEN NULL ELSE 'min' END END AS failure
 FROM e JOIN part ON p_partkey = e.k""")
 def q_gold_gate(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_partkey <= 300").withColumn("k", F.col("p_partkey"))
+    p = table(spark, d, "part").withColumn("k", F.col("p_partkey"))
     m = F.col("k") % 3
     field = F.when(m == 0, "brand").when(m == 1, "price").otherwise("size")
     e = p.select("k", field.alias("field"), F.when(m == 0, "expect").when(m == 1, "close").otherwise("min").alias("kind"), F.when(m == 0, "Brand#11").when(m == 1, "1000").otherwise("20").alias("value"), F.lit(300.0).alias("tol"))
@@ -408,4 +378,4 @@ def q_gold_gate(spark: SparkSession, d: str) -> DataFrame:
 @query("q_folder_hist", f"{_T}, t AS (SELECT CASE WHEN ml_subgenre IS NOT NULL THEN ml_genre || '/' || ml_subgenre ELSE ml_genre END AS folder FROM tracks) SELECT folder, count(*) AS n FROM t GROUP BY folder")
 def q_folder_hist(spark: SparkSession, d: str) -> DataFrame:
     t = tracks(spark, d).select("track_id", "path", F.col("ml_genre").alias("genre"), F.col("ml_subgenre").alias("subgenre"), F.substring_index("path", "/", -1).alias("filename"))
-    return organize.plan(t, spark.createDataFrame([], "folder string, n long"), 1).groupBy("folder").agg(F.count("*").alias("n"))
+    return organize.place(t, spark.createDataFrame([], "folder string, n long"), 1).groupBy("folder").agg(F.count("*").alias("n"))
