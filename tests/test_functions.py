@@ -58,7 +58,7 @@ def test_fingerprint_similarity(spark):
 
 def test_plan_has_no_double_destination(spark):
     t = spark.createDataFrame([(i, f"/l/{i}/s.mp3", "House", None, "s.mp3") for i in range(5)], "track_id int, path string, genre string, subgenre string, filename string")
-    got = organize.plan(t, spark.createDataFrame([], "folder string, n long"), 3).collect()
+    got = organize.plan(spark, t, spark.createDataFrame([], "folder string, n long"), 3).collect()
     assert len({(r["folder"], r["destination"]) for r in got}) == 5
 
 

@@ -24,7 +24,7 @@ def test_collection(spark, tmp_path):
         '<DJ_PLAYLISTS><COLLECTION><TRACK Location="file://localhost/D:/a%20b+c.mp3" Genre=" House " Tonality="8A" Comments="Energy 7"/>'
         '<TRACK Location="file://nas/m/d.mp3" Genre=""/></COLLECTION><PLAYLISTS><TRACK Key="1"/></PLAYLISTS></DJ_PLAYLISTS>'
     )
-    assert [tuple(r) for r in readers.collection(spark, str(tmp_path / "c.xml")).collect()] == [("D:/a b+c.mp3", "House", "8A", 7)]
+    assert [tuple(r) for r in readers.collection(spark, str(tmp_path / "c.xml")).collect()] == [("d:/a b+c.mp3", "House", "8A", 7)]
 
 
 def test_journal(spark, tmp_path):

@@ -24,6 +24,11 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """A new column's value as a generated row, so that the optimizer does not repeat its expression for each use of the column."""
+    return F.explode(F.array(value))
+
+
 def blank(value: Column) -> Column:
     """Null for an empty string."""
     return F.nullif(value, F.lit(""))
@@ -236,14 +241,11 @@ def tag_gate(raw: Column, family: Column, genre: Column, subgenre: Column, sourc
     """
     own = F.when(F.coalesce(source, F.lit("")).isin("", "ml", "ml_override"), F.coalesce(raw, family)).otherwise(family)
     fine = F.coalesce(own >= sub_floor, F.lit(False)) & F.coalesce(subgenre != "", F.lit(False))
-    coarse = ~fine & raw.isNotNull() & F.coalesce(family >= family_floor, F.lit(False)) & F.coalesce(genre != "", F.lit(False))
-    outcome = F.when(~fine & ~coarse, "low-confidence").when(~F.lit(write), "write-disabled").when(fine, "subgenre").otherwise("parent")
+    coarse = raw.isNotNull() & F.coalesce(family >= family_floor, F.lit(False)) & F.coalesce(genre != "", F.lit(False))
+    enabled = F.lit(write)
+    outcome = F.when(fine, F.when(enabled, "subgenre").otherwise("write-disabled")).when(coarse, F.when(enabled, "parent").otherwise("write-disabled")).otherwise("low-confidence")
     main = subgenre if sub_as_main else F.coalesce(blank(genre), subgenre)
-    return F.struct(
-        outcome.alias("outcome"),
-        F.when(outcome == "subgenre", main).when(outcome == "parent", genre).alias("genre"),
-        F.when(outcome == "subgenre", subgenre).alias("subgenre"),
-    )
+    return bound(outcome, lambda o: F.struct(o.alias("outcome"), F.when(o == "subgenre", main).when(o == "parent", genre).alias("genre"), F.when(o == "subgenre", subgenre).alias("subgenre")))
 
 
 def vocal_class(score: Column, peak: Column, share: Column, light: float = 0.72, full: float = 0.88) -> Column:

@@ -38,7 +38,7 @@ def workers(machines: DataFrame) -> DataFrame:
 
     def memory(s: Column) -> Column:
         whole = F.floor(F.greatest(F.lit(0), F.col("total_mb") - s["reserve"]) / s["pw"])
-        now = F.floor(F.greatest(F.lit(0), F.col("free_mb") - HEADROOM_MB) / s["pw"])
+        now = F.when(F.col("free_mb").isNotNull(), F.floor(F.greatest(F.lit(0), F.col("free_mb") - HEADROOM_MB) / s["pw"]))
         cap = F.when(F.col("total_mb").isNull(), s["c"].cast("long")).otherwise(F.least(whole, F.coalesce(now, whole)))
         return bound(F.struct(s.alias("s"), cap.alias("cap"), F.coalesce(now < whole, F.lit(False)).alias("short")), split)
 

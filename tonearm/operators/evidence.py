@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.music import once
 
 #: Pages of an owner that are fetched, and that are read.
 FETCHED, READ = 6, 3
@@ -59,7 +60,7 @@ def best_pages(results: DataFrame, owner: str, most: int = FETCHED) -> DataFrame
 def hits(pages: DataFrame) -> DataFrame:
     """Evidence in pages (owner, url, host, tier, text, artist, title): those about the very track whose labelled genre is found and quoted right."""
     words = tx.plain_words(F.col("text"))
-    rows = pages.where(tx.identity(words, F.col("artist"), F.col("title")) == "full").withColumn("_f", tx.genre_field(F.col("text"), F.col("tier")))
+    rows = pages.where(tx.identity(words, F.col("artist"), F.col("title")) == "full").withColumn("_f", once(tx.genre_field(F.col("text"), F.col("tier"))))
     return rows.where("_f is not null").where(tx.quote_holds(F.col("_f.quote"), F.col("text"))).select("owner", "url", "host", "tier", "_f.genre", "_f.raw", "_f.quote")
 
 

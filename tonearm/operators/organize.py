@@ -94,7 +94,7 @@ def route(spark: SparkSession, files: DataFrame, taken: DataFrame) -> DataFrame:
     ``files``: ordinal, filename, ext, genre_tag.
     """
     genre = music.canonical_genre(F.col("genre_tag"))
-    t = files.withColumn("_g", F.when(F.trim(F.coalesce("genre_tag", F.lit(""))) != "", genre))
+    t = files.withColumn("_g", music.once(F.when(F.trim(F.coalesce("genre_tag", F.lit(""))) != "", genre)))
     lost = t.where("_g is null").select("ordinal", F.when(F.col("ext").isin(UNREADABLE), "unreadable").otherwise("no_genre").alias("status"), F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("destination"), F.lit(False).alias("renamed"))
     folder = F.concat(F.when(music.is_label(F.col("_g")), "").otherwise("Other/"), music.safe_folder(F.col("_g")))
     named = free_names(spark, t.where("_g is not null").select("ordinal", "filename", folder.alias("folder")), taken)

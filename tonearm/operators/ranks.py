@@ -18,7 +18,8 @@ def with_rank(rows: DataFrame, by: list[str], order: str, out: str = "rank") ->
     many = parallelism(rows.sparkSession)
     cuts = rows.agg(F.percentile_approx(order, [i / many for i in range(1, many)], 10_000)).first()[0] or [] if many > 1 else []
     bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    dealt = rows.withColumn("_range", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(order))), F.lit(0)))
+    # a generated column: the optimizer must not trade it for its expression, which has a lambda, on the other side of the join
+    dealt = rows.withColumn("_range", F.explode(F.array(F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(order))), F.lit(0)))))
     sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))

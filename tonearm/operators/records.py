@@ -33,7 +33,7 @@ def reconcile_genre(records: DataFrame, policy: str = "prefer_tag", override: fl
     r = records.withColumns({k: v for k, v in first.items() if k not in records.columns})
     new = music.reconcile(_C("audio_genre"), F.coalesce("audio_subgenre", F.lit("")), F.coalesce("raw_conf", "fam_conf", F.lit(0.0)), _C("genre_tag"), _C("web_genre"), _C("web_grounded"), policy, override)
     open_ = (F.coalesce("source", F.lit("")) != "approved") & (F.coalesce("audio_genre", F.lit("")) != "")
-    r = r.withColumn("_new", F.when(open_, new))
+    r = r.withColumn("_new", music.once(F.when(open_, new)))
     put = {c: F.when(_C("_new").isNotNull(), _C(f"_new.{c}")).otherwise(_C(c)) for c in ("genre", "subgenre", "source", "conflict")}
     put["confidence"] = F.when(_C("_new.source") == "ml", _C("fam_conf").cast("double")).when(_C("_new").isNotNull(), F.bround("_new.confidence", 3)).otherwise(_C("confidence"))
     return r.withColumns(put).drop("_new")
@@ -42,7 +42,7 @@ def reconcile_genre(records: DataFrame, policy: str = "prefer_tag", override: fl
 def surface_key(records: DataFrame) -> DataFrame:
     """Adds tag_key, the tag's key as Camelot code, and key_conflict: whether the audio's key differs. The audio's key stays."""
     tag = music.key_to_camelot(_C("key_raw"))
-    return records.withColumn("tag_key", tag).withColumn("key_conflict", F.when(_C("tag_key").isNotNull(), F.coalesce(_C("ml_key") != _C("tag_key"), F.lit(False))))
+    return records.withColumn("tag_key", music.once(tag)).withColumn("key_conflict", F.when(_C("tag_key").isNotNull(), F.coalesce(_C("ml_key") != _C("tag_key"), F.lit(False))))
 
 
 def reconcile_vocal(records: DataFrame, peak: Column, share: Column) -> DataFrame:
@@ -118,7 +118,7 @@ def web_losses(lookups: DataFrame) -> DataFrame:
 
 def gated(records: DataFrame, **options) -> DataFrame:
     """Adds the struct ``gate`` (outcome, genre, subgenre) of :func:`music.tag_gate`."""
-    return records.withColumn("gate", music.tag_gate(_C("raw_conf"), _C("fam_conf"), _C("genre"), _C("subgenre"), _C("source"), **options))
+    return records.withColumn("gate", music.once(music.tag_gate(_C("raw_conf"), _C("fam_conf"), _C("genre"), _C("subgenre"), _C("source"), **options)))
 
 
 def tag_preview(records: DataFrame, top: int = 5, **options) -> DataFrame:
@@ -185,7 +185,7 @@ def flat(records: DataFrame, source: dict[str, Column]) -> DataFrame:
 
 def fingerprint(records: DataFrame, columns: list[str]) -> DataFrame:
     """One row (drift): count and order-free hash of some columns; it changes when any row does."""
-    return records.agg(F.concat(F.count("*").cast("string"), F.lit(":"), F.hex(F.bit_xor(F.xxhash64(*columns)))).alias("drift"))
+    return records.agg(F.concat(F.count("*").cast("string"), F.lit(":"), F.hex(F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)))).alias("drift"))
 
 
 def selected(records: DataFrame, ids: DataFrame) -> DataFrame:

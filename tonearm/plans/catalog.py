@@ -177,14 +177,14 @@ _G = f"{twins.names()}, {twins.split('(SELECT genre_tag AS tag FROM tracks)', 'g
 @query("q_tag_split", f"{_T}, {_G} SELECT track_id, parent, sub AS subgenre, coalesce(usable, false) AS usable FROM tracks LEFT JOIN g_tag ON tag = genre_tag")
 def q_tag_split(spark: SparkSession, d: str) -> DataFrame:
     name = music.canonical_genre(F.col("genre_tag"))
-    t = tracks(spark, d).select("track_id", "genre_tag", name.alias("name"))
+    t = tracks(spark, d).select("track_id", "genre_tag", music.once(name).alias("name"))
     return t.select("track_id", music.parent_genre(F.col("name")).alias("parent"), F.col("name").alias("subgenre"), music.is_usable(F.col("genre_tag")).alias("usable"))
 
 
-def _reconcile_sql(policy: str) -> str:
+def _reconcile_sql(policy: str, conf: str = "raw_conf", sub: str = "ml_subgenre") -> str:
     alone = {
-        "ml_only": "'ml'", "tag_only": "'tag'", "prefer_ml": "CASE WHEN raw_conf < 0.5 THEN 'tag' ELSE 'ml' END",
-        "prefer_tag": "CASE WHEN tag_ml AND raw_conf >= 0.9 THEN 'ml_override' ELSE 'tag' END",
+        "ml_only": "'ml'", "tag_only": "'tag'", "prefer_ml": f"CASE WHEN {conf} < 0.5 THEN 'tag' ELSE 'ml' END",
+        "prefer_tag": f"CASE WHEN tag_ml AND {conf} >= 0.9 THEN 'ml_override' ELSE 'tag' END",
     }[policy]
     both = {"ml_only": "'web'", "tag_only": "'tag'", "prefer_ml": "'web'", "prefer_tag": "CASE WHEN web_grounded AND (w <> t OR wp <> tp) THEN 'web_override' ELSE 'tag' END"}[policy]
     tag_conf = {"tag_only": "1.0"}.get(policy, "0.99")
@@ -192,14 +192,14 @@ def _reconcile_sql(policy: str) -> str:
   FROM tracks LEFT JOIN g_tag g ON g.tag = genre_tag LEFT JOIN g_web w ON w.tag = web_genre),
 c AS (SELECT *, NOT coalesce(tp = ml_genre OR tp = ml_subgenre OR t = ml_genre OR t = ml_subgenre, false) AS tag_ml, NOT coalesce(tp = wp OR tp = w OR t = wp OR t = w, false) AS tag_web FROM a),
 s AS (SELECT *, CASE WHEN web_ok AND NOT specific THEN 'web' WHEN web_ok THEN {both} WHEN NOT specific THEN 'ml' ELSE {alone} END AS source FROM c)
-SELECT track_id, CASE WHEN source LIKE 'web%' THEN wp WHEN source = 'tag' THEN tp ELSE ml_genre END AS genre, CASE WHEN source LIKE 'web%' THEN w WHEN source = 'tag' THEN t ELSE ml_subgenre END AS subgenre,
- CAST(CASE WHEN source LIKE 'web%' THEN 0.9 WHEN source = 'tag' THEN {tag_conf} ELSE raw_conf END AS DOUBLE) AS confidence, source,
+SELECT track_id, CASE WHEN source LIKE 'web%' THEN wp WHEN source = 'tag' THEN tp ELSE ml_genre END AS genre, CASE WHEN source LIKE 'web%' THEN w WHEN source = 'tag' THEN t ELSE {sub} END AS subgenre,
+ CAST(CASE WHEN source LIKE 'web%' THEN 0.9 WHEN source = 'tag' THEN {tag_conf} ELSE {conf} END AS DOUBLE) AS confidence, source,
  CASE WHEN source IN ('web_override', 'ml_override') THEN true WHEN NOT specific THEN false WHEN '{policy}' = 'ml_only' THEN false WHEN web_ok THEN tag_web ELSE tag_ml END AS conflict FROM s"""
 
 
 def _reconciled(spark: SparkSession, d: str, policy: str) -> DataFrame:
     c = {k: F.col(k) for k in ("ml_genre", "ml_subgenre", "raw_conf", "genre_tag", "web_genre", "web_grounded")}
-    return tracks(spark, d).withColumn("r", music.reconcile(*c.values(), policy))
+    return tracks(spark, d).withColumn("r", music.once(music.reconcile(*c.values(), policy)))
 
 
 for _policy in ("prefer_tag", "prefer_ml", "tag_only", "ml_only"):
@@ -212,7 +212,7 @@ FROM (SELECT *, CASE WHEN release_id % 4 = 0 THEN fam_conf ELSE coalesce(raw_con
 def q_tag_gate(spark: SparkSession, d: str) -> DataFrame:
     source = F.when(F.col("release_id") % 4 == 0, "tag").otherwise("ml")
     gate = music.tag_gate(F.col("raw_conf"), F.col("fam_conf"), F.col("ml_genre"), F.col("ml_subgenre"), source)
-    return tracks(spark, d).select("track_id", gate.alias("g")).select("track_id", "g.*")
+    return tracks(spark, d).select("track_id", music.once(gate).alias("g")).select("track_id", "g.*")
 
 
 # -- merges -----------------------------------------------------------------

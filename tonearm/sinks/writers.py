@@ -45,7 +45,7 @@ def _read(spark: SparkSession, path: str, kind: str, like: DataFrame) -> DataFra
 
 
 def write_csv(flat: DataFrame, path: str) -> int:
-    return publish(flat, path, "csv", header=True, emptyValue="")
+    return publish(flat, path, "csv", header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(rows: DataFrame, path: str) -> int:

@@ -69,11 +69,11 @@ def report(spark: SparkSession, path: str, schema: str) -> DataFrame:
     bad = whole.where(~start.isin("[", "{") | F.try_parse_json("value").isNull()).where(~F.ltrim("value").rlike(r"^\{[^\n]*\}\s*(\n\s*\{[^\n]*\}\s*)*$"))
     if not bad.isEmpty():
         raise Unreadable(f"{path} holds no report")
-    listed = F.from_json("value", f"array<struct<{schema}>>")
-    nested = F.from_json("value", f"struct<tracks: array<struct<{schema}>>>")["tracks"]
-    lines = F.transform(F.split("value", "\n"), lambda x: F.from_json(x, f"struct<{schema}>"))
-    rows = F.when(start == "[", listed).when(F.try_parse_json("value").isNull(), lines).otherwise(F.coalesce(nested, lines))
-    return whole.select(F.explode(rows).alias("t")).where("t is not null").select("t.*")
+    nested = F.from_json("value", "struct<tracks: array<string>>")["tracks"]
+    by_line = F.split("value", "\n")
+    rows = F.when(start == "[", F.from_json("value", "array<string>")).when(F.try_parse_json("value").isNull(), by_line).otherwise(F.coalesce(nested, by_line))
+    each = whole.select(F.explode(rows).alias("t")).where(F.startswith(F.ltrim("t"), F.lit("{")))
+    return each.select(F.from_json("t", f"struct<{schema}>").alias("t")).where("t is not null").select("t.*")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
