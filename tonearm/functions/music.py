@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import taxonomy as tax
@@ -29,6 +29,17 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
+def per_value(rows: DataFrame, column: str, out: str, f) -> DataFrame:
+    """Adds ``out`` = ``f(column)``, worked out once per different value and joined back.
+
+    For values that repeat (tags, keys) and functions that are dear. Values
+    are made distinct inside tasks first; how they are joined follows their
+    size. A null has a null.
+    """
+    values = rows.select(F.col(column).alias("_value")).where("_value is not null").distinct()
+    return rows.join(values.select("_value", once(f(F.col("_value"))).alias(out)), F.col(column) == F.col("_value"), "left").drop("_value")
+
+
 def blank(value: Column) -> Column:
     """Null for an empty string."""
     return F.nullif(value, F.lit(""))
@@ -88,7 +99,7 @@ def snap_octave(bpm: Column, hint: Column) -> Column:
 def filename_bpm(stem: Column) -> Column:
     """A number marked as bpm, else a bare one at the end that no dash sets off; from 60 to 200."""
     marked = F.regexp_extract(stem, r"(?i)(?:^|[^\d.])(\d{2,3}) *bpm(?!\w)", 1).try_cast("int")
-    bare = F.regexp_extract(stem, r"(?:^|[^-\s_]|[^ ]-)[\s_-]+?(\d\d\d?)$", 1).try_cast("int")
+    bare = F.regexp_extract(stem, r"[\s_-](\d\d\d?)$", 1).try_cast("int")
     return F.coalesce(F.when(marked.between(60, 200), marked), F.when(bare.between(60, 200) & ~stem.rlike(r"\s-\s*\d+$"), bare))
 
 
@@ -196,14 +207,24 @@ def is_usable(tag: Column) -> Column:
     return F.coalesce(bound(F.trim(tag), read), F.lit(False))
 
 
+def tag_reading(tag: Column) -> Column:
+    """Struct (name, parent, usable, label) of a tag: all that reconciling asks of it."""
+    return bound(canonical_genre(tag), lambda n: F.struct(n.alias("name"), parent_genre(n).alias("parent"), is_usable(tag).alias("usable"), is_label(tag).alias("label")))
+
+
 def reconcile(genre: Column, subgenre: Column, conf: Column, tag: Column, web: Column, grounded: Column, policy: str = "prefer_tag", override: float = 0.9) -> Column:
-    """Struct (genre, subgenre, confidence, source, conflict) of an audio, a tag and a web reading."""
-    t, w = canonical_genre(tag), canonical_genre(web)
+    """Struct (genre, subgenre, confidence, source, conflict) of an audio reading and the readings (:func:`tag_reading`) of a tag and a page."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
     read = F.struct(
-        genre.alias("g"), subgenre.alias("s"), conf.alias("raw"), t.alias("t"), w.alias("w"), parent_genre(t).alias("tp"), parent_genre(w).alias("wp"),
-        is_usable(tag).alias("specific"), is_label(web).alias("web_ok"), F.coalesce(grounded, F.lit(False)).alias("grounded"),
+        genre.alias("g"), subgenre.alias("s"), conf.alias("raw"), tag["name"].alias("t"), web["name"].alias("w"), tag["parent"].alias("tp"), web["parent"].alias("wp"),
+        yes(tag["usable"]).alias("specific"), yes(web["label"]).alias("web_ok"), yes(grounded).alias("grounded"),
     )
-    return F.transform(F.array(read), lambda x: _decide(x, policy, override))[0]
+    return bound(read, lambda x: _decide(x, policy, override))
+
+
+def with_readings(rows: DataFrame) -> DataFrame:
+    """Adds tag_read and web_read, the readings of genre_tag and web_genre."""
+    return per_value(per_value(rows, "genre_tag", "tag_read", tag_reading), "web_genre", "web_read", tag_reading)
 
 
 def _decide(x: Column, policy: str, override: float) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.music import canonical_genre, once, parent_genre
+from ..functions.music import per_value, tag_reading
 from ..functions.text import path_key
 
 #: How the values of a facet are ordered where that isn't alphabetical.
@@ -140,9 +140,9 @@ def resolve_conflicts(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     j = rows.join(decisions, "track_id", "left")
     decided, revert = F.col("action").isNotNull(), F.coalesce(F.col("action") == "revert", F.lit(False))
     back = revert & (F.trim(F.coalesce("genre_tag", F.lit(""))) != "")
-    j = j.withColumn("_sub", once(canonical_genre(F.col("genre_tag"))))
+    j = per_value(j, "genre_tag", "_read", tag_reading)
     return j.select(
-        "track_id", F.when(back, parent_genre(F.col("_sub"))).otherwise(F.col("genre")).alias("genre"), F.when(back, F.col("_sub")).otherwise(F.col("subgenre")).alias("subgenre"),
+        "track_id", F.when(back, F.col("_read.parent")).otherwise(F.col("genre")).alias("genre"), F.when(back, F.col("_read.name")).otherwise(F.col("subgenre")).alias("subgenre"),
         F.when(back, "tag").when(decided & ~revert, "approved").otherwise(F.col("source")).alias("source"), F.when(decided, False).otherwise(F.col("conflict")).alias("conflict"),
     )
 

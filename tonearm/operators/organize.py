@@ -57,6 +57,7 @@ def free_names(spark: SparkSession, moves: DataFrame, taken: DataFrame) -> DataF
     before; rows of one name start from their rank, which their elders need.
     """
     stem, ext = F.regexp_extract("filename", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"^.+?(\.[^.]*)?$", 1)
+    moves, made = save(spark, moves, "names-asked")
     rows = with_rank(moves.withColumn("_key", F.lower(F.concat("folder", F.lit("/"), "filename"))), ["_key"], "ordinal", "k")
     state, path = save(spark, rows.select("ordinal", "folder", stem.alias("stem"), ext.alias("ext"), F.col("k"), F.lit(False).alias("held")), "names")
     fixed, kept = save(spark, taken.select(F.lower(F.concat("folder", F.lit("/"), "filename")).alias("name")).distinct(), "names-taken")
@@ -93,8 +94,8 @@ def route(spark: SparkSession, files: DataFrame, taken: DataFrame) -> DataFrame:
     Spellings are made equal; tags that name no genre go under Other.
     ``files``: ordinal, filename, ext, genre_tag.
     """
-    genre = music.canonical_genre(F.col("genre_tag"))
-    t = files.withColumn("_g", music.once(F.when(F.trim(F.coalesce("genre_tag", F.lit(""))) != "", genre)))
+    read = music.per_value(files, "genre_tag", "_read", music.tag_reading)
+    t = read.withColumn("_g", F.when(F.trim(F.coalesce("genre_tag", F.lit(""))) != "", F.col("_read.name"))).drop("_read")
     lost = t.where("_g is null").select("ordinal", F.when(F.col("ext").isin(UNREADABLE), "unreadable").otherwise("no_genre").alias("status"), F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("destination"), F.lit(False).alias("renamed"))
     folder = F.concat(F.when(music.is_label(F.col("_g")), "").otherwise("Other/"), music.safe_folder(F.col("_g")))
     named = free_names(spark, t.where("_g is not null").select("ordinal", "filename", folder.alias("folder")), taken)

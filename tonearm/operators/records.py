@@ -31,18 +31,17 @@ def reconcile_genre(records: DataFrame, policy: str = "prefer_tag", override: fl
     """
     first = {"audio_genre": _C("ml_genre"), "audio_subgenre": _C("ml_subgenre"), "genre": _C("ml_genre"), "subgenre": _C("ml_subgenre"), "confidence": _C("fam_conf").cast("double"), "source": F.lit(None).cast("string"), "conflict": F.lit(False)}
     r = records.withColumns({k: v for k, v in first.items() if k not in records.columns})
-    new = music.reconcile(_C("audio_genre"), F.coalesce("audio_subgenre", F.lit("")), F.coalesce("raw_conf", "fam_conf", F.lit(0.0)), _C("genre_tag"), _C("web_genre"), _C("web_grounded"), policy, override)
+    new = music.reconcile(_C("audio_genre"), F.coalesce("audio_subgenre", F.lit("")), F.coalesce("raw_conf", "fam_conf", F.lit(0.0)), _C("tag_read"), _C("web_read"), _C("web_grounded"), policy, override)
     open_ = (F.coalesce("source", F.lit("")) != "approved") & (F.coalesce("audio_genre", F.lit("")) != "")
-    r = r.withColumn("_new", music.once(F.when(open_, new)))
+    r = music.with_readings(r).withColumn("_new", music.once(F.when(open_, new)))
     put = {c: F.when(_C("_new").isNotNull(), _C(f"_new.{c}")).otherwise(_C(c)) for c in ("genre", "subgenre", "source", "conflict")}
     put["confidence"] = F.when(_C("_new.source") == "ml", _C("fam_conf").cast("double")).when(_C("_new").isNotNull(), F.bround("_new.confidence", 3)).otherwise(_C("confidence"))
-    return r.withColumns(put).drop("_new")
+    return r.withColumns(put).drop("_new", "tag_read", "web_read")
 
 
 def surface_key(records: DataFrame) -> DataFrame:
     """Adds tag_key, the tag's key as Camelot code, and key_conflict: whether the audio's key differs. The audio's key stays."""
-    tag = music.key_to_camelot(_C("key_raw"))
-    return records.withColumn("tag_key", music.once(tag)).withColumn("key_conflict", F.when(_C("tag_key").isNotNull(), F.coalesce(_C("ml_key") != _C("tag_key"), F.lit(False))))
+    return music.per_value(records, "key_raw", "tag_key", music.key_to_camelot).withColumn("key_conflict", F.when(_C("tag_key").isNotNull(), F.coalesce(_C("ml_key") != _C("tag_key"), F.lit(False))))
 
 
 def reconcile_vocal(records: DataFrame, peak: Column, share: Column) -> DataFrame:

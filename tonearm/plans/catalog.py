@@ -80,7 +80,7 @@ SELECT s.track_id AS seed_id, s.camelot, CASE s.direction WHEN 'Up' THEN 'Up' EL
   concat_ws(',', CASE WHEN s.energy > 0 THEN s.energy - 1 END, s.energy, CASE WHEN s.energy < 5 THEN s.energy + 1 END) AS energies, CAST(sum(c.n) - 1 AS BIGINT) AS n
 FROM k s JOIN c ON c.camelot = s.camelot AND abs(c.energy - s.energy) <= 1 AND (c.direction = s.direction OR c.direction = 'Up') WHERE s.release_id % 50 = 0 GROUP BY s.track_id, s.camelot, s.direction, s.energy""")
 def q_find_compatible(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d).select("track_id", "release_id", "direction", "energy", music.key_to_camelot(F.col("key_raw")).alias("camelot"))
+    t = music.per_value(tracks(spark, d).select("track_id", "release_id", "direction", "energy", "key_raw"), "key_raw", "camelot", music.key_to_camelot)
     return library.find_compatible(t, t.where("release_id % 50 = 0"))
 
 
@@ -95,7 +95,7 @@ def q_skip_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_key_normalise", f"{_T} SELECT track_id, key_raw, {twins.camelot('key_raw')} AS camelot FROM tracks")
 def q_key_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return tracks(spark, d).select("track_id", "key_raw", music.key_to_camelot(F.col("key_raw")).alias("camelot"))
+    return music.per_value(tracks(spark, d).select("track_id", "key_raw"), "key_raw", "camelot", music.key_to_camelot)
 
 
 def _mix_sql() -> str:
@@ -176,9 +176,8 @@ _G = f"{twins.names()}, {twins.split('(SELECT genre_tag AS tag FROM tracks)', 'g
 
 @query("q_tag_split", f"{_T}, {_G} SELECT track_id, parent, sub AS subgenre, coalesce(usable, false) AS usable FROM tracks LEFT JOIN g_tag ON tag = genre_tag")
 def q_tag_split(spark: SparkSession, d: str) -> DataFrame:
-    name = music.canonical_genre(F.col("genre_tag"))
-    t = tracks(spark, d).select("track_id", "genre_tag", music.once(name).alias("name"))
-    return t.select("track_id", music.parent_genre(F.col("name")).alias("parent"), F.col("name").alias("subgenre"), music.is_usable(F.col("genre_tag")).alias("usable"))
+    t = music.per_value(tracks(spark, d).select("track_id", "genre_tag"), "genre_tag", "r", music.tag_reading)
+    return t.select("track_id", "r.parent", F.col("r.name").alias("subgenre"), F.coalesce("r.usable", F.lit(False)).alias("usable"))
 
 
 def _reconcile_sql(policy: str, conf: str = "raw_conf", sub: str = "ml_subgenre") -> str:
@@ -198,8 +197,9 @@ SELECT track_id, CASE WHEN source LIKE 'web%' THEN wp WHEN source = 'tag' THEN t
 
 
 def _reconciled(spark: SparkSession, d: str, policy: str) -> DataFrame:
-    c = {k: F.col(k) for k in ("ml_genre", "ml_subgenre", "raw_conf", "genre_tag", "web_genre", "web_grounded")}
-    return tracks(spark, d).withColumn("r", music.once(music.reconcile(*c.values(), policy)))
+    c = {k: F.col(k) for k in ("ml_genre", "ml_subgenre", "raw_conf", "tag_read", "web_read", "web_grounded")}
+    t = tracks(spark, d).select("track_id", "genre_tag", "ml_genre", "ml_subgenre", "raw_conf", "web_genre", "web_grounded")
+    return music.with_readings(t).withColumn("r", music.once(music.reconcile(*c.values(), policy)))
 
 
 for _policy in ("prefer_tag", "prefer_ml", "tag_only", "ml_only"):
