@@ -100,7 +100,8 @@ def filename_bpm(stem: Column) -> Column:
     """A number marked as bpm, else a bare one at the end that no dash sets off; from 60 to 200."""
     marked = F.regexp_extract(stem, r"(?i)(?:^|[^\d.])(\d{2,3}) *bpm(?!\w)", 1).try_cast("int")
     bare = F.regexp_extract(stem, r"[\s_-](\d\d\d?)$", 1).try_cast("int")
-    return F.coalesce(F.when(marked.between(60, 200), marked), F.when(bare.between(60, 200) & ~stem.rlike(r"\s-\s*\d+$"), bare))
+    fits = lambda x: bound(x, lambda n: F.when(n.between(60, 200), n))
+    return F.coalesce(fits(marked), F.when(~stem.rlike(r"\s-\s*\d+$"), fits(bare)))
 
 
 def filename_key(stem: Column) -> Column:

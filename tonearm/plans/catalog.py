@@ -133,7 +133,7 @@ SELECT track_id, hint AS filename_bpm, CASE WHEN hint IS NULL THEN b WHEN abs(2
 
 @query("q_bpm_snap", _snap_sql())
 def q_bpm_snap(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d).withColumn("filename_bpm", music.filename_bpm(F.col("stem")))
+    t = tracks(spark, d).select("track_id", "bpm", music.once(music.filename_bpm(F.col("stem"))).alias("filename_bpm"))
     return t.select("track_id", "filename_bpm", music.snap_octave(F.col("bpm"), F.col("filename_bpm")).alias("snapped"))
 
 
