@@ -76,6 +76,8 @@ def fingerprint(signature: str) -> Column:
 def similar(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Pairs (a, b, likeness) of distinct fingerprints, by their hashes, with likeness >= threshold.
 
+    Every pair comes out, so this is for sets without large groups of near
+    copies (``minhash`` handles those); the query compares stated pairs.
     Sets are partitioned by the logarithm of their length: similar sets are in
     the same or in neighbouring partitions. In each, a set is found only by
     its rarest signatures, as many as a partner must share one of.

@@ -6,7 +6,8 @@ or earlier in the same document). Three steps find those strings exactly:
 1. Every text is cut into runs of neighbouring strings with one common anchor
    (``pieces``). Equal strings always have equal anchors, so only runs with
    equal anchors need comparing, and a run whose whole text came earlier is
-   repeated in full.
+   repeated in full. Here 128 bits of two independent hashes stand for the
+   bytes; step 2 compares the bytes themselves.
 2. What is left are first runs whose anchor also occurs in other text. They
    are dealt by anchor and each task builds the Burrows-Wheeler transform and
    common prefixes of its strings column by column (``bwt.collection``); its
