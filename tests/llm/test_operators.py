@@ -116,6 +116,13 @@ def test_hot_anchors_agree(spark, docs, monkeypatch):
     assert sorted(map(str, substrings.remove_repeats(spark, docs).collect())) == want
 
 
+def test_later_here():
+    o, s, h1, h2 = (np.array(x) for x in ([3, 1, 1, 2, 2, 5], [0, 4, 4, 0, 9, 0], [7, 7, 7, 7, 7, 8], [1, 1, 1, 2, 2, 1]))
+    # equal places stay together, other hashes apart
+    assert substrings.later_here(o, s, h1, h2).tolist() == [True, False, False, False, True, False]
+    assert not len(substrings.later_here(*[np.zeros(0, np.int64)] * 4))
+
+
 def test_substrings_without_broadcasts(spark, docs, monkeypatch):
     want = sorted(map(str, substrings.remove_repeats(spark, docs).collect()))
     monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)

@@ -206,16 +206,34 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
+def later_here(o: np.ndarray, s: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which rows have the hashes of a row before them in (o, s); rows of one place have none before each other."""
+    order = np.lexsort((s, o, h2, h1))
+    o, s, h1, h2 = o[order], s[order], h1[order], h2[order]
+    start = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))) if len(o) else np.zeros(0, np.int64)
+    lead = np.repeat(start, np.diff(np.append(start, len(o))))
+    out = np.zeros(len(o), bool)
+    out[order] = (o != o[lead]) | (s != s[lead])
+    return out
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each 100-byte string of each piece by two hashes, for anchors with very many pieces."""
+    """Each 100-byte string of each piece by two hashes, for anchors with very many pieces.
+
+    Of equal strings in one batch only the first is still to be ranked; the
+    others get keys of their own, so a string that is everywhere costs one row a batch.
+    """
     for b in batches:
         o, s, text = b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(3).to_pylist()
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in text])))
         data = np.frombuffer(b"".join(text), np.uint8)
         own = np.repeat(np.arange(len(text)), np.diff(offsets) - LENGTH + 1)
         at = np.arange(len(own)) + own * (LENGTH - 1)
-        cols = (Rolling(data)(at, at + LENGTH).view(np.int64), second(data)(at, at + LENGTH).view(np.int64), o[own], (s[own] + at - offsets[own]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "ord", "s"])
+        h1, h2, row, start = Rolling(data)(at, at + LENGTH).copy(), second(data)(at, at + LENGTH), o[own], s[own] + at - offsets[own]
+        again = later_here(row, start, h1, h2)
+        h1[again] = mix(mix(row[again].astype(np.uint64)) + start[again].astype(np.uint64))
+        cols = (h1.view(np.int64), h2.view(np.int64), row, start.astype(np.int32), again)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h1", "h2", "ord", "s", "again"])
 
 
 def _with(spark: SparkSession, docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -252,7 +270,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, made: list[str]) -> DataF
         near, wide = texts.join(hot, "anchor", "left_anti"), texts.join(hot, "anchor", "left_semi")
     runs = near.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats, "ord long, s int, more int")
     if wide is not None:
-        w = wide.mapInArrow(_windows, "h1 long, h2 long, ord long, s int").withColumn("later", F.rank().over(Window.partitionBy("h1", "h2").orderBy("ord", "s")) > 1)
+        w = wide.mapInArrow(_windows, "h1 long, h2 long, ord long, s int, again boolean").withColumn("later", F.col("again") | (F.rank().over(Window.partitionBy("h1", "h2").orderBy("ord", "s")) > 1))
         runs = runs.union(w.where("later").select("ord", "s", F.lit(0).alias("more")))
     return whole.union(runs)
 
