@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import audio, music
 from ..functions import taxonomy as tax
 from ..functions import text as tx
-from ..operators import budget, dedupe, evidence, library, organize, records
+from ..operators import budget, dedupe, evidence, library, organize, records, settings
 from ..runtime import new_path
 from ..sinks import writers
 from ..sources import readers
@@ -95,6 +95,14 @@ edges("q_edge_lost_fields", [("happy,sad", "energy/mood"), ("voice_instrumental,
 edges("q_edge_parts", [("A---B", "A|B"), ("A", "A|A"), ("A---B---C", "A|C"), ("", "none|none")], lambda c: F.concat_ws("|", *[F.coalesce(x, F.lit("none")) for x in audio.label_parts(c)]))
 edges("q_edge_class", [("x,Voice,y", "1"), ("a,b", "7"), ("INSTRUMENTAL_voice", "0")], lambda c: audio.class_index(F.split(c, ","), "voice", 7))
 
+edges("q_edge_shares", [("0.5", "0.5"), ("-1", "0.0"), ("7", "1.0"), ("x", "0.25"), ("", "0.25"), (None, "0.25"), ("NaN", "0.25"), ("Infinity", "1.0"), (" 1e-1 ", "0.1")], lambda c: settings.share(c, 0.25))
+edges("q_edge_counts", [("12", "12"), ("-3", "0"), ("3.7", "5"), ("x", "5"), ("", "5"), (None, "5"), (" +4 ", "4"), ("99999999999999999999", "5")], lambda c: settings.count(c, 5))
+edges("q_edge_choices", [("prefer_ml", "prefer_ml"), ("Prefer_ml", "prefer_tag"), ("", "prefer_tag"), (None, "prefer_tag"), ("ml_only", "ml_only")], lambda c: settings.one_of(c, ["prefer_tag", "prefer_ml", "tag_only", "ml_only"], "prefer_tag"))
+edges("q_edge_targets", [
+    ("/Music/sorted", "true none false none"), ("sorted/here", "false not absolute false none"), ("", "true none false none"), (None, "true none false none"), ("  ", "true none false none"), ("/lib/", "true none true none"), ("/lib/./", "true none true none"),
+    ("C:\\Users\\me\\OneDrive\\x", "true none false onedrive"), ("/home/My Drive/a", "true none false my drive"), ("Dropbox/a", "false not absolute false none"), ("C:x", "false not absolute false none"), ("/x//lib", "true none false none"), ("/", "true none false none"),
+], lambda c: F.concat_ws(" ", *[F.coalesce(settings.target(c, F.lit("/lib"))[k].cast("string"), F.lit("none")) for k in ("ok", "error", "in_place", "cloud")]))
+
 # -- readings ----------------------------------------------------------------
 
 _V = "[CAST(x AS DOUBLE) FOR x IN embedding]"
@@ -704,3 +712,41 @@ def q_stream_log(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "events").select(F.col("event_id").alias("seq"), "event_type").write.parquet(path)
     base = new_path(spark, "log")
     return streaming.append_log(spark, path, spark.read.parquet(path).schema, f"{base}/rows", f"{base}/checkpoint")
+
+
+# -- settings ----------------------------------------------------------------
+
+_RULES = {"floor": ("float", "0.5", ()), "least": ("int", "15", ()), "gpu": ("bool", "true", ()), "encoding": ("int", "3", ("0", "1", "2", "3")), "root": ("path", None, ())}
+_KEYS = [*_RULES, "gone"]
+_GIVEN = ["0.75", "12", "Yes", "maybe", "", "7", None, "off", "2"]
+_SETTINGS = f"""given AS (SELECT o_custkey AS owner, o_orderkey AS seq, {choose('o_orderkey', _KEYS)} AS key, {choose('(o_orderkey // 7)', _GIVEN)} AS value FROM orders),
+last AS (SELECT owner, key, value FROM (SELECT *, row_number() OVER (PARTITION BY owner, key ORDER BY seq DESC) AS r FROM given WHERE key <> 'gone') WHERE r = 1),
+typed AS (SELECT *, CASE key WHEN 'floor' THEN CASE value WHEN '0.75' THEN '0.75' WHEN '12' THEN '12.0' WHEN '7' THEN '7.0' WHEN '2' THEN '2.0' END WHEN 'least' THEN CASE WHEN value IN ('12', '7', '2') THEN value END
+ WHEN 'gpu' THEN CASE value WHEN 'Yes' THEN 'true' WHEN 'off' THEN 'false' END WHEN 'encoding' THEN CASE WHEN value = '2' THEN value END WHEN 'root' THEN CASE WHEN value <> '' THEN value END END AS fit FROM last),
+settings AS (SELECT owner, key, coalesce(fit, CASE key WHEN 'floor' THEN '0.5' WHEN 'least' THEN '15' WHEN 'gpu' THEN 'true' WHEN 'encoding' THEN '3' END) AS value,
+ CASE WHEN value IS NOT NULL AND fit IS NULL THEN key || ' was ''' || value || ''', now the default' END AS warning FROM typed)"""
+
+
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    key = F.get(F.array(*[F.lit(k) for k in _KEYS]), (F.col("o_orderkey") % len(_KEYS)).cast("int"))
+    value = F.get(F.array(*[F.lit(v).cast("string") for v in _GIVEN]), (F.floor(F.col("o_orderkey") / 7) % len(_GIVEN)).cast("int"))
+    return settings.coerced(o.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("seq"), key.alias("key"), value.alias("value")), _RULES)
+
+
+@query("q_settings", f"WITH {_SETTINGS} SELECT owner, key, value, warning FROM settings")
+def q_settings(spark: SparkSession, d: str) -> DataFrame:
+    return _settings(spark, d)
+
+
+@query("q_profiles", f"""WITH {_SETTINGS}, profiles(profile, key, v) AS (VALUES ('building', 'floor', '0.6'), ('building', 'least', '20'), ('machinery', 'least', '5'), ('machinery', 'gpu', NULL), ('furniture', 'gpu', 'false')),
+over AS (SELECT c_custkey AS owner, key, v FROM customer JOIN profiles ON lower(c_mktsegment) = profile WHERE v IS NOT NULL AND NOT (key = 'least' AND c_nationkey % 2 = 0)
+ UNION ALL SELECT c_custkey, 'least', '5' FROM customer WHERE c_nationkey % 2 = 0)
+SELECT s.owner, s.key, coalesce(o.v, s.value) AS value FROM settings s LEFT JOIN over o ON o.owner = s.owner AND o.key = s.key""")
+def q_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Each owner takes the profile of the customer's segment; owners of even nations then another over it."""
+    profiles = spark.createDataFrame([("Building", "floor", "0.6"), ("Building", "least", "20"), ("Machinery", "least", "5"), ("Machinery", "gpu", None), ("Furniture", "gpu", "false")], "profile string, key string, value string")
+    c = table(spark, d, "customer")
+    first = c.select(F.col("c_custkey").alias("owner"), F.concat(F.lit(" "), "c_mktsegment").alias("profile"), F.lit(1).alias("seq"))
+    second = c.where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("owner"), F.lit("MACHINERY").alias("profile"), F.lit(2).alias("seq"))
+    return settings.with_profile(_settings(spark, d), first.union(second), profiles).select("owner", "key", "value")
