@@ -98,8 +98,10 @@ def snap_octave(bpm: Column, hint: Column) -> Column:
 
 def filename_bpm(stem: Column) -> Column:
     """A number marked as bpm, else a bare one at the end that no dash sets off; from 60 to 200."""
-    marked = F.regexp_extract(stem, r"(?i)(?:^|[^\d.])(\d{2,3}) *bpm(?!\w)", 1).try_cast("int")
-    bare = F.regexp_extract(stem, r"[\s_-](\d\d\d?)$", 1).try_cast("int")
+    # a failed cast of the empty string is dear, so it is made null first; what the patterns give always casts
+    number = lambda pattern: blank(F.regexp_extract(stem, pattern, 1)).cast("int")
+    marked = number(r"(?i)(?:^|[^\d.])(\d{2,3}) *bpm(?!\w)")
+    bare = number(r"[\s_-](\d\d\d?)$")
     fits = lambda x: bound(x, lambda n: F.when(n.between(60, 200), n))
     return F.coalesce(fits(marked), F.when(~stem.rlike(r"\s-\s*\d+$"), fits(bare)))
 
