@@ -65,7 +65,7 @@ def path_to_location(path: Column) -> Column:
 
 def energy_mark(text: Column) -> Column:
     """The number from 1 to 10 that a comment gives as energy."""
-    return F.regexp_extract(F.lower(text), r"(?<!\w)energy\s*[=:]?\s*(10|[1-9])(?!\w)", 1).try_cast("int")
+    return F.nullif(F.regexp_extract(F.lower(text), r"(?<!\w)energy\s*[=:]?\s*(10|[1-9])(?!\w)", 1), F.lit("")).cast("int")
 
 
 def grouping_parts(grouping: Column) -> tuple[Column, Column]:
