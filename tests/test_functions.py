@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm.functions import music
+from tonearm.functions import text as tx
 from tonearm.operators import dedupe, library, organize, vectors
 
 
@@ -85,3 +86,64 @@ def test_knn_of_many_references(spark):
         for r, v in zip(near, w):
             want[q, f"l{r % 7}"] = want.get((q, f"l{r % 7}"), 0) + v / w.sum()
     assert {(v["query_id"], v["label"]): v["share"] for v in votes} == pytest.approx(want, rel=1e-3)
+
+
+def column(spark, cases, f):
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, x string, want string").select("i", f(F.col("x")).alias("got")).orderBy("i").collect()
+    return [r["got"] for r in rows]
+
+
+CASES = {
+    "artist": (lambda c: music.artist_title(c)[0], [("01. A - B", "A"), ("7A - B", "7A"), ("12 - A - B - C", "A"), ("no dash", None), ("", None), (None, None), (" - B", None)]),
+    "title": (lambda c: music.artist_title(c)[1], [
+        ("A - B (Extended Mix) 128", "B"), ("A - B (feat. X) (Club Mix)", "B"), ("A - B (live)", "B (live)"), ("A - B [vip edit] (live)", "B (live)"), ("A - B (a (b remix) c", "B c"),
+        ("A - B 12 128", "B 12"), ("A - B 1999", "B 1999"), ("A - (Version 2)", None), ("A - B - C", "B - C"), ("A - B (open mix", "B (open mix"), (None, None),
+    ]),
+    "version": (music.version_key, [
+        ("A (x) (Bob Remix)", "remix:bob|"), ("A - Bob  Flip!", "remix:bob|"), ("A - Bob Remixed", "|"), ("A (Remix)", "|"), ("A - Remix", "|"), ("A (Bob presents X Rework)", "remix:bob|"), ("A - B (x) Bob Remix", "|"),
+        ("accapella", "|"), ("ClubMix", "|club"), ("club  mix dub", "|club"), ("A (Bob-Al Remix)", "remix:bobal|"), ("(feat. X Remix) - Bob Remix", "|"), ("dub_", "|"), ("Ünal Remix - Ünal Remix", "remix:nal|"),
+    ]),
+    "tempo": (lambda c: music.filename_bpm(c).cast("string"), [
+        ("a128bpm", "128"), ("1128bpm", None), ("128bpms 90", "90"), ("250bpm 100", "100"), ("128 bpm 130bpm", "128"), ("a-128", None), ("a -_128", None), ("a_ 128", "128"), ("128", None), ("a.128", None), (None, None), ("a  90", "90"),
+    ]),
+    "core": (tx.title_core, [
+        ("Soft Rain", "so"), ("Song feat. A (live) tail", "song tail"), ("Song (with A) [Dub Mix]", "song"), ("Song (Extended Edit Mix)", "song extended edit mix"), ("Song - Club", "song club"), ("Song - Club Mix - x", "song club mix x"),
+        ("feat. A", "feat a"), ("Song (vip)", "song"), ("Song (feat)", "song feat"), ("", ""), (None, None), ("Extended Mix", "extended mix"),
+    ]),
+    "artists": (lambda c: F.array_join(tx.artist_names(c), ","), [("Alx x Bob", "alx,bob"), ("A+B", "a b"), ("Max VS. Moe feat. Q", "max,moe"), ("Bob-x-Moe", "bob,moe"), ("Mixx & Co", "mixx"), ("One with Two", "one"), ("Bob\nMoe", "bob moe")]),
+    "shop field": (lambda c: tx.genre_field(c, F.lit("A"))["quote"], [
+        ("x Genre: House  BPM 1", "Genre: House  BPM"), ("Genre :Trance Key : A", "Genre :Trance Key :"), ("Subgenre: House Length: 3", "genre: House Length:"), ("Genre: Tech_House BPM 1", None), ("Genre: House BPMs", None),
+    ]),
+    "field": (lambda c: tx.genre_field(c, F.lit("B"))["quote"], [
+        ("Genres – House, Trance.", "Genres – House, Trance"), ("Style: Techno | x", "Style: Techno"), ("Style: Techno", "Style: Techno"), ("Style - - House Year", "Style - - House"), ("Lifestyle: House.", None), ("Genre: Style: House", "Style: House"),
+        ("Style: Tech_no.", None), ("Genre: " + "x" * 61, None), ("Genre: House\nCountry", "Genre: House"),
+    ]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_names_by_words(spark, name):
+    f, cases = CASES[name]
+    assert column(spark, cases, f) == [want for _, want in cases]
+
+
+def test_tempo_folds_in_closed_form(spark):
+    """As doubling and halving step by step gives it, also at the edges and where twelve octaves are not enough."""
+    tempi = [x for k in range(-16, 17) for x in (70 * 2.0**k, 200 * 2.0**k, 70 * 2.0**k - 2.0**-44, 99.99999 * 2.0**k, 100 * 2.0**k, 140 * 2.0**k, 199.999999999 * 2.0**k)]
+
+    def folded(b):
+        for _ in range(12):
+            b = b * 2 if b < 70 else b / 2 if b >= 200 else b
+        return b
+
+    rows = spark.createDataFrame([(b,) for b in tempi if b > 0], "b double").select("b", music.snap_octave(F.col("b"), F.lit(None).cast("int")).alias("x")).collect()
+    assert [r["x"] for r in rows] == [folded(r["b"]) for r in rows]
+
+
+def test_values_of_two_columns_read_once(spark):
+    rows = spark.createDataFrame([("House", "techno", 1), ("House", None, 2), (None, "House", 3)], "a string, b string, n int")
+    for most in (music.BROADCAST_ROWS, 0):
+        old, music.BROADCAST_ROWS = music.BROADCAST_ROWS, most
+        got = music.per_value(rows, {"a": "x", "b": "y"}, f=lambda c: F.upper(c))
+        music.BROADCAST_ROWS = old
+        assert sorted((r["n"], r["x"], r["y"]) for r in got.collect()) == [(1, "HOUSE", "TECHNO"), (2, "HOUSE", None), (3, None, "HOUSE")]

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import save
 from . import taxonomy as tax
 
 # Semitones of the notes that keys are named by; those missing (such as Cb and E#) name no key.
@@ -29,15 +30,29 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def per_value(rows: DataFrame, column: str, out: str, f) -> DataFrame:
-    """Adds ``out`` = ``f(column)``, worked out once per different value and joined back.
+#: Most different values that are handed out with the plan; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
-    For values that repeat (tags, keys) and functions that are dear. Values
-    are made distinct inside tasks first; how they are joined follows their
-    size. A null has a null.
+
+def per_value(rows: DataFrame, columns: dict[str, str] | str, out: str | None = None, f=None) -> DataFrame:
+    """Adds ``f`` of columns, worked out once per different value and joined back.
+
+    ``columns`` maps each column to its new one, ``out`` names that of a
+    single one. For values that repeat (tags, keys) and functions that are
+    dear. One pass makes the values of all columns distinct, inside tasks
+    first; they are counted, and sent to all tasks only where they are at most
+    BROADCAST_ROWS of at most 1,000 signs, so that the rows themselves are not shuffled. A null has a null.
     """
-    values = rows.select(F.col(column).alias("_value")).where("_value is not null").distinct()
-    return rows.join(values.select("_value", once(f(F.col("_value"))).alias(out)), F.col(column) == F.col("_value"), "left").drop("_value")
+    columns = {columns: out} if isinstance(columns, str) else columns
+    spark = rows.sparkSession
+    values = rows.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("_value")).where("_value is not null").distinct()
+    read, path = save(spark, values.select("_value", once(f(F.col("_value"))).alias("_read")), "values")
+    n, longest = read.agg(F.count("*"), F.max(F.length("_value"))).first()
+    small = n <= BROADCAST_ROWS and (longest or 0) <= 1000
+    for column, new in columns.items():
+        named = read.select(F.col("_value"), F.col("_read").alias(new))
+        rows = rows.join(F.broadcast(named) if small else named, F.col(column) == F.col("_value"), "left").drop("_value")
+    return rows
 
 
 def blank(value: Column) -> Column:
@@ -45,15 +60,62 @@ def blank(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+# -- words, as the names below are read by words and positions ------------------
+
+_SPACE = " \t\n\r\f\x0b"
+_DIGITS = "0123456789"
+
+
+def word_runs(text: Column) -> Column:
+    """A text cut at every word edge: runs of letters, digits and ``_``, and what stands between them, in turn."""
+    return F.filter(F.split(text, r"(?U)\b"), lambda t: t != "")
+
+
+def spaced_words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def closed_pieces(text: Column) -> Column:
+    """A text cut after each closing bracket, so that only its last piece may lack one."""
+    return F.split(text, r"(?<=[)\]])")
+
+
+def _rstrip(text: Column, signs: str = _SPACE) -> Column:
+    return F.rtrim(text, F.lit(signs))
+
+
+def _lstrip(text: Column, signs: str = _SPACE) -> Column:
+    return F.ltrim(text, F.lit(signs))
+
+
+def _strip(text: Column) -> Column:
+    return F.trim(text, F.lit(_SPACE))
+
+
+def _after(text: Column, head: Column) -> Column:
+    """What follows ``head``, a beginning of the text."""
+    return F.substring(text, F.length(head) + 1, F.length(text))
+
+
+def _last_sign(text: Column) -> Column:
+    return F.right(text, F.lit(1))
+
+
 def key_to_camelot(raw: Column) -> Column:
     """Camelot code of a key in Camelot, Open Key or note notation; null if it is none.
 
     A wheel position is looked for first, then a note of ``NOTES`` with or
     without a mode: majors go round the circle of fifths, a minor has the
     number of the major three semitones above it, a bare note is major.
-    Brackets at the end are dropped.
+    Brackets at the end are dropped: all that follows the first one, if each
+    is closed and nothing stands after it.
     """
 
+    def bare(s: Column) -> Column:
+        parts = F.split(s, r"\(")
+        notes = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda n: F.trim(n))
+        return F.when(F.forall(notes, lambda n: F.instr(n, F.lit(")")) == F.length(n)) & ~F.array_contains(notes, ""), F.get(parts, F.lit(0))).otherwise(s)
+
     def read(s: Column) -> Column:
         wheel = F.regexp_extract(s, r"^(\d\d?)\s*[abdm]$", 1).try_cast("int")
         letter = F.right(s, F.lit(1))
@@ -68,7 +130,7 @@ def key_to_camelot(raw: Column) -> Column:
         named = F.when(minor | mode.isin("", "maj", "major"), F.concat(number.cast("string"), F.when(minor, "A").otherwise("B")))
         return F.coalesce(place, named)
 
-    return bound(F.lower(F.trim(F.regexp_replace(F.trim(raw), r"(?:\s*\([^()]*\))+$", ""))), read)
+    return bound(F.lower(F.trim(bound(F.trim(raw), bare))), read)
 
 
 def compatible_keys(camelot: Column, mode: str = "energy") -> Column:
@@ -85,25 +147,64 @@ def keys_mix(a: Column, b: Column, mode: str = "energy") -> Column:
 
 
 def snap_octave(bpm: Column, hint: Column) -> Column:
-    """Tempo folded into [70, 200), then the octave nearest to the hint, if strictly nearer."""
-    fold = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.when(bpm > 0, bpm), lambda b, _: F.when(b < 70, b * 2).when(b >= 200, b / 2).otherwise(b))
+    """Tempo folded into [70, 200) by at most twelve octaves, then the octave nearest to the hint, if strictly nearer.
+
+    A tempo under 70 is doubled until it isn't, one of 200 or more halved, so
+    the number of octaves is a logarithm; powers of two change no digit.
+    """
+    bpm = F.when(bpm > 0, bpm)
+    # a logarithm just off a whole number is put right by one comparison
+    up = F.ceil(F.log2(F.lit(70.0) / bpm)).cast("int")
+    down = F.floor(F.log2(bpm / 100.0)).cast("int")
+
+    def doubled(n: Column) -> Column:
+        x = bpm * F.pow(F.lit(2.0), n)
+        return F.when(x < 70, n + 1).when(x / 2 >= 70, n - 1).otherwise(n)
+
+    def halved(n: Column) -> Column:
+        x = bpm / F.pow(F.lit(2.0), n)
+        return F.when(x >= 200, n + 1).when(x * 2 < 200, n - 1).otherwise(n)
+
+    octaves = F.when(bpm < 70, F.least(doubled(up), F.lit(12))).when(bpm >= 200, -F.least(halved(down), F.lit(12))).otherwise(0)
 
     def nearest(b: Column) -> Column:
         far = F.abs(b - hint)
         near = F.when(F.abs(2 * b - hint) < F.least(far, F.abs(b / 2 - hint)), 2 * b).when(F.abs(b / 2 - hint) < far, b / 2).otherwise(b)
         return F.when(hint.isNull(), b).otherwise(near)
 
-    return F.transform(F.array(fold), nearest)[0]
+    return bound(bpm * F.pow(F.lit(2.0), octaves), nearest)
 
 
 def filename_bpm(stem: Column) -> Column:
-    """A number marked as bpm, else a bare one at the end that no dash sets off; from 60 to 200."""
-    # a failed cast of the empty string is dear, so it is made null first; what the patterns give always casts
-    number = lambda pattern: blank(F.regexp_extract(stem, pattern, 1)).cast("int")
-    marked = number(r"(?i)(?:^|[^\d.])(\d{2,3}) *bpm(?!\w)")
-    bare = number(r"[\s_-](\d\d\d?)$")
+    """A number marked as bpm, else a bare one at the end that no dash sets off; from 60 to 200.
+
+    Marked: two or three digits, not after another digit or a dot, with
+    nothing but blanks up to "bpm", which ends its word; the first counts.
+    """
+
+    def marked(low: Column) -> Column:
+        parts = F.split(low, "bpm")
+
+        def before(part: Column, i: Column) -> Column:
+            text = _rstrip(part)
+            head = _rstrip(text, _DIGITS)
+            ends = (i + 1 < F.size(parts)) & ~F.coalesce(F.get(parts, i + 1), F.lit("")).rlike(r"(?U)^\w")
+            return F.when(ends & (F.length(text) - F.length(head)).between(2, 3) & (_last_sign(head) != "."), _after(text, head))
+
+        return F.get(F.filter(F.transform(parts, before), lambda x: x.isNotNull()), F.lit(0))
+
+    def bare(s: Column) -> Column:
+        head = _rstrip(s, _DIGITS)
+        sign = _last_sign(head)
+        joined = sign.isin(*_SPACE) | (sign == "_")
+        front = _rstrip(F.when(sign == "_", F.left(head, F.length(head) - 1)).otherwise(head))
+        return F.when((F.length(s) - F.length(head)).between(2, 3) & joined & (_last_sign(front) != "-"), _after(s, head))
+
+    # few names have the word: the others are spared the splitting
+    low = F.lower(stem)
+    number = F.when(F.contains(low, F.lit("bpm")), marked(low)).cast("int")
     fits = lambda x: bound(x, lambda n: F.when(n.between(60, 200), n))
-    return F.coalesce(fits(marked), F.when(~stem.rlike(r"\s-\s*\d+$"), fits(bare)))
+    return F.coalesce(fits(number), fits(bound(stem, bare).cast("int")))
 
 
 def filename_key(stem: Column) -> Column:
@@ -117,7 +218,10 @@ def filename_key(stem: Column) -> Column:
 MIXES = ["Original Mix", "Extended Mix", "Radio Edit", "Club Mix", "Dub Mix", "VIP Mix"]
 # Words for the work of a remixer, and words that tell a length or kind of version with their tokens, the first found counts.
 REMIX_WORDS = ["remix", "rmx", "bootleg", "flip", "refix", "rework"]
-LENGTHS = {"extended": "extended", "radio": "radio", "club mix": "club", "dub": "dub", "vip": "vip", "instrumental": "instrumental", "acapella": "acapella", "accapella": "acapella", "acepella": "acapella"}
+LENGTHS = {"extended": "extended", "radio": "radio", "club mix": "club", "dub": "dub", "vip": "vip", "instrumental": "instrumental", "acapella": "acapella", "acepella": "acapella"}
+# Words of which one in a bracket makes it the name of a mix, and words after which a remixer's name has ended.
+MIX_WORDS = ["mix", "edit", "version"]
+CREDIT_WORDS = ["feat", "ft", "presents", "pres"]
 
 
 def mix_type(stem: Column) -> Column:
@@ -128,23 +232,72 @@ def mix_type(stem: Column) -> Column:
 
 
 def artist_title(stem: Column) -> tuple[Column, Column]:
-    """Parts before and after the first dash, without a track number, mix in brackets and number at the end."""
-    parts = F.split(F.regexp_replace(stem, r"^\d+[-.\s]+", ""), " - ", 2)
-    title = F.regexp_replace(F.get(parts, F.lit(1)), r"(?i)\s*[(\[][^)\]]*?(version|remix|edit|mix)[^)\]]*[)\]]", "")
-    return F.trim(F.get(parts, F.lit(0))), F.trim(F.regexp_replace(title, r"\s\s*\d\d\d?$", ""))
+    """What stands before and after the first " - ", without a track number, brackets that name a mix and a number at the end.
+
+    A name without " - " gives neither. A bracket that no mix word follows
+    before it closes goes on to the next closing one.
+    """
+    rest = _lstrip(stem, _DIGITS)
+    led = (F.length(rest) < F.length(stem)) & F.left(rest, F.lit(1)).isin(*_SPACE, "-", ".")
+    parts = bound(F.when(led, _lstrip(rest, _SPACE + "-.")).otherwise(stem), lambda c: F.split(c, " - ", 2))
+
+    def step(acc: Column, piece: Column) -> Column:
+        low = F.translate(piece, "[", "(")
+        own = F.substring_index(low, "(", 1)
+        head = F.when(acc["open"] == "", F.left(piece, F.length(own))).otherwise("")
+        held = F.concat(acc["open"], _after(piece, head))
+        named = _last_sign(piece).isin(")", "]") & reduce(lambda a, w: a | F.contains(F.lower(F.substring(held, 2, 1 << 30)), F.lit(w)), MIX_WORDS, F.lit(False))
+        gone = named & (held != "")
+        kept = F.concat(acc["kept"], head)
+        return F.struct(F.when(gone, _rstrip(kept)).otherwise(kept).alias("kept"), F.when(gone, "").otherwise(held).alias("open"))
+
+    def trimmed(title: Column) -> Column:
+        head = _rstrip(title, _DIGITS)
+        return _strip(F.when((F.length(title) - F.length(head)).between(2, 3) & _last_sign(head).isin(*_SPACE), head).otherwise(title))
+
+    none = F.struct(F.lit("").alias("kept"), F.lit("").alias("open"))
+    title = F.aggregate(closed_pieces(F.get(parts, F.lit(1))), none, step, lambda acc: F.concat(acc["kept"], acc["open"]))
+    return F.when(F.size(parts) > 1, blank(_strip(F.get(parts, F.lit(0))))), blank(bound(title, trimmed))
 
 
 def version_key(stem: Column) -> Column:
-    """``remix:<who>|<length>``: which version of a title this is. Files with equal keys may be copies."""
+    """``remix:<who>|<length>``: which version of a title this is. Files with equal keys may be copies.
+
+    The remixer stands in a bracket whose last word is one of REMIX_WORDS,
+    else between a dash and such a word; the name ends before a credit.
+    """
     low = F.lower(F.coalesce(stem, F.lit("")))
-    did = "(?:" + "|".join(REMIX_WORDS) + ")"
-    inside = F.regexp_extract(low, rf"[(\[]([^)\]]*\S)\s+{did}\s*[)\]]", 1)
-    after = F.regexp_extract(low, rf"-([^-()\[\]]*[^-()\[\]\s])\s+{did}(?!\w)", 1)
-    who = F.when(inside != "", inside).otherwise(after)
-    who = F.regexp_replace(F.regexp_replace(who, r"(?<!\w)(feat|ft|pres|presents)(?!\w).*", ""), "[^a-z0-9]", "")
-    spaced = F.regexp_replace(low, r"club\s*mix", "club mix")
-    length = reduce(lambda acc, kv: F.when(spaced.rlike(rf"(?<!\w){kv[0]}(?!\w)"), kv[1]).otherwise(acc), reversed(list(LENGTHS.items())), F.lit(""))
-    return F.concat(F.when(who != "", F.concat(F.lit("remix:"), who)).otherwise(""), F.lit("|"), length)
+    runs = word_runs(low)
+
+    def in_bracket(piece: Column) -> Column:
+        text = F.translate(piece, "[]", "()")
+        words = spaced_words(F.rtrim(_after(text, F.concat(F.substring_index(text, "(", 1), F.lit("("))), F.lit(_SPACE + ")")))
+        of = F.contains(text, F.lit("(")) & F.endswith(text, F.lit(")")) & (F.size(words) > 1) & F.element_at(words, -1).isin(REMIX_WORDS)
+        return F.when(of, F.array_join(F.slice(words, 1, F.size(words) - 1), " "))
+
+    def after_dash(part: Column) -> Column:
+        own = word_runs(F.get(F.split(part, r"[(\[\]]"), F.lit(0)))
+        work = F.filter(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), lambda i: F.get(own, i).isin(REMIX_WORDS) & _last_sign(F.get(own, i - 1)).isin(*_SPACE) & (_strip(F.array_join(F.slice(own, 1, i), "")) != ""))
+        return F.when(F.size(work) > 0, F.array_join(F.slice(own, 1, F.get(work, F.lit(0))), ""))
+
+    def name(who: Column) -> Column:
+        words = word_runs(who)
+        credit = F.array_position(F.transform(words, lambda w: w.isin(CREDIT_WORDS)), True)
+        return F.regexp_replace(F.array_join(F.when(credit > 0, F.slice(words, 1, (credit - 1).cast("int"))).otherwise(words), ""), "[^a-z0-9]", "")
+
+    def first(found: Column) -> Column:
+        return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+    dashed = F.split(low, "-")
+    who = bound(F.coalesce(first(F.transform(closed_pieces(low), in_bracket)), first(F.transform(F.slice(dashed, 2, F.size(dashed)), after_dash)), F.lit("")), name)
+
+    def length(words: Column) -> Column:
+        club = F.array_contains(words, "clubmix") | F.exists(F.transform(words, lambda w, i: (w == "club") & (_strip(F.get(words, i + 1)) == "") & (F.get(words, i + 2) == "mix")), lambda x: F.coalesce(x, F.lit(False)))
+        return reduce(lambda acc, kv: F.when(club if kv[0] == "club mix" else F.array_contains(words, kv[0]), kv[1]).otherwise(acc), reversed(list(LENGTHS.items())), F.lit(""))
+
+    # most names have no remix word, and are spared the splitting
+    asked = reduce(lambda a, w: a | F.contains(low, F.lit(w)), REMIX_WORDS, F.lit(False))
+    return F.concat(F.when(asked & (who != ""), F.concat(F.lit("remix:"), who)).otherwise(""), F.lit("|"), bound(runs, length))
 
 
 def safe_folder(name: Column) -> Column:
@@ -227,7 +380,7 @@ def reconcile(genre: Column, subgenre: Column, conf: Column, tag: Column, web: C
 
 def with_readings(rows: DataFrame) -> DataFrame:
     """Adds tag_read and web_read, the readings of genre_tag and web_genre."""
-    return per_value(per_value(rows, "genre_tag", "tag_read", tag_reading), "web_genre", "web_read", tag_reading)
+    return per_value(rows, {"genre_tag": "tag_read", "web_genre": "web_read"}, f=tag_reading)
 
 
 def _decide(x: Column, policy: str, override: float) -> Column:

@@ -25,7 +25,7 @@ PARENTS = {
     "Midtempo Bass": [],
     "Electronica": [],
 }
-# Names that are shown under another name.
+# Names that are shown under another name; those that are shown as they are need no entry.
 SHOWN_AS = {
     "Garage House": "UK Garage", "Schranz": "Hard Techno", "Psy-Trance": "Psytrance", "Goa Trance": "Psytrance", "Drum n Bass": "Drum & Bass",
     "Breakbeat": "Breaks", "Speedcore": "Hardcore", "Dance-pop": "Dance Pop", "Hi NRG": "Hi-NRG", "K-pop": "K-Pop", "J-pop": "J-Pop",

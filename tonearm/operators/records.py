@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import audio, music
 from ..functions.text import best_name, has_guest
+from .library import report_stats, search
 
 _C = F.col
 
@@ -61,6 +62,7 @@ def severity() -> Column:
 
 def review_reason() -> Column:
     """A sentence on why a record is to be reviewed; null if it isn't."""
+    # The sentences below are shown to users as they stand.
     kind = severity()
     tag, now = _C("genre_tag"), F.coalesce("subgenre", "genre")
     by = F.when(F.startswith("source", F.lit("web")), "an online source").otherwise("the audio model")
@@ -84,8 +86,6 @@ def to_review(records: DataFrame) -> DataFrame:
 
 def errors_only(records: DataFrame, text: str = "", columns: list[str] | None = None) -> DataFrame:
     """Failed records, in place of all other filters but the search for ``text``."""
-    from .library import search
-
     rows = records.where(failed())
     return search(rows, text, columns or ["stem"]) if text else rows
 
@@ -146,11 +146,7 @@ def tag_writes(records: DataFrame, toggles: dict[str, bool], **options) -> DataF
 
 def statistics(records: DataFrame, columns: list[str]) -> DataFrame:
     """(histogram, value, n, place): counts of several columns, places by count for genres and by value for the rest; empty strings don't count."""
-    from .library import report_stats
-
     h = report_stats(records, columns).where("value <> ''")
-    from pyspark.sql import Window
-
     by_count = F.row_number().over(Window.partitionBy("histogram").orderBy(F.desc("n"), "value"))
     by_value = F.row_number().over(Window.partitionBy("histogram").orderBy("value"))
     return h.withColumn("place", F.when(_C("histogram") == columns[0], by_count).otherwise(by_value))
