@@ -75,6 +75,29 @@ def test_free_names(spark):
     assert organize.free_names(spark, spark.createDataFrame([], "ordinal long, folder string, filename string"), spark.createDataFrame([], "folder string, filename string")).count() == 0
 
 
+def test_free_names_of_nested_forms(spark):
+    """Numbered forms of wanted names that are wanted too, several deep, against giving names out one after another."""
+    for seed in range(4):
+        r = random.Random(seed)
+        pool = ["a.mp3", "a_1.mp3", "a_2.mp3", "a_3.mp3", "a_1_1.mp3", "a_1_2.mp3", "a_1_1_1.mp3", "a_01.mp3", "_1.mp3", ".mp3", ".mp3_1", "x_1", "x", "x_1_1"]
+        moves = [(i, "f", r.choice(pool)) for i in r.sample(range(1000), 40)]
+        taken = [("f", r.choice(["a_4.mp3", "a_1_3.mp3", "a_1.mp3", "A.mp3", "x_2", "a_1_1_1.MP3"])) for _ in range(r.randrange(4))]
+        got = organize.free_names(spark, spark.createDataFrame(moves, "ordinal long, folder string, filename string"), spark.createDataFrame(taken, "folder string, filename string"))
+        assert {x["ordinal"]: x["destination"] for x in got.collect()} == plain_names(sorted(moves), taken)
+
+
+def test_free_names_among_many_taken(spark):
+    """10,000 taken names are a fixed number of jobs."""
+    taken = spark.range(10_000).selectExpr("'f' folder", "case when id = 0 then 'a.mp3' else concat('a_', id + (case when id > 5000 then 3 else 0 end), '.mp3') end filename")
+    moves = spark.range(5).selectExpr("id ordinal", "'f' folder", "'a.mp3' filename")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("names", "names")
+    got = {r["ordinal"]: r["destination"] for r in organize.free_names(spark, moves, taken).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {0: "a_5001.mp3", 1: "a_5002.mp3", 2: "a_5003.mp3", 3: "a_10003.mp3", 4: "a_10004.mp3"}
+    assert len(tracker.getJobIdsForGroup("names")) < 60
+
+
 def test_plan_leaves_files_in_place(spark):
     t = spark.createDataFrame([(1, "/l/House/a.mp3", "House", None, "a.mp3"), (2, "/x/a.mp3", "House", None, "a.mp3"), (3, "/x/z.mp3", None, None, "z.mp3")], "track_id long, path string, genre string, subgenre string, filename string")
     have = spark.createDataFrame([("House", 9)], "folder string, n long")

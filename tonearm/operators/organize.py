@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import music
 from ..functions.text import folder_of, is_under, path_key
-from ..runtime import drop, save
-from .ranks import with_rank
+from .names import free_names
 
 #: Folders that no census counts.
 OUTSIDE = ["other", "unknown"]
@@ -47,35 +46,6 @@ def place(tracks: DataFrame, existing: DataFrame, least: int, subfolders: bool =
     return t.withColumn("folder", folder).drop("_g", "_k", "_name")
 
 
-def free_names(spark: SparkSession, moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """``destination`` for rows of (ordinal, folder, filename, ...): ``name``, ``name_1``, ... , the first that is free.
-
-    Names go to the least ``ordinal`` that wants them, as if given out one
-    after another; files of ``taken`` (folder, filename) keep theirs. Case
-    does not tell names apart. Each round every row asks for its next name and
-    the least ordinal holds it, perhaps in place of a later one that asked
-    before; rows of one name start from their rank, which their elders need.
-    """
-    stem, ext = F.regexp_extract("filename", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"^.+?(\.[^.]*)?$", 1)
-    moves, made = save(spark, moves, "names-asked")
-    rows = with_rank(moves.withColumn("_key", F.lower(F.concat("folder", F.lit("/"), "filename"))), ["_key"], "ordinal", "k")
-    state, path = save(spark, rows.select("ordinal", "folder", stem.alias("stem"), ext.alias("ext"), F.col("k"), F.lit(False).alias("held")), "names")
-    fixed, kept = save(spark, taken.select(F.lower(F.concat("folder", F.lit("/"), "filename")).alias("name")).distinct(), "names-taken")
-    while True:
-        name = F.concat("stem", F.when(F.col("k") > 0, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(""), "ext")
-        asked = state.withColumn("file", name).withColumn("name", F.lower(F.concat("folder", F.lit("/"), "file")))
-        best = asked.groupBy("name").agg(F.min("ordinal").alias("_best"))
-        met = asked.join(best, "name").join(fixed.withColumn("_taken", F.lit(True)), "name", "left")
-        won = F.col("_taken").isNull() & (F.col("ordinal") == F.col("_best"))
-        nxt, p = save(spark, met.select("ordinal", "folder", "stem", "ext", F.when(won, F.col("k")).otherwise(F.col("k") + 1).alias("k"), won.alias("held"), "file"), "names")
-        drop(spark, path)
-        path = p
-        if nxt.where("not held").isEmpty():
-            drop(spark, kept)
-            return moves.join(nxt.select("ordinal", F.col("file").alias("destination")), "ordinal")
-        state = nxt.drop("file")
-
-
 def plan(spark: SparkSession, tracks: DataFrame, existing: DataFrame, least: int, taken: DataFrame | None = None, subfolders: bool = True, root: str = "") -> DataFrame:
     """track_id, folder, destination, rare of each track that moves; one whose file is at its place already is left out.
 
@@ -184,11 +154,12 @@ def is_lossless(kind: Column, location: Column) -> Column:
     return F.contains(F.upper(F.coalesce(kind, F.lit(""))), F.lit("FLAC")) | F.coalesce(F.endswith(F.lower(location), F.lit(".flac")), F.lit(False))
 
 
-def player_plan(spark: SparkSession, tracks: DataFrame, files: DataFrame) -> DataFrame:
+def player_plan(spark: SparkSession, tracks: DataFrame, files: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Per collection row: ordinal, status (convert, passthrough, missing), destination, renamed, resampled.
 
     ``tracks``: ordinal, location, path, kind, rate; ``files`` (path) exist.
-    FLAC files get an AIFF copy in one folder, under the next free name.
+    FLAC files get an AIFF copy in one folder, under the next free name;
+    ``taken`` (folder "", filename) are there already.
     """
     there = files.select(F.col("path"), F.lit(True).alias("_there")).distinct()
     t = tracks.join(there, "path", "left")
@@ -196,7 +167,7 @@ def player_plan(spark: SparkSession, tracks: DataFrame, files: DataFrame) -> Dat
     t = t.withColumn("status", status)
     name = F.concat(F.regexp_replace(F.regexp_extract("path", r"[^/\\]*$", 0), r"(?<=.)\.[^.]*$", ""), F.lit(".aiff"))
     made = t.where("status = 'convert'").select("ordinal", "rate", F.lit("").alias("folder"), name.alias("filename"))
-    named = free_names(spark, made, made.select("folder", "filename").limit(0))
+    named = free_names(spark, made, taken if taken is not None else made.select("folder", "filename").limit(0))
     done = named.select("ordinal", F.lit("convert").alias("status"), "destination", (F.col("destination") != F.col("filename")).alias("renamed"), (F.col("rate") > target_rate(F.col("rate"))).alias("resampled"))
     rest = t.where("status <> 'convert'").select("ordinal", "status", F.lit(None).cast("string").alias("destination"), F.lit(False).alias("renamed"), F.lit(False).alias("resampled"))
     return done.unionByName(rest)

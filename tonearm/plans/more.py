@@ -11,6 +11,8 @@ from ..functions import audio, music
 from ..functions import taxonomy as tax
 from ..functions import text as tx
 from ..operators import budget, dedupe, evidence, library, organize, records, settings
+from ..operators.ranks import with_rank
+from ..operators.vectors import top_classes
 from ..runtime import new_path
 from ..sinks import writers
 from ..sources import readers
@@ -187,7 +189,6 @@ def q_best_genre(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vectors_top(scores: Column) -> Column:
-    from ..operators.vectors import top_classes
 
     return top_classes(scores, audio.TOP, audio.FLOOR)
 
@@ -359,26 +360,51 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return tracks(spark, d).select("track_id", "path", F.col("ml_genre").alias("genre"), F.col("ml_subgenre").alias("subgenre"), F.concat(F.lit("t"), (F.col("release_id") % 100).cast("string"), F.lit("."), F.col("ext")).alias("filename"), "release_id")
 
 
+def _free_sql(rows: str, taken: str, out: str) -> str:
+    """CTEs that give ``rows`` (id, folder, f) their free name as ``out`` (id, destination): the numbers that ``taken`` (folder, f, k) leaves, counted through one by one."""
+    return f"""{out}_r AS MATERIALIZED (SELECT id, folder, f, row_number() OVER (PARTITION BY folder, f ORDER BY id) AS i FROM {rows}),
+{out}_u AS MATERIALIZED (SELECT DISTINCT folder, f, k FROM {taken}), {out}_n AS (SELECT folder, f, n, coalesce(m, 0) AS m FROM (SELECT folder, f, count(*) AS n FROM {out}_r GROUP BY ALL) LEFT JOIN (SELECT folder, f, count(*) AS m FROM {out}_u GROUP BY ALL) USING (folder, f)),
+{out}_c AS (SELECT folder, f, unnest(range(n + m)) AS k FROM {out}_n), {out}_f AS (SELECT folder, f, k, row_number() OVER (PARTITION BY folder, f ORDER BY k) AS i FROM {out}_c ANTI JOIN {out}_u USING (folder, f, k)),
+{out} AS (SELECT id, CASE WHEN k = 0 THEN f ELSE regexp_replace(f, '\\.([^.]*)$', '_' || k || '.\\1') END AS destination FROM {out}_r JOIN {out}_f USING (folder, f, i))"""
+
+
+_TAKEN_FOLDERS = ["HOUSE/Deep House", "Techno/Minimal Techno", "Trance/Psytrance", "Drum & Bass/Jungle", "Ambient", "House", "Techno", "Deep House", "Hardcore"]
+
+
+def _taken(spark: SparkSession, d: str, letter: str, suffix: str, folders: list[str]) -> DataFrame:
+    """A file of every order: names that are already there, with and without numbers."""
+    number = F.when(F.col("o_custkey") % 40 > 0, F.concat(F.lit("_"), (F.col("o_custkey") % 40).cast("string"))).otherwise("")
+    folder = F.get(F.array(*[F.lit(f) for f in folders]), (F.col("o_custkey") % len(folders)).cast("int"))
+    return table(spark, d, "orders").select(folder.alias("folder"), F.concat(F.lit(letter), (F.col("o_orderkey") % 100).cast("string"), number, F.lit(suffix)).alias("filename"))
+
+
+def _taken_sql(letter: str, suffix: str, folders: list[str]) -> str:
+    return f"(SELECT {choose('o_custkey', folders)} AS folder, '{letter}' || o_orderkey % 100 || '{suffix}' AS f, CAST(o_custkey % 40 AS BIGINT) AS k FROM orders)"
+
+
 @query("q_organize_plan", f"""{_T}, t AS (SELECT track_id, CASE WHEN release_id % 1000 < 3 THEN 'Polka' ELSE ml_genre END AS g, ml_subgenre AS s, 't' || (release_id % 100) || '.' || ext AS f FROM tracks),
 n AS (SELECT g, count(*) AS n FROM t GROUP BY g), p AS (SELECT t.*, n + CASE WHEN lower(g) = 'house' THEN 50 ELSE 0 END < greatest(10, (SELECT count(*) FROM tracks) // 100) AS rare FROM t JOIN n USING (g)),
-q AS (SELECT *, CASE WHEN rare THEN 'Other/' || g WHEN s IS NOT NULL AND s <> g THEN CASE g WHEN 'House' THEN 'HOUSE' ELSE g END || '/' || s ELSE CASE g WHEN 'House' THEN 'HOUSE' ELSE g END END AS folder FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY folder, f ORDER BY track_id) - 1 AS k FROM q)
-SELECT track_id, folder, CASE WHEN k = 0 THEN f ELSE regexp_replace(f, '\\.([^.]*)$', '_' || k || '.\\1') END AS destination, rare FROM r""")
+q AS MATERIALIZED (SELECT *, track_id AS id, CASE WHEN rare THEN 'Other/' || g WHEN s IS NOT NULL AND s <> g THEN CASE g WHEN 'House' THEN 'HOUSE' ELSE g END || '/' || s ELSE CASE g WHEN 'House' THEN 'HOUSE' ELSE g END END AS folder FROM p),
+{_free_sql("q", _taken_sql("t", ".mp3", _TAKEN_FOLDERS), "x")}
+SELECT track_id, folder, destination, rare FROM q JOIN x USING (id)""")
 def q_organize_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Every track's place; every order stands for a file that is there already."""
     t = _files(spark, d).withColumn("genre", F.when(F.col("release_id") % 1000 < 3, "Polka").otherwise(F.col("genre")))
-    least = max(10, t.count() // 100)
+    least = max(10, table(spark, d, "lineitem").count() // 100)
     have = spark.createDataFrame([("HOUSE", 50)], "folder string, n long")
-    return organize.plan(spark, t, have, least)
+    return organize.plan(spark, t, have, least, _taken(spark, d, "t", ".mp3", _TAKEN_FOLDERS))
+
+
+_ROUTED = f"{twins.names()}, {twins.split('(SELECT DISTINCT genre_tag AS tag FROM tracks)', 'g_tag')}"
 
 
-@query("q_route", f"""{_T}, {_G}, t AS (SELECT track_id, ext, 't' || (release_id % 100) || '.' || ext AS f, CASE WHEN trim(coalesce(genre_tag, '')) <> '' THEN sub END AS g FROM tracks LEFT JOIN g_tag ON tag = genre_tag),
-q AS (SELECT *, CASE WHEN lower(trim(g)) IN {twins.listed(tax.GENERIC)} THEN 'Other/' ELSE '' END || regexp_replace(g, '[<>:"/\\\\|?*]', '_', 'g') AS folder FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY lower(folder), f ORDER BY track_id) - 1 AS k FROM q WHERE g IS NOT NULL)
-SELECT track_id AS ordinal, 'copied' AS status, folder, CASE WHEN k = 0 THEN f ELSE regexp_replace(f, '\\.([^.]*)$', '_' || k || '.\\1') END AS destination, k > 0 AS renamed FROM r
-UNION ALL SELECT track_id, 'no_genre', NULL, NULL, false FROM q WHERE g IS NULL""")
+@query("q_route", f"""{_T}, {_ROUTED}, g AS MATERIALIZED (SELECT tag, CASE WHEN lower(trim(sub)) IN {twins.listed(tax.GENERIC)} THEN 'Other/' ELSE '' END || regexp_replace(sub, '[<>:"/\\|?*]', '_', 'g') AS folder FROM g_tag WHERE trim(tag) <> ''),
+q AS MATERIALIZED (SELECT track_id AS id, 't' || (release_id % 100) || '.' || ext AS f, folder FROM tracks LEFT JOIN g ON tag = genre_tag), w AS (SELECT id, lower(folder) AS folder, f FROM q WHERE folder IS NOT NULL),
+{_free_sql("w", f"(SELECT lower(folder) AS folder, f, k FROM {_taken_sql('t', '.mp3', _TAKEN_FOLDERS)})", "x")}
+SELECT id AS ordinal, CASE WHEN folder IS NULL THEN 'no_genre' ELSE 'copied' END AS status, folder, destination, coalesce(destination <> f, false) AS renamed FROM q LEFT JOIN x USING (id)""")
 def q_route(spark: SparkSession, d: str) -> DataFrame:
     f = tracks(spark, d).select(F.col("track_id").alias("ordinal"), F.concat(F.lit("t"), (F.col("release_id") % 100).cast("string"), F.lit("."), F.col("ext")).alias("filename"), "ext", "genre_tag")
-    return organize.route(spark, f, f.select(F.lit("").alias("folder"), "filename").limit(0))
+    return organize.route(spark, f, _taken(spark, d, "t", ".mp3", _TAKEN_FOLDERS))
 
 
 @query("q_census", f"{_T}, f AS (SELECT regexp_extract(path, '^/lib/([^/]*)/', 1) AS folder FROM tracks) SELECT CASE WHEN folder = 'T1' THEN 'T1' ELSE folder END AS folder, least(count(*), 200) AS n FROM f WHERE folder NOT IN ('T2') GROUP BY folder")
@@ -414,14 +440,14 @@ def q_undo(spark: SparkSession, d: str) -> DataFrame:
     return organize.undo(entries, files)
 
 
-@query("q_player_plan", f"""{_T}, c AS (SELECT track_id AS ordinal, CASE WHEN release_id % 13 = 0 THEN 'passthrough' WHEN ext <> 'flac' THEN 'passthrough' WHEN release_id % 5 = 0 THEN 'missing' ELSE 'convert' END AS status, release_id % 50 AS b, CASE WHEN release_id % 3 = 0 THEN 96000 ELSE 48000 END AS rate FROM tracks),
-k AS (SELECT *, row_number() OVER (PARTITION BY status, b ORDER BY ordinal) - 1 AS k FROM c)
-SELECT ordinal, status, CASE WHEN status = 'convert' THEN 's' || b || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.aiff' END AS destination, status = 'convert' AND k > 0 AS renamed, status = 'convert' AND rate > 48000 AS resampled FROM k""")
+@query("q_player_plan", f"""{_T}, c AS MATERIALIZED (SELECT track_id AS id, CASE WHEN release_id % 13 = 0 THEN 'passthrough' WHEN ext <> 'flac' THEN 'passthrough' WHEN release_id % 5 = 0 THEN 'missing' ELSE 'convert' END AS status, 's' || (release_id % 50) || '.aiff' AS f, CASE WHEN release_id % 3 = 0 THEN 96000 ELSE 48000 END AS rate FROM tracks),
+w AS (SELECT id, '' AS folder, f FROM c WHERE status = 'convert'), {_free_sql("w", _taken_sql("s", ".aiff", [""]), "x")}
+SELECT id AS ordinal, status, destination, coalesce(destination <> f, false) AS renamed, status = 'convert' AND rate > 48000 AS resampled FROM c LEFT JOIN x USING (id)""")
 def q_player_plan(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("/m/"), F.col("track_id").cast("string"), F.lit("/s"), (F.col("release_id") % 50).cast("string"), F.lit("."), F.col("ext"))
     t = tracks(spark, d).select(F.col("track_id").alias("ordinal"), path.alias("path"), "release_id")
     rows = t.withColumn("location", F.when(F.col("release_id") % 13 != 0, tx.path_to_location(F.col("path")))).withColumn("kind", F.lit("File")).withColumn("rate", F.when(F.col("release_id") % 3 == 0, 96000).otherwise(48000))
-    return organize.player_plan(spark, rows, t.where("release_id % 5 <> 0").select("path"))
+    return organize.player_plan(spark, rows, t.where("release_id % 5 <> 0").select("path"), _taken(spark, d, "s", ".aiff", [""]))
 
 
 @query("q_collection_rewrite", f"""{_T} SELECT track_id, CASE WHEN ext = 'flac' THEN 'file://localhost/out/' || track_id || '.aiff' ELSE path END AS location, CASE WHEN ext = 'flac' THEN 'AIFF File' ELSE 'x' END AS kind, CASE WHEN ext = 'flac' THEN 2 * size_bytes ELSE size_bytes END AS size,
@@ -520,15 +546,15 @@ def q_handled(spark: SparkSession, d: str) -> DataFrame:
 
 # -- evidence ----------------------------------------------------------------
 
-_HITS = """h AS (SELECT event_id, user_id AS owner, CASE event_type WHEN 'click' THEN 'House' WHEN 'view' THEN 'Techno' ELSE 'Trance' END AS genre, CASE event_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, 'h' || (event_id % 4) AS host FROM events WHERE event_id % 40 < user_id % 7),
+_HITS = """h AS (SELECT event_id, user_id AS owner, CASE event_type WHEN 'click' THEN 'House' WHEN 'view' THEN 'Techno' ELSE 'Trance' END AS genre, CASE event_id % 11 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, 'h' || (event_id % 4) AS host FROM events),
 c AS (SELECT tier, owner, genre, count(*) AS n FROM h GROUP BY ALL), m AS (SELECT tier, owner, genre FROM c QUALIFY n = max(n) OVER (PARTITION BY tier, owner) AND count(*) FILTER (true) OVER (PARTITION BY tier, owner, n) = 1),
 d AS (SELECT owner, genre FROM h WHERE tier IN ('A', 'B') GROUP BY ALL HAVING count(DISTINCT host) >= 2), t AS (SELECT owner, min(genre) AS genre FROM d GROUP BY owner HAVING count(*) = 1)"""
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    e, n = table(spark, d, "events").where("event_id % 40 < user_id % 7"), F.col("event_id")
+    e, n = table(spark, d, "events"), F.col("event_id")
     genre = F.when(F.col("event_type") == "click", "House").when(F.col("event_type") == "view", "Techno").otherwise("Trance")
-    return e.select(F.col("user_id").alias("owner"), genre.alias("genre"), F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").otherwise("C").alias("tier"), F.concat(F.lit("h"), (n % 4).cast("string")).alias("host"), n.cast("string").alias("url"), genre.alias("quote"))
+    return e.select(F.col("user_id").alias("owner"), genre.alias("genre"), F.when(n % 11 == 0, "A").when(n % 11 == 1, "B").otherwise("C").alias("tier"), F.concat(F.lit("h"), (n % 4).cast("string")).alias("host"), n.cast("string").alias("url"), genre.alias("quote"))
 
 
 @query("q_evidence", f"""WITH {_HITS} SELECT o.owner, coalesce(a.genre, t.genre, b.genre, '') AS genre, CASE WHEN a.genre IS NOT NULL THEN 0.95 WHEN t.genre IS NOT NULL THEN 0.9 WHEN b.genre IS NOT NULL THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence, coalesce(a.genre, t.genre) IS NOT NULL AS grounded
@@ -592,7 +618,7 @@ def q_longest(spark: SparkSession, d: str) -> DataFrame:
     return budget.longest(tracks(spark, d))
 
 
-@query("q_library_index", """WITH x AS (SELECT 'lib' || (user_id % 20) AS path, event_id, CAST(epoch(ts) AS BIGINT) AS last_opened FROM events), l AS (SELECT path, max(last_opened) AS last_opened FROM x GROUP BY path)
+@query("q_library_index", """WITH x AS (SELECT 'lib' || (user_id % 20) AS path, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS last_opened FROM events), l AS (SELECT path, max(last_opened) AS last_opened FROM x GROUP BY path)
 SELECT path, last_opened, CAST(row_number() OVER (ORDER BY last_opened DESC, path) AS INT) AS place FROM l ORDER BY last_opened DESC, path LIMIT 10""")
 def q_library_index(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "events").select(F.concat(F.lit("lib"), (F.col("user_id") % 20).cast("string")).alias("path"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("last_opened"), "event_id")
@@ -628,7 +654,6 @@ def q_sidecar(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_full_merge", "SELECT o_orderkey AS path, 'new' AS v, CAST(row_number() OVER (ORDER BY o_orderkey % 2 = 0, o_orderkey) AS BIGINT) AS n FROM orders WHERE o_orderkey % 3 <> 0")
 def q_full_merge(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.ranks import with_rank
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderkey").alias("place"))
     m = library.merge_full(o.where("path % 2 = 1"), o.where("path % 3 <> 0").withColumn("v", F.lit("new")))
