@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..runtime import parallelism
 
 
-def with_rank(rows: DataFrame, by: list[str], order: str, out: str = "rank") -> DataFrame:
+def with_rank(rows: DataFrame, by: list[str], order: str, out: str = "rank", ties: list[str] | None = None) -> DataFrame:
     """Adds ``out``, 0.. in the order of the whole number ``order`` among rows with equal ``by``.
 
     Groups are dealt by ranges of ``order`` too, so a large one is many tasks:
     a row's rank is its rank in its range and the sizes of the ranges before.
-    Null orders come first; equal ones are ranked in no particular order.
+    Null orders come first; equal ones are ranked by ``ties``, else in no
+    particular order.
     """
     many = parallelism(rows.sparkSession)
     cuts = rows.agg(F.percentile_approx(order, [i / many for i in range(1, many)], 10_000)).first()[0] or [] if many > 1 else []
@@ -23,7 +24,7 @@ def with_rank(rows: DataFrame, by: list[str], order: str, out: str = "rank") ->
     sizes = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)) - 1
+    own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order, *(ties or []))) - 1
     same = F.col("_range") == F.col("_r")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
