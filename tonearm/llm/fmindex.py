@@ -359,11 +359,12 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-#: All slices of the lengths that phrases have are compared as text.
+#: The words that follow each word, in all lengths that phrases have, are compared as text.
 OP13_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 p AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS m, array_to_string(list_slice(w, s, s + least(len(w), {WINDOW}) - 1), ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - {WINDOW} + 2))) AS s FROM i WHERE len(w) > 0)),
 m AS (SELECT DISTINCT m FROM p),
-g AS (SELECT r, m, s, array_to_string(list_slice(w, s, s + m - 1), ' ') AS k FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, m WHERE len(w) >= m)),
+x AS (SELECT r, s, [x, {", ".join(f"lead(x, {i}) OVER v" for i in range(1, WINDOW))}] AS t FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS s FROM d) WINDOW v AS (PARTITION BY r ORDER BY s)),
+g AS (SELECT r, m, s, array_to_string(list_slice(t, 1, m), ' ') AS k FROM x, m WHERE t[m] IS NOT NULL),
 o AS MATERIALIZED (SELECT DISTINCT r, g.m, s, item_id FROM g JOIN p ON p.k = g.k AND p.m = g.m),
 h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + m)) AS x FROM (SELECT DISTINCT r, m, s FROM o)) GROUP BY r),
 n AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM o WHERE item_id IS NOT NULL) GROUP BY r)
