@@ -1,15 +1,20 @@
 """Table operators against plain computations, and their odd cases."""
 
+import datetime
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tonearm.functions import audio, music, text
-from tonearm.operators import budget, dedupe, evidence, graph, library, organize, ranks, records
+from tonearm.operators import budget, dedupe, evidence, graph, library, mel, organize, ranks, records
+from tonearm.operators.undo import undo
 from tonearm.plans import catalog, more  # noqa: F401
 from tonearm.sinks import writers
 from tonearm.sources import readers
+from tonearm.streaming import runs
 from tonearm.streaming import tracks as streaming
 
 
@@ -232,9 +237,87 @@ def test_keeper_ranks(spark):
 
 
 def test_undo_of_chains(spark):
-    e = spark.createDataFrame([(1, "move", "/a", "/b"), (2, "move", "/b", "/c"), (3, "move", "/x", "/y"), (4, "trash", "/t", None)], "seq long, action string, src string, dst string")
-    got = organize.undo(e, spark.createDataFrame([("/c",), ("/q",)], "path string"))
-    assert rows(got, "seq", "status") == [(1, "reverted"), (2, "reverted"), (3, "skipped_gone"), (4, "trashed")]
+    e = spark.createDataFrame([(1, "move", "/a", "/b"), (2, "move", "/b", "/c"), (3, "move", "/x", "/y"), (4, "trash", "/t", None), (5, "move", None, "/c"), (6, "move", "/q", "/q")], "seq long, action string, src string, dst string")
+    got = undo(spark, e, spark.createDataFrame([("/c",), ("/q",), ("/q",), (None,)], "path string"))
+    assert rows(got, "seq", "status") == [(1, "reverted"), (2, "reverted"), (3, "skipped_gone"), (4, "trashed"), (5, "skipped_gone"), (6, "skipped_taken")]
+    assert undo(spark, e.limit(0), spark.createDataFrame([], "path string")).count() == 0
+
+
+def test_undo_of_swaps_and_rings(spark):
+    """Random moves among few paths, also three in a ring, replayed one after another."""
+    r = random.Random(4)
+    for _ in range(2):
+        moves = [(i, "move", f"/{g}{r.randrange(4)}", f"/{g}{r.randrange(4)}") for i, g in enumerate(r.choice("abcdefgh") for _ in range(150))]
+        moves += [(1000 + i, "move", f"/ring{i}", f"/ring{(i + 1) % 3}") for i in range(3)]
+        there = {f"/{g}{k}" for g in "abcdefgh" for k in range(4) if r.random() < 0.5} | {"/ring0", "/ring2"}
+        have, want = set(there), []
+        for seq, _, src, dst in sorted(moves, reverse=True):
+            status = "skipped_gone" if dst not in have else "skipped_taken" if src in have else "reverted"
+            if status == "reverted":
+                have = have - {dst} | {src}
+            want.append((seq, status))
+        got = undo(spark, spark.createDataFrame(moves, "seq long, action string, src string, dst string"), spark.createDataFrame([(p,) for p in there], "path string"))
+        assert rows(got, "seq", "status") == sorted(want, key=str)
+
+
+def test_attempts_over_batches_and_a_restart(spark, tmp_path):
+    def batch(*events):
+        spark.createDataFrame([(*e, "v") for e in events], "key string, seq long, status string, value string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, seq long, status string, value string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return rows(runs.written(spark, runs.attempts(stream), f"{tmp_path}/out"), "key", "outcome", "attempts", "error")
+
+    assert batch(("a", 1, "died"), ("b", 2, "ok"), (None, 3, "ok"), ("c", 5, "died"), ("c", 4, "claim")) == [("b", "result", 1, None)]
+    # a new query on the same checkpoint: the deaths of the first batch count on
+    assert batch(("a", 6, "died"), ("a", 7, "died"), ("a", 8, "ok"), ("b", 9, "ok"), ("c", 10, "ok")) == [("a", "error", 3, runs.GAVE_UP), ("b", "result", 1, None), ("c", "result", 2, None)]
+    assert len(batch(("a", 11, "ok"), ("d", 12, "error"))) == 4
+
+
+def test_stalls_by_timer_and_by_a_late_result(spark, tmp_path):
+    schema = "run string, at timestamp, start boolean, final boolean"
+
+    def batch(*events):
+        spark.createDataFrame([(r, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s), b, f) for r, s, b, f in events], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = runs.written(spark, runs.stalls(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")), f"{tmp_path}/out").collect()
+        return sorted((r["run"], int((r["stalled_at"] - datetime.datetime(2024, 1, 1)).total_seconds()), r["done"]) for r in got)
+
+    assert batch(("a", 0, True, False), ("a", 100, False, False), ("b", 0, True, False), ("c", 50, None, True), ("d", 0, True, False), ("d", 300, False, False)) == []
+    # the newest event puts the clock to 450: a is silent since 100, b since 0; d's own result came in time
+    assert batch(("d", 450, False, False)) == [("a", 400, 1), ("b", 300, 0)]
+    assert batch(("a", 460, False, False), ("b", 461, False, True), ("d", 900, False, False)) == [("a", 400, 1), ("b", 300, 0), ("d", 750, 2)]
+
+
+def test_log_mel(spark, monkeypatch):
+    """Against the definition: sums over samples, triangles from the mel scale; blocks of a few frames."""
+    r = np.random.default_rng(2)
+    waves = [(1, r.normal(size=5000).tolist()), (2, r.normal(size=511).tolist()), (3, np.sin(np.arange(1300) * 0.3).tolist()), (4, []), (5, None), (6, [None] + [0.5] * 600)]
+    monkeypatch.setattr(mel, "BLOCK", 3)
+    parts = mel.blocks(spark.createDataFrame(waves, "key long, samples array<double>"))
+    monkeypatch.undo()
+    assert parts.where("key = 1").count() > 3
+    tail = {x["key"]: [] for x in parts.collect()}
+    for x in mel.frames(spark, mel.blocks(spark.createDataFrame(waves, "key long, samples array<double>"))).orderBy("key", "frame").collect():
+        tail[x["key"]].append(x["mel"])
+    to_mel = lambda f: f * 3 / 200 if f < 1000 else 15 + 27 * math.log(f / 1000) / math.log(6.4)
+    from_mel = lambda m: m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27)
+    corner = [from_mel(to_mel(8000) * i / 97) for i in range(98)]
+    for key, wave in waves:
+        wave = [x or 0.0 for x in wave or []]
+        count = max(0, (len(wave) - 512) // 256 + 1)
+        assert len(tail.get(key, [])) == count
+        for i in range(0, count, 7):
+            cut = np.array(wave[i * 256 : i * 256 + 512]) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(512) / 511))
+            power = [abs(np.sum(cut * np.exp(-2j * np.pi * k * np.arange(512) / 512))) ** 2 for k in range(257)]
+            want = []
+            for a, b, c in zip(corner, corner[1:], corner[2:]):
+                want.append(math.log10(1 + 10000 * sum(p * max(0, min((k * 31.25 - a) / (b - a), (c - k * 31.25) / (c - b))) * 2 / (c - a) for k, p in enumerate(power))))
+            assert tail[key][i] == pytest.approx(want, rel=1e-4, abs=1e-5)
+
+
+def test_log_mel_across_seams(spark):
+    wave = np.random.default_rng(3).normal(size=mel.BLOCK * mel.HOP * 2 + 700)
+    got = mel.frames(spark, mel.blocks(spark.createDataFrame([(1, wave.tolist())], "key long, samples array<double>"))).orderBy("frame").collect()
+    assert [r["frame"] for r in got] == list(range((len(wave) - 512) // 256 + 1))
+    assert np.allclose([r["mel"] for r in got], mel.log_mel(wave), atol=1e-5)
 
 
 def test_root_of_mixed_paths(spark):

@@ -99,26 +99,6 @@ def emptied(moves: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return gone.select("folder", F.size(F.split("folder", "/")).alias("depth")).orderBy(F.desc("depth"), "folder")
 
 
-def undo(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """Statuses of a journal's moves (seq, action, src, dst), to be undone from the last to the first.
-
-    skipped_gone: the file is no longer at dst; skipped_taken: something else
-    is at src; reverted; trash can't be undone. Each path is judged by the
-    files there are now and by what later moves from or to it give back.
-    """
-    have = files.select(F.col("path").alias("_p")).distinct()
-    moves = entries.where("action = 'move'")
-    # the next later move that took the file on from dst puts it back there first
-    later = moves.select(F.col("src").alias("dst"), F.col("seq").alias("_next"))
-    chained = moves.join(later, "dst", "left").where("_next is null or _next > seq").groupBy("seq", "src", "dst").agg(F.min("_next").alias("_next"))
-    m = moves.join(chained.select("seq", "_next"), "seq", "left")
-    m = m.join(have.withColumnRenamed("_p", "dst").withColumn("_at", F.lit(True)), "dst", "left").join(have.withColumnRenamed("_p", "src").withColumn("_old", F.lit(True)), "src", "left")
-    there = F.col("_at").isNotNull() | F.col("_next").isNotNull()
-    status = F.when(~there, "skipped_gone").when(F.col("_old").isNotNull(), "skipped_taken").otherwise("reverted")
-    out = m.select("seq", "src", "dst", status.alias("status"))
-    return out.unionByName(entries.where("action = 'trash'").select("seq", "src", "dst", F.lit("trashed").alias("status")))
-
-
 def tally(journal: DataFrame) -> DataFrame:
     """Moves, trashes and entries of each journal file."""
     return journal.groupBy("file").agg(F.count_if(F.col("action") == "move").alias("moves"), F.count_if(F.col("action") == "trash").alias("trashes"), F.count("*").alias("entries"))

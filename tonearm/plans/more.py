@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import audio, music
 from ..functions import taxonomy as tax
 from ..functions import text as tx
-from ..operators import budget, dedupe, evidence, library, organize, records, settings
+from ..operators import budget, dedupe, evidence, library, mel, organize, records, settings
 from ..operators.ranks import with_rank
+from ..operators.undo import undo
 from ..operators.vectors import top_classes
 from ..runtime import new_path
 from ..sinks import writers
 from ..sources import readers
+from ..streaming import runs
 from ..streaming import tracks as streaming
 from . import twins
 from .catalog import _G, _T, _reconcile_sql, query
@@ -430,14 +432,24 @@ def q_emptied(spark: SparkSession, d: str) -> DataFrame:
     return organize.emptied(moves, f, "/lib")
 
 
+_SWAPS = "SELECT o_orderkey * 4 + j - 1000000000000000 AS seq, '/s/' || o_orderkey || CASE j WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 't' END AS src, '/s/' || o_orderkey || CASE j WHEN 0 THEN 't' WHEN 1 THEN 'a' ELSE 'b' END AS dst"
+
+
 @query("q_undo", f"""{_T}, e AS (SELECT track_id AS seq, path AS src, '/new/' || track_id AS dst, CASE track_id % 4 WHEN 0 THEN 'trash' ELSE 'move' END AS action, release_id % 5 = 0 AS gone, release_id % 7 = 0 AS taken FROM tracks)
-SELECT seq, src, dst, CASE WHEN action = 'trash' THEN 'trashed' WHEN gone THEN 'skipped_gone' WHEN taken THEN 'skipped_taken' ELSE 'reverted' END AS status FROM e""")
+SELECT seq, src, dst, CASE WHEN action = 'trash' THEN 'trashed' WHEN gone THEN 'skipped_gone' WHEN taken THEN 'skipped_taken' ELSE 'reverted' END AS status FROM e
+UNION ALL {_SWAPS}, CASE WHEN o_orderkey % 5 = 0 AND j <> 1 THEN 'skipped_gone' WHEN o_orderkey % 5 = 1 THEN 'skipped_taken' ELSE 'reverted' END FROM orders, (VALUES (0), (1), (2)) v(j)""")
 def q_undo(spark: SparkSession, d: str) -> DataFrame:
-    t = tracks(spark, d)
+    """Moves of every track, and of every order two files that changed places by way of a third path: of some the last file is gone, of others the third path is in use again."""
+    t, o = tracks(spark, d), table(spark, d, "orders")
     dst = F.concat(F.lit("/new/"), F.col("track_id").cast("string"))
     entries = t.select(F.col("track_id").alias("seq"), F.when(F.col("track_id") % 4 == 0, "trash").otherwise("move").alias("action"), F.col("path").alias("src"), dst.alias("dst"))
     files = t.where("release_id % 5 <> 0").select(dst.alias("path")).union(t.where("release_id % 7 = 0").select("path"))
-    return organize.undo(entries, files)
+    k = F.col("o_orderkey")
+    at = lambda x: F.concat(F.lit("/s/"), k.cast("string"), F.lit(x))
+    swaps = o.select(k, F.explode(F.array(*[F.struct(F.lit(j).alias("j"), at(a).alias("src"), at(b).alias("dst")) for j, (a, b) in enumerate(("at", "ba", "tb"))])).alias("m"))
+    swaps = swaps.select((k * 4 + F.col("m.j") - 10**15).alias("seq"), F.lit("move").alias("action"), "m.src", "m.dst")
+    left = o.select(at("a").alias("path")).union(o.where("o_orderkey % 5 <> 0").select(at("b"))).union(o.where("o_orderkey % 5 = 1").select(at("t")))
+    return undo(spark, entries.union(swaps), files.union(left))
 
 
 @query("q_player_plan", f"""{_T}, c AS MATERIALIZED (SELECT track_id AS id, CASE WHEN release_id % 13 = 0 THEN 'passthrough' WHEN ext <> 'flac' THEN 'passthrough' WHEN release_id % 5 = 0 THEN 'missing' ELSE 'convert' END AS status, 's' || (release_id % 50) || '.aiff' AS f, CASE WHEN release_id % 3 = 0 THEN 96000 ELSE 48000 END AS rate FROM tracks),
@@ -739,6 +751,53 @@ def q_stream_log(spark: SparkSession, d: str) -> DataFrame:
     return streaming.append_log(spark, path, spark.read.parquet(path).schema, f"{base}/rows", f"{base}/checkpoint")
 
 
+_TRIES = "SELECT user_id || '-' || event_id // 300 AS key, event_id AS seq, CASE WHEN event_id % 7 < 3 THEN 'died' WHEN event_id % 7 = 3 THEN 'claim' WHEN event_id % 7 = 4 THEN 'error' ELSE 'ok' END AS status, event_type AS value FROM events"
+
+
+@query("q_stream_attempts", f"""WITH a AS ({_TRIES}), n AS (SELECT *, count(*) FILTER (status = 'died') OVER (PARTITION BY key ORDER BY seq) AS deaths FROM a),
+f AS (SELECT * FROM n WHERE status IN ('ok', 'error') OR status = 'died' AND deaths = 3 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq) = 1)
+SELECT key, CASE status WHEN 'ok' THEN 'result' ELSE 'error' END AS outcome, CAST(CASE status WHEN 'died' THEN 3 ELSE deaths + 1 END AS INT) AS attempts, CASE WHEN status <> 'died' THEN value END AS value,
+ CASE status WHEN 'died' THEN {twins.text(runs.GAVE_UP)} WHEN 'error' THEN value END AS error FROM f""")
+def q_stream_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts at files, three batches one after another: which got a result, which an error, after how many tries."""
+    path = new_path(spark, "attempts-in")
+    e, n = table(spark, d, "events"), F.col("event_id")
+    status = F.when(n % 7 < 3, "died").when(n % 7 == 3, "claim").when(n % 7 == 4, "error").otherwise("ok")
+    rows = e.select(F.concat(F.col("user_id").cast("string"), F.lit("-"), F.floor(n / 300).cast("string")).alias("key"), n.alias("seq"), status.alias("status"), F.col("event_type").alias("value"))
+    top = e.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] + 1
+    for i in range(3):  # the batches of a stream are its files, by age
+        rows.where(n.between(top * i // 3, top * (i + 1) // 3 - 1)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return runs.written(spark, runs.attempts(stream))
+
+
+@query("q_stream_stalls", f"""WITH e AS (SELECT 'r' || user_id AS run, ts, event_type, lag(ts) OVER w AS before, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS (SELECT epoch_us(max(ts)) // 1000 AS now FROM events), f AS (SELECT run, min(n) AS stop FROM e WHERE event_type = 'error' GROUP BY run),
+g AS (SELECT e.run, n, epoch_us(before) // 1000 + 300000 AS due FROM e LEFT JOIN f ON f.run = e.run WHERE epoch_us(ts) // 1000 - epoch_us(before) // 1000 > 300000 AND n <= coalesce(stop, n)),
+l AS (SELECT e.run, max(n) + 1 AS n, max(epoch_us(ts) // 1000) + 300000 AS due FROM e LEFT JOIN f ON f.run = e.run CROSS JOIN m GROUP BY e.run, m.now HAVING max(stop) IS NULL AND max(epoch_us(ts) // 1000) + 300000 < m.now),
+a AS (SELECT * FROM g UNION ALL SELECT * FROM l)
+SELECT run, CAST(make_timestamp(due * 1000) AS TIMESTAMP) AS stalled_at, CAST(n - 1 AS BIGINT) AS done FROM a QUALIFY row_number() OVER (PARTITION BY run ORDER BY n) = 1""")
+def q_stream_stalls(spark: SparkSession, d: str) -> DataFrame:
+    """Every user is a run that ends with its first error: which of them sent nothing for five minutes before that."""
+    path = new_path(spark, "results-in")
+    e = table(spark, d, "events")
+    rows = e.select(F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("run"), F.col("ts").cast("timestamp").alias("at"), F.lit(False).alias("start"), (F.col("event_type") == "error").alias("final"))
+    rows.coalesce(1).write.parquet(path)
+    out = runs.written(spark, runs.stalls(spark.readStream.schema(rows.schema).parquet(path)))
+    return out.withColumn("stalled_at", F.col("stalled_at").cast("timestamp_ntz"))
+
+
+# -- sound -------------------------------------------------------------------
+
+
+@query("q_log_mel")
+def q_log_mel(spark: SparkSession, d: str) -> DataFrame:
+    """Log-mel frames of waves made of all embeddings, each repeated at falling strength; DuckDB has no transform, tests compare with the plain sums."""
+    e = table(spark, d, "embeddings")
+    loud = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.transform("embedding", lambda x: x.cast("double") / k)))
+    return mel.frames(spark, mel.blocks(e.select(F.col("vec_id").alias("key"), loud.alias("samples")))).select("key", "frame", F.transform("mel", lambda x: F.round(x.cast("double"), 3)).alias("mel"))
+
+
 # -- settings ----------------------------------------------------------------
 
 _RULES = {"floor": ("float", "0.5", ()), "least": ("int", "15", ()), "gpu": ("bool", "true", ()), "encoding": ("int", "3", ("0", "1", "2", "3")), "root": ("path", None, ())}
