@@ -3,8 +3,10 @@
 import datetime
 import math
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,8 +50,27 @@ def test_leaders(spark):
             heads.setdefault(g, []).append((i, v))
         want[g, i] = h[0] if h else i
     df = spark.createDataFrame(items, "g string, ordinal long, v int")
-    got = graph.led(spark, df, ["g"], lambda own, head: F.abs(F.col(f"{own}.v") - F.col(f"{head}.v")) <= 3, ["v"])
-    assert {(x["g"], x["ordinal"]): x["head"] for x in got.collect()} == want
+    old = graph.SMALLEST, graph.LARGEST, graph.BLOCK
+    for limits in (old, (2, 4, 3)):
+        graph.SMALLEST, graph.LARGEST, graph.BLOCK = limits
+        got = graph.led(spark, df, ["g"], lambda rows: lambda item, which: (rows["v"].to_numpy()[which] - item[0] <= 3) & (item[0] - rows["v"].to_numpy()[which] <= 3), ["v"])
+        graph.SMALLEST, graph.LARGEST, graph.BLOCK = old
+        assert {(x["g"], x["ordinal"]): x["head"] for x in got.collect()} == want
+
+
+def test_thousands_of_unlike_prints_in_a_bucket(spark):
+    """A bounded number of jobs, whatever number of leaders a bucket has."""
+    n = 3_000
+    items = spark.range(n).selectExpr("0 g", "concat('p', id) ordinal", "transform(sequence(0, 7), i -> pmod(xxhash64(id, i), 4294967296)) fp")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("led", "led")
+    began = time.time()
+    got = graph.led(spark, items, ["g"], dedupe.alike_prints(dedupe.THRESHOLD), ["fp"])
+    assert got.where("ordinal = head").count() == n
+    took = time.time() - began
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    print(f"{n} unlike fingerprints: {took:.0f} s")
+    assert len(tracker.getJobIdsForGroup("led")) < 100
 
 
 def plain_names(moves, taken):
@@ -120,6 +141,21 @@ def fingerprint_likeness(a, b):
     return best
 
 
+def test_likeness_in_batches(spark):
+    """As the column expression has it, and the plain computation."""
+    r = random.Random(6)
+    base = [r.getrandbits(32) for _ in range(40)]
+    prints = [[x ^ (1 << r.randrange(32) if r.random() < 0.3 else 0) for x in base[r.randrange(25) :][: r.randrange(8, 30)]] for _ in range(30)]
+    leaders = pd.DataFrame({"fp": prints})
+    df = spark.createDataFrame([(a, b) for a in prints[:5] for b in prints], "a array<long>, b array<long>")
+    by_column = [x["s"] for x in df.select(dedupe.similarity("a", "b").alias("s")).collect()]
+    for i, a in enumerate(prints[:5]):
+        want = [fingerprint_likeness(a, b) for b in prints]
+        assert by_column[i * 30 : i * 30 + 30] == pytest.approx(want)
+        for t in (0.5, 0.9, 0.95):
+            assert dedupe.alike_prints(t)(leaders)((a,), np.arange(30)).tolist() == [w >= t for w in want]
+
+
 def plain_clusters(files, threshold):
     """Buckets by the first four frames, leaders in the order of paths, clusters that share a file merged."""
     long = sorted((p, fp) for p, fp in files if fp and len(fp) >= 8)

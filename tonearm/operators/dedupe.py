@@ -7,6 +7,8 @@ where a function returns its input's columns, else ignored.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +108,53 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(-SHIFT), F.lit(SHIFT)), at)), F.lit(0.0))
 
 
+def alike_prints(threshold: float):
+    """For ``graph.led``: which fingerprints (column fp) have a :func:`similarity` of ``threshold`` or more to one, each shift for all at once."""
+
+    def among(rows: pd.DataFrame):
+        sizes = rows["fp"].map(len).to_numpy()
+        table = np.zeros((len(rows), int(sizes.max())), np.uint32)
+        for row, fp in zip(table, rows["fp"]):
+            row[: len(fp)] = fp
+
+        def ask(item: tuple, which: np.ndarray) -> np.ndarray:
+            own, size, part = np.asarray(item[0], np.uint32), sizes[which], table[which]
+            best = np.zeros(len(which))
+            for shift in range(-SHIFT, SHIFT + 1):
+                a, b = own[max(shift, 0) :], part[:, max(-shift, 0) :]
+                n = np.minimum(len(a), np.maximum(size - max(-shift, 0), 0))
+                fits = (n >= OVERLAP) | ((shift == 0) & (n > 0))
+                if not fits.any():
+                    continue
+                most = int(n.max())
+                bits = np.bitwise_count(a[:most] ^ b[:, :most])
+                if int(n.min()) < most:
+                    bits[np.arange(most) >= n[:, None]] = 0
+                best = np.where(fits, np.maximum(best, 1 - bits.sum(1, dtype=np.int64) / (32 * np.maximum(n, 1))), best)
+            return best >= threshold
+
+        return ask
+
+    return among
+
+
+def alike_lengths(tolerance: float):
+    """For ``graph.led``: which lengths (column duration_s) differ by at most ``tolerance`` of the longer from one; unknown ones are alike."""
+
+    def among(rows: pd.DataFrame):
+        lengths = rows["duration_s"].to_numpy(dtype=float)
+
+        def ask(item: tuple, which: np.ndarray) -> np.ndarray:
+            other, own = lengths[which], np.nan if item[0] is None else float(item[0])
+            top = np.fmax(own, other)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.isnan(own) | (top <= 0) | (np.abs(own - other) / top <= tolerance)
+
+        return ask
+
+    return among
+
+
 def near_clusters(spark: SparkSession, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, cluster): files that sound alike, in clusters of two or more.
 
@@ -116,7 +165,7 @@ def near_clusters(spark: SparkSession, files: DataFrame, threshold: float = THRE
     long = files.where(F.size("fp") >= LEAST_FRAMES)
     prints = long.groupBy("fp").agg(F.min("path").alias("ordinal"))
     probes = prints.select("ordinal", "fp", F.posexplode(F.slice("fp", 1, PROBES)).alias("i", "v"))
-    met = led(spark, _shared(probes, ["i", "v"]), ["i", "v"], lambda own, head: similarity(F.col(f"{own}.fp"), F.col(f"{head}.fp")) >= threshold, ["fp"])
+    met = led(spark, _shared(probes, ["i", "v"]), ["i", "v"], alike_prints(threshold), ["fp"])
     same = long.join(prints, "fp").select(F.col("path").alias("a"), F.col("ordinal").alias("b"))
     edges = met.select(F.col("ordinal").alias("a"), F.col("head").alias("b")).union(same).where("a <> b")
     return components(spark, edges).select(F.col("vertex").alias("path"), F.col("root").alias("cluster"))
@@ -135,11 +184,8 @@ def versions(spark: SparkSession, members: DataFrame, tolerance: float = LENGTH_
     with unknown ones.
     """
     keyed = members.withColumn("kind", version_key(F.col("filename"))).withColumn("timed", F.col("duration_s").isNotNull())
-    length = lambda x: F.col(f"{x}.duration_s")
-    top = lambda a, b: F.greatest(length(a), length(b))
-    alike = lambda own, head: ~F.col("timed") | (top(own, head) <= 0) | (F.abs(length(own) - length(head)) / top(own, head) <= tolerance)
     by = ["cluster", "kind", "timed"]
-    found = led(spark, keyed.withColumn("ordinal", F.col("path")), by, alike, ["duration_s"])
+    found = led(spark, keyed.withColumn("ordinal", F.col("path")), by, alike_lengths(tolerance), ["duration_s"])
     return members.join(found.select("cluster", F.col("ordinal").alias("path"), F.col("head").alias("version")), ["cluster", "path"])
 
 
