@@ -39,3 +39,30 @@ def test_stream_goes_on(spark, tmp_path):
     assert last_rows(spark, src, schema, "k", "n", state).count() == 2
     spark.createDataFrame([("a", 2)], schema).write.mode("append").parquet(src)
     assert sorted((r["k"], r["n"]) for r in last_rows(spark, src, schema, "k", "n", state).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_journal_of_a_broken_run(spark, tmp_path):
+    """Appends by number, one of them twice, no end mark, and a last line that was cut."""
+    from tonearm.sinks import writers
+
+    entries = lambda *x: spark.createDataFrame([(i, "move", s, None) for i, s in x], "seq long, action string, src string, dst string").coalesce(1)
+    path = writers.open_journal(spark, str(tmp_path), "organize", None, 1.0)
+    writers.append_journal(entries((2, "b"), (1, "a")), path, 0)
+    for _ in range(2):
+        writers.append_journal(entries((3, "c")), path, 1)
+    assert sorted(r["src"] for r in readers.journal(spark, path).collect()) == ["a", "b", "c"]
+    (tmp_path / path.split("/")[-1] / "batch-000000001" / "part-9.json").write_text('{"action":"move","src":"d"}\n{"action":"mo')
+    got = readers.journal(spark, path).collect()
+    assert sorted(r["src"] for r in got) == ["a", "b", "c", "d"] and len({r["file"] for r in got}) == 1
+
+
+def test_collection_written_and_read(spark, tmp_path):
+    from tonearm.sinks import writers
+
+    rows = spark.createDataFrame([("1", "file://localhost/a%20&b.aiff", 'A "x" <y>', None, 7, [("0.1", "128")]), ("2", None, None, "8A", None, None)], "track_id string, location string, genre string, key string, size long, TEMPO array<struct<_Inizio string, _Bpm string>>")
+    path = f"{tmp_path}/c"
+    assert writers.write_collection(rows, path) == 2
+    got = {r["track_id"]: (r["location"], r["path"], r["genre"], r["key"], r["size"]) for r in readers.collection_rows(spark, path).collect()}
+    assert got == {"1": ("file://localhost/a%20&b.aiff", "/a &b.aiff", 'A "x" <y>', None, 7), "2": (None, None, None, "8A", None)}
+    inside = spark.read.format("xml").option("rowTag", "TRACK").load(path).where("_TrackID = 1").first()
+    assert [t["_Bpm"] for t in inside["TEMPO"]] == [128] if isinstance(inside["TEMPO"], list) else inside["TEMPO"]["_Bpm"] == 128

@@ -469,7 +469,11 @@ def q_collection_rewrite(spark: SparkSession, d: str) -> DataFrame:
     rows = t.select("track_id", "path", F.col("path").alias("location"), F.lit("x").alias("kind"), F.col("size_bytes").alias("size"), F.lit(96000).alias("rate"), F.lit(320).alias("bit_rate"))
     out = F.concat(F.lit("/out/"), F.col("track_id").cast("string"), F.lit(".aiff"))
     done = t.where("ext = 'flac'").select(F.upper("path").alias("src"), tx.path_to_location(out).alias("location"), (2 * F.col("size_bytes")).alias("size"), organize.target_rate(F.lit(96000)).alias("rate"))
-    return organize.rewritten(rows, done).drop("path")
+    # written as XML and read back; what a collection has inside its tracks goes through untouched
+    path = new_path(spark, "collection")
+    writers.write_collection(organize.rewritten(rows, done).withColumn("TEMPO", F.array(F.struct(F.lit("0.025").alias("_Inizio"), F.lit("128.00").alias("_Bpm")))), path)
+    back = readers.collection_rows(spark, path)
+    return back.select(F.col("track_id").cast("long").alias("track_id"), "location", "kind", "size", "rate", "bit_rate")
 
 
 # -- duplicates --------------------------------------------------------------
@@ -683,10 +687,13 @@ def q_delete(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_journal", "SELECT count(*) FILTER (o_orderkey % 3 <> 0) AS moves, count(*) FILTER (o_orderkey % 3 = 0) AS trashes, count(*) + 1 AS entries FROM orders")
 def q_journal(spark: SparkSession, d: str) -> DataFrame:
-    """A journal written, read and counted."""
+    """A journal appended to by three batches, of which one runs twice; read and counted."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, "trash").otherwise("move").alias("action"), F.lit("a").alias("src"), F.lit("b").alias("dst"))
-    path = writers.journal(o, new_path(spark, "journals"), "organize", "/lib", 1.0)
-    return organize.tally(readers.journal(spark, path).withColumn("file", F.lit("one"))).drop("file")
+    path = writers.open_journal(spark, new_path(spark, "journals"), "organize", "/lib", 1.0)
+    for number in (0, 1, 1, 2):
+        writers.append_journal(o.where(F.col("seq") % 3 == number), path, number)
+    writers.close_journal(spark, path, 2.0)
+    return organize.tally(readers.journal(spark, path)).drop("file")
 
 
 @query("q_backup_counts", "SELECT count(*) FILTER (p_partkey % 5 <> 0) AS backed_up, count(*) FILTER (p_partkey % 5 <> 0 AND p_partkey % 3 = 0) AS not_fully_backed_up, count(*) FILTER (p_partkey % 5 = 0) AS errors FROM part")

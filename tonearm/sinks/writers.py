@@ -36,11 +36,11 @@ def publish(df: DataFrame, path: str, kind: str = "parquet", **options) -> int:
         raise OSError(f"{path} can't be written")
     if had:
         fs.delete(old, True)
-    return _read(spark, path, kind, df).count()
+    return _read(spark, path, kind, df, options).count()
 
 
-def _read(spark: SparkSession, path: str, kind: str, like: DataFrame) -> DataFrame:
-    r = spark.read.format(kind)
+def _read(spark: SparkSession, path: str, kind: str, like: DataFrame, options: dict) -> DataFrame:
+    r = spark.read.format(kind).options(**{k: v for k, v in options.items() if k == "rowTag"})
     return r.load(path) if kind == "text" else r.schema(like.schema).option("header", True).load(path)
 
 
@@ -82,19 +82,60 @@ def save_priors(spark: SparkSession, new: DataFrame, path: str) -> int:
     return publish(merge_sidecar(old, new), path)
 
 
+_ENTRY = {"v": "int", "kind": "string", "started_at": "double", "root": "string", "action": "string", "src": "string", "dst": "string", "at": "double"}
+
+
+def _lines(rows: DataFrame, path: str) -> None:
+    rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in _ENTRY.items()]).write.mode("overwrite").json(path)
+
+
+def open_journal(spark: SparkSession, folder: str, kind: str, root: str | None, at: float) -> str:
+    """Begin a journal of JSON lines with its header; entries are appended while the work goes on, so a run that breaks off keeps its own."""
+    path = f"{folder}/{kind}-{uuid.uuid4().hex}"
+    _lines(spark.range(1).select(F.lit(1).alias("v"), F.lit(kind).alias("kind"), F.lit(at).alias("started_at"), F.lit(root).cast("string").alias("root")), f"{path}/header")
+    return path
+
+
+def append_journal(entries: DataFrame, path: str, number: int) -> None:
+    """Add the entries (seq, action, src, dst) of a batch, in the order of ``seq``.
+
+    A batch has a place by its number: one that runs again, after a failure
+    or a restart, takes the place of what it had left, so each entry is there
+    once. To be given to ``foreachBatch``, whose batches have numbers.
+    """
+    _lines(entries.orderBy("seq"), f"{path}/batch-{number:09d}")
+
+
+def close_journal(spark: SparkSession, path: str, at: float) -> None:
+    _lines(spark.range(1).select(F.lit("completed").alias("action"), F.lit(at).alias("at")), f"{path}/end")
+
+
 def journal(entries: DataFrame, folder: str, kind: str, root: str, at: float) -> str:
-    """Write entries (seq, action, src, dst) as a journal of JSON lines between a header and an end mark, ordered by ``seq``."""
+    """A whole journal at once: header, entries, end mark."""
     spark = entries.sparkSession
-    empty = F.lit(None)
-    kinds = {"v": "int", "kind": "string", "started_at": "double", "root": "string", "action": "string", "src": "string", "dst": "string", "at": "double"}
-    mark = lambda seq, **v: spark.range(1).select(F.lit(seq).cast("long").alias("seq"), *[F.lit(v[c]).cast(t).alias(c) if c in v else empty.cast(t).alias(c) for c, t in kinds.items()])
-    body = entries.select(F.col("seq").cast("long").alias("seq"), *[F.col(c).cast(t).alias(c) if c in entries.columns else empty.cast(t).alias(c) for c, t in kinds.items()])
-    rows = mark(-1, v=1, kind=kind, started_at=at, root=root).unionByName(body).unionByName(mark((1 << 62), action="completed", at=at))
-    path = f"{folder}/{kind}-{uuid.uuid4().hex}"
-    rows.orderBy("seq").drop("seq").write.json(path)
+    path = open_journal(spark, folder, kind, root, at)
+    append_journal(entries, path, 0)
+    close_journal(spark, path, at)
     return path
 
 
+# Names of a collection's attributes.
+COLLECTION_FIELDS = {"track_id": "_TrackID", "location": "_Location", "genre": "_Genre", "key": "_Tonality", "comments": "_Comments", "kind": "_Kind", "size": "_Size", "rate": "_SampleRate", "bit_rate": "_BitRate"}
+
+
+def write_collection(rows: DataFrame, path: str) -> int:
+    """A DJ collection in XML, a TRACK element a row, as ``readers.collection_rows`` reads it.
+
+    Columns of COLLECTION_FIELDS become attributes, null ones are left out;
+    columns of arrays of structs (such as TEMPO, whose fields begin with
+    ``_``) become elements inside it; the collection's own path column and
+    others are not written.
+    """
+    own = [F.col(c).cast("string").alias(a) for c, a in COLLECTION_FIELDS.items() if c in rows.columns]
+    inside = [F.col(f.name) for f in rows.schema.fields if f.dataType.simpleString().startswith("array<struct")]
+    return publish(rows.select(*own, *inside), path, "xml", rootTag="DJ_PLAYLISTS", rowTag="TRACK")
+
+
 def append_history(run: DataFrame, path: str, most: int = 50) -> int:
     """Add a run's row to the history (column ``ts``) and keep the ``most`` newest."""
     spark = run.sparkSession

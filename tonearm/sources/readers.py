@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.audio import unit
 from ..functions.text import energy_mark, grouping_parts, path_key
+from ..sinks.writers import COLLECTION_FIELDS
 
 # File suffixes of the library.
 SUFFIXES = ["mp3", "flac", "m4a", "wav", "aiff", "aif", "ogg", "aac", "wma"]
@@ -98,7 +99,7 @@ def collection_rows(spark: SparkSession, path: str) -> DataFrame:
     head = spark.read.text(path).where("value rlike '<\\\\w'").select(F.regexp_extract("value", r"<(\w+)", 1).alias("tag")).first()
     if head is None or head["tag"] != "DJ_PLAYLISTS":
         raise Unreadable(f"{path} is no collection")
-    fields = {"track_id": "_TrackID", "location": "_Location", "genre": "_Genre", "key": "_Tonality", "comments": "_Comments", "kind": "_Kind", "size": "_Size", "rate": "_SampleRate", "bit_rate": "_BitRate"}
+    fields = COLLECTION_FIELDS
     schema = ", ".join(f"{c} string" for c in (*fields.values(), "_Key"))
     rows = spark.read.format("xml").option("rowTag", "TRACK").schema(schema).load(path).where("_Key is null or _Location is not null")
     out = rows.select(*[F.col(c).alias(k) for k, c in fields.items()])
@@ -119,9 +120,13 @@ def collection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    """(file, action, src, dst) of append-only journals; cut or malformed lines and the header are skipped."""
-    rows = spark.read.schema("action string, src string, dst string, v int").option("mode", "DROPMALFORMED").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), "action", "src", "dst").where("action is not null")
+    """(file, action, src, dst) of append-only journals, whatever number of appends they have; cut or malformed lines and the header are skipped.
+
+    ``file`` is the journal that an entry is of, also where it is a folder of appends.
+    """
+    rows = spark.read.schema("action string, src string, dst string, v int").option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
+    name = F.regexp_replace(F.col("_metadata.file_path"), "/(header|end|batch-[0-9]{9})/[^/]*$", "")
+    return rows.select(name.alias("file"), "action", "src", "dst").where("action is not null")
 
 
 def history(spark: SparkSession, path: str, schema: str, last: int) -> DataFrame:
