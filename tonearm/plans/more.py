@@ -489,21 +489,55 @@ def _texts_as_files(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.lpad(n.cast("string"), 12, "0").alias("path"), name.alias("filename"), ext.alias("ext"), size.alias("size_bytes"), F.when(n % 17 != 0, size / 10).alias("duration_s"), F.md5("text").alias("digest"), "fp")
 
 
-@query("q_near_dupes")
+def _led_sql(rows: str, by: str, value: str, alike: str, out: str) -> str:
+    """CTEs that give ``rows`` (``by``, o, ``value``) the leader of each as ``out`` (``by``, o, head): one after another, with the list of leaders so far. ``alike`` compares l.x with p.x."""
+    keys = " AND ".join(f"s.{c} = p.{c}" for c in by.split(", "))
+    hit = f"list_filter(s.leaders, lambda l: {alike})"
+    return f"""{out}_p AS MATERIALIZED (SELECT {by}, o, {value} AS x, row_number() OVER (PARTITION BY {by} ORDER BY o) AS n FROM {rows}),
+{out}_s AS (SELECT {by}, n, o, o AS head, [{{'o': o, 'x': x}}] AS leaders FROM {out}_p WHERE n = 1
+  UNION ALL SELECT {", ".join(f"p.{c}" for c in by.split(", "))}, p.n, p.o, CASE WHEN len({hit}) > 0 THEN {hit}[1].o ELSE p.o END, CASE WHEN len({hit}) > 0 THEN s.leaders ELSE list_append(s.leaders, {{'o': p.o, 'x': p.x}}) END FROM {out}_s s JOIN {out}_p p ON {keys} AND p.n = s.n + 1),
+{out} AS MATERIALIZED (SELECT {by}, o, head FROM {out}_s)"""
+
+
+_PRINTS_ALIKE = """list_max(list_transform(range(-20, 21), lambda d: list_transform([{'a': l.x[greatest(-d, 0) + 1:], 'b': p.x[greatest(d, 0) + 1:]}], lambda c: CASE WHEN least(len(c.a), len(c.b)) >= 8 OR d = 0 AND least(len(c.a), len(c.b)) > 0
+  THEN 1 - list_sum(list_transform(range(1, least(len(c.a), len(c.b)) + 1), lambda i: bit_count(xor(c.a[i], c.b[i])))) / (32 * least(len(c.a), len(c.b))) ELSE 0 END)[1])) >= 0.85"""
+
+
+def _near_sql(files: str) -> str:
+    """CTEs up to ``near`` (path, cluster) of ``files`` (path, fp): buckets of the first four frames, their leaders, and what hangs together."""
+    return f"""prints AS MATERIALIZED (SELECT fp, min(path) AS o FROM {files} WHERE fp IS NOT NULL GROUP BY fp), probes AS (SELECT unnest(range(4)) AS i, unnest(fp[1:4]) AS v, o, fp FROM prints),
+shared AS (SELECT * FROM probes QUALIFY count(*) OVER (PARTITION BY i, v) > 1), {_led_sql("shared", "i, v", "fp", _PRINTS_ALIKE, "led")},
+edges AS MATERIALIZED (SELECT o AS a, head AS b FROM led WHERE o <> head UNION SELECT path, o FROM {files} JOIN prints USING (fp) WHERE path <> o), both_ways AS MATERIALIZED (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b), near AS MATERIALIZED (SELECT a AS path, min(b) AS cluster FROM reach GROUP BY a)"""
+
+
+_DOC_PRINTS = """w AS (SELECT doc_id, text, string_split(lower(text), ' ') AS w FROM documents),
+files AS MATERIALIZED (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, doc_id, md5(text) AS digest, octet_length(encode(text)) AS size_bytes, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 2 END AS f, CASE WHEN doc_id % 17 <> 0 THEN octet_length(encode(text)) / 10 END AS duration_s,
+ CASE WHEN len(w) >= 32 THEN list_transform(range(len(w) // 4), lambda i: CAST('0x' || left(md5(array_to_string(w[i * 4 + 1 : i * 4 + 4], ' ')), 8) AS BIGINT)) END AS fp FROM w)"""
+_KEEP = "row_number() OVER (PARTITION BY {by} ORDER BY size_bytes <= 0, f, size_bytes DESC, path) = 1"
+_FOUND_SQL = f"""WITH RECURSIVE {_DOC_PRINTS}, ex AS MATERIALIZED (SELECT *, {_KEEP.format(by="digest")} AS keeper FROM files WHERE digest IS NOT NULL QUALIFY count(*) OVER (PARTITION BY digest) > 1),
+rest AS MATERIALIZED (SELECT * FROM files WHERE path NOT IN (SELECT path FROM ex WHERE NOT keeper)), {_near_sql("rest")},
+mixed AS (SELECT cluster FROM rest JOIN near USING (path) GROUP BY cluster HAVING count(DISTINCT digest) > 1), members AS MATERIALIZED (SELECT rest.*, cluster, doc_id % 5 = 0 AS kind, duration_s IS NOT NULL AS timed FROM rest JOIN near USING (path) WHERE cluster IN (SELECT cluster FROM mixed)),
+lengths AS (SELECT cluster, kind, timed, path AS o, duration_s FROM members), {_led_sql("lengths", "cluster, kind, timed", "duration_s", "p.x IS NULL OR greatest(l.x, p.x) <= 0 OR abs(l.x - p.x) / greatest(l.x, p.x) <= 0.12", "ver")},
+grouped AS (SELECT m.*, head AS version FROM members m JOIN ver v ON v.o = m.path), dup AS (SELECT *, {_KEEP.format(by="cluster, version")} AS keeper FROM grouped QUALIFY count(*) OVER (PARTITION BY cluster, version) > 1),
+found AS MATERIALIZED (SELECT 'md5' AS method, digest AS group_id, path, keeper, size_bytes FROM ex UNION ALL SELECT 'fingerprint', cluster || '|' || version, path, keeper, size_bytes FROM dup)"""
+
+
+@query("q_near_dupes", f"WITH RECURSIVE {_DOC_PRINTS}, {_near_sql('files')} SELECT path, cluster FROM near")
 def q_near_dupes(spark: SparkSession, d: str) -> DataFrame:
-    """(path, cluster) of documents that sound alike; tested against brute force."""
+    """(path, cluster) of documents that sound alike; those of fewer than 32 words have no fingerprint."""
     return dedupe.near_clusters(spark, _texts_as_files(spark, d), 0.85)
 
 
-@query("q_dedupe")
+@query("q_dedupe", f"{_FOUND_SQL} SELECT * FROM found")
 def q_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """All members of exact and near groups; tested against brute force."""
+    """All members of exact and near groups."""
     return dedupe.find(spark, _texts_as_files(spark, d), 0.85)
 
 
-@query("q_planned_duplicates")
+@query("q_planned_duplicates", f"{_FOUND_SQL} SELECT path, CAST(min(CASE method WHEN 'md5' THEN 1 ELSE 2 END) AS INT) AS phase FROM found GROUP BY path HAVING NOT bool_or(keeper)")
 def q_planned_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """What both phases would remove; tested against brute force."""
+    """What both phases would remove."""
     found = dedupe.find(spark, _texts_as_files(spark, d), 0.85)
     return dedupe.planned(found.select("path", F.when(F.col("method") == "md5", 1).otherwise(2).alias("phase"), "keeper"))
 
