@@ -152,27 +152,21 @@ def snap_octave(bpm: Column, hint: Column) -> Column:
     A tempo under 70 is doubled until it isn't, one of 200 or more halved, so
     the number of octaves is a logarithm; powers of two change no digit.
     """
-    bpm = F.when(bpm > 0, bpm)
-    # a logarithm just off a whole number is put right by one comparison
-    up = F.ceil(F.log2(F.lit(70.0) / bpm)).cast("int")
-    down = F.floor(F.log2(bpm / 100.0)).cast("int")
+    low, high = bpm < 70, bpm >= 200
+    n = F.when(low, F.ceil(F.log2(F.lit(70.0) / bpm))).when(high, F.floor(F.log2(bpm / 100.0))).otherwise(0)
+    turned = F.when(bpm > 0, F.struct(n.alias("n"), F.when(low, bpm * F.pow(F.lit(2.0), F.least(n, F.lit(12)))).when(high, bpm / F.pow(F.lit(2.0), F.least(n, F.lit(12)))).otherwise(bpm).alias("b"), low.alias("low"), high.alias("high")))
 
-    def doubled(n: Column) -> Column:
-        x = bpm * F.pow(F.lit(2.0), n)
-        return F.when(x < 70, n + 1).when(x / 2 >= 70, n - 1).otherwise(n)
-
-    def halved(n: Column) -> Column:
-        x = bpm / F.pow(F.lit(2.0), n)
-        return F.when(x >= 200, n + 1).when(x * 2 < 200, n - 1).otherwise(n)
-
-    octaves = F.when(bpm < 70, F.least(doubled(up), F.lit(12))).when(bpm >= 200, -F.least(halved(down), F.lit(12))).otherwise(0)
+    def settled(x: Column) -> Column:
+        # a logarithm just off a whole number is put right by one octave
+        b, more = x["b"], x["n"] < 12
+        return F.when(x["low"] & ((b >= 140) | more & (b < 70)), F.when(b < 70, b * 2).otherwise(b / 2)).when(x["high"] & ((b < 100) | more & (b >= 200)), F.when(b < 100, b * 2).otherwise(b / 2)).otherwise(b)
 
     def nearest(b: Column) -> Column:
         far = F.abs(b - hint)
         near = F.when(F.abs(2 * b - hint) < F.least(far, F.abs(b / 2 - hint)), 2 * b).when(F.abs(b / 2 - hint) < far, b / 2).otherwise(b)
         return F.when(hint.isNull(), b).otherwise(near)
 
-    return bound(bpm * F.pow(F.lit(2.0), octaves), nearest)
+    return bound(turned, lambda x: bound(settled(x), nearest))
 
 
 def filename_bpm(stem: Column) -> Column:
@@ -182,29 +176,30 @@ def filename_bpm(stem: Column) -> Column:
     nothing but blanks up to "bpm", which ends its word; the first counts.
     """
 
-    def marked(low: Column) -> Column:
-        parts = F.split(low, "bpm")
+    pair = lambda head, text: F.struct(head.alias("head"), text.alias("text"))
+    digits = lambda x: F.when((F.length(x["text"]) - F.length(x["head"])).between(2, 3), _after(x["text"], x["head"]))
 
+    def marked(parts: Column) -> Column:
         def before(part: Column, i: Column) -> Column:
-            text = _rstrip(part)
-            head = _rstrip(text, _DIGITS)
             ends = (i + 1 < F.size(parts)) & ~F.coalesce(F.get(parts, i + 1), F.lit("")).rlike(r"(?U)^\w")
-            return F.when(ends & (F.length(text) - F.length(head)).between(2, 3) & (_last_sign(head) != "."), _after(text, head))
+            split = bound(_rstrip(part), lambda t: pair(_rstrip(t, _DIGITS), t))
+            return F.when(ends, bound(split, lambda x: F.when(_last_sign(x["head"]) != ".", digits(x))))
 
         return F.get(F.filter(F.transform(parts, before), lambda x: x.isNotNull()), F.lit(0))
 
-    def bare(s: Column) -> Column:
-        head = _rstrip(s, _DIGITS)
-        sign = _last_sign(head)
-        joined = sign.isin(*_SPACE) | (sign == "_")
-        front = _rstrip(F.when(sign == "_", F.left(head, F.length(head) - 1)).otherwise(head))
-        return F.when((F.length(s) - F.length(head)).between(2, 3) & joined & (_last_sign(front) != "-"), _after(s, head))
+    def bare(x: Column) -> Column:
+        sign = _last_sign(x["head"])
+        front = _rstrip(F.when(sign == "_", F.left(x["head"], F.length(x["head"]) - 1)).otherwise(x["head"]))
+        return F.when((sign.isin(*_SPACE) | (sign == "_")) & (_last_sign(front) != "-"), digits(x))
 
-    # few names have the word: the others are spared the splitting
-    low = F.lower(stem)
-    number = F.when(F.contains(low, F.lit("bpm")), marked(low)).cast("int")
-    fits = lambda x: bound(x, lambda n: F.when(n.between(60, 200), n))
-    return F.coalesce(fits(number), fits(bound(stem, bare).cast("int")))
+    def read(s: Column) -> Column:
+        # few names have the word, or end in a digit: the others are spared the splitting
+        low = F.when(F.contains(F.lower(s), F.lit("bpm")), F.split(F.lower(s), "bpm"))
+        tail = F.when(_last_sign(s).between("0", "9"), pair(_rstrip(s, _DIGITS), s))
+        fits = lambda x: bound(x.cast("int"), lambda n: F.when(n.between(60, 200), n))
+        return F.coalesce(fits(bound(low, marked)), fits(bound(tail, bare)))
+
+    return bound(stem, read)
 
 
 def filename_key(stem: Column) -> Column:

@@ -88,8 +88,10 @@ def free_names(spark: SparkSession, moves: DataFrame, taken: DataFrame) -> DataF
     its name, with two counts as its state.
     """
     ship(spark)
-    asked = moves.withColumn("_key", _key(F.col("folder"), F.col("filename")))
-    ranked, made = save(spark, with_rank(asked.where("_key is not null"), ["_key"], "ordinal", "_i"), "names-asked")
+    # the plan of the moves is worked out once, ranks read it several times
+    asked, given = save(spark, moves.withColumn("_key", _key(F.col("folder"), F.col("filename"))).where("_key is not null"), "names-given")
+    ranked, made = save(spark, with_rank(asked, ["_key"], "ordinal", "_i"), "names-asked")
+    drop(spark, given)
     wanted, listed = save(spark, ranked.groupBy(F.col("_key").alias("key")).agg(F.min("ordinal").alias("first"), F.count("*").alias("n")), "names-wanted")
 
     # files that stand in a family's way: only families that are asked for count
