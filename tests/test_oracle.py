@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tonearm.plans import analysed, catalog, more  # noqa: F401
+from tonearm.plans import analysed, catalog, kept, more  # noqa: F401
 from tonearm.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"

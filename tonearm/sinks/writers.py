@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.dedupe import summary
 from ..operators.library import merge_sidecar
 
 
@@ -25,6 +26,11 @@ def publish(df: DataFrame, path: str, kind: str = "parquet", **options) -> int:
     spark = df.sparkSession
     part = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.format(kind).options(**options).save(part)
+    _replace(spark, part, path)
+    return _read(spark, path, kind, df, options).count()
+
+
+def _replace(spark: SparkSession, part: str, path: str) -> None:
     fs, target = _fs(spark, path)
     old = spark._jvm.org.apache.hadoop.fs.Path(f"{part}.old")
     had = fs.exists(target)
@@ -36,7 +42,6 @@ def publish(df: DataFrame, path: str, kind: str = "parquet", **options) -> int:
         raise OSError(f"{path} can't be written")
     if had:
         fs.delete(old, True)
-    return _read(spark, path, kind, df, options).count()
 
 
 def _read(spark: SparkSession, path: str, kind: str, like: DataFrame, options: dict) -> DataFrame:
@@ -65,6 +70,22 @@ def export(rows: DataFrame, source: str, path: str, kind: str) -> int:
     return {"csv": write_csv, "json": write_json, "m3u8": write_playlist}[kind](rows, path)
 
 
+def save_duplicates(members: DataFrame, path: str) -> DataFrame:
+    """Write a report of duplicates, both its tables or none: ``files``, a JSON object per file (method, group_id, path, keeper, size_bytes), and ``summary``, one per method.
+
+    A file is a line and groups are not gathered, so a group may be of any
+    size. The summary is that of the lines written; it is returned.
+    """
+    spark = members.sparkSession
+    part = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows = members.select("method", "group_id", "path", "keeper", "size_bytes")
+    rows.write.json(f"{part}/files")
+    n = summary(spark.read.schema(rows.schema).json(f"{part}/files"))
+    n.write.json(f"{part}/summary")
+    _replace(spark, part, path)
+    return spark.read.schema(n.schema).json(f"{path}/summary")
+
+
 def save_report(records: DataFrame, base: str, library: str) -> None:
     """Replace one library's rows in the table of reports; the others stay."""
     out = records.withColumn("library", F.lit(library))
