@@ -10,8 +10,8 @@ from ..functions import taxonomy as tax
 from ..operators import analysis, records
 from . import twins
 from .catalog import query
-from .more import CLASSES, _classes_sql
-from .views import table
+from .more import _RT, CLASSES, _classes_sql
+from .views import table, tracks
 
 #: What the references' labels are called, by turns.
 NAMES = ["House", "Deep House", "Techno", "Unknown", "Jungle", "Psy-Trance", "Ambient", "Hard Techno"]
@@ -180,3 +180,12 @@ SELECT histogram, value, n, CAST(CASE histogram WHEN 'ml_genre' THEN row_number(
 def q_analysis_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The run's histograms."""
     return records.statistics(run(spark, d), ["ml_genre", "energy", "timeslot", "mood"])
+
+
+@query("q_final_report", f"""{_RT}, o AS (SELECT *, {twins.camelot('key_raw')} AS tag_key, CASE WHEN vocal_score >= 0.88 THEN 'Vocal' WHEN vocal_score >= 0.72 THEN 'Light Vocal' ELSE 'Instrumental' END AS sung, coalesce(title_tag, '') LIKE '%feat.%' AS guest, coalesce(energy, 3) AS e FROM recs)
+SELECT track_id, genre, subgenre, source, conflict, confidence, ml_genre AS audio_genre, tag_key, CASE WHEN tag_key IS NOT NULL THEN coalesce(ml_key <> tag_key, false) END AS key_conflict, CASE WHEN sung = 'Instrumental' AND guest THEN 'Vocal' ELSE sung END AS vocal,
+ CASE WHEN genre IN ('Ambient', 'Downtempo') OR subgenre = 'Trip Hop' THEN CASE WHEN e <= 2 THEN 'Opener' ELSE 'Afterhours' END WHEN genre = 'Hardcore' OR subgenre IN ('Gabber', 'Hardstyle', 'Hard Techno') THEN 'Peak'
+  WHEN e >= 4 THEN CASE WHEN bpm < 110 THEN 'Warm-Up' ELSE 'Peak' END WHEN e = 3 THEN CASE WHEN bpm > 145 THEN 'Peak' ELSE 'Warm-Up' END ELSE 'Opener' END AS timeslot FROM o""")
+def q_final_report(spark: SparkSession, d: str) -> DataFrame:
+    """The records of a finished run, all of their sources reconciled."""
+    return records.report(tracks(spark, d)).select("track_id", "genre", "subgenre", "source", "conflict", "confidence", "audio_genre", "tag_key", "key_conflict", "vocal", "timeslot")
