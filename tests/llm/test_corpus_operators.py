@@ -415,6 +415,37 @@ def test_toolcall_levels(spark):
     assert got == {(k, c): n for k in (1, 2) for c, n in level.items()} and "a30" not in level
 
 
+def test_toolcall_ladders(spark, monkeypatch):
+    """Two references each, to the two calls before or after, over many blocks; rounds by the logarithm of the depth."""
+    rounds = []
+    swept = toolcalls.swept
+    monkeypatch.setattr(toolcalls, "swept", lambda *a: rounds.append(1) or swept(*a))
+    monkeypatch.setattr(toolcalls, "BLOCK", 50)
+    n = 1000
+    for sign, most in ((-1, 8), (1, 9)):
+        rounds.clear()
+        rows = [(c, f"c{i}", i, [f"c{i + sign}", f"c{i + 2 * sign}"]) for c in (1, 2) for i in range(n)]
+        got = toolcalls.levels(spark, spark.createDataFrame(rows, "conv_id long, call_id string, place long, refs array<string>"))
+        assert {(r["conv_id"], r["place"]): r["level"] for r in got.collect()} == {(c, i): i if sign < 0 else n - 1 - i for c in (1, 2) for i in range(n)}
+        assert len(rounds) <= most
+
+
+def test_toolcall_odd_rows(spark):
+    """No conversation, no identifier, no turn, repeated rows and identifiers, ties, clashing columns: order and values."""
+    calls = [
+        (None, 0, "a", "open", '{"page":1}', None), (1, None, "b", "open", '{"page":2}', [None, "b2", "gone"]), (1, 3, "b2", "open", '{"page":3}', []), (1, 3, "b2", "open", '{"page":3}', []),
+        (1, 5, "t", "open", '{"page":9}', []), (1, 5, "t", "open", '{"page":8}', ["b"]), (1, 6, None, "open", '{"page":4}', ["b"]), (1, 7, "s", "open", '{"page":5}', ["s"]),
+    ]
+    calls = spark.createDataFrame(calls, "conv_id long, turn int, call_id string, name string, arguments string, refs array<string>").withColumn("place", F.lit(7)).withColumn("level", F.lit("x")).withColumn("_h", F.lit(1))
+    results = spark.createDataFrame([(1, 4, "b2", "y"), (1, 4, "b2", "x"), (1, 1, None, "n"), (None, 1, "a", "m"), (1, None, "t", None)], "conv_id long, turn int, call_id string, content string").withColumn("place", F.lit(7))
+    got = sorted((tuple(r[c] for c in ("conv_id", "seq", "call_id", "status", "level", "result")) for r in toolcalls.link(spark, calls, results, toolcalls.SCHEMAS).collect()), key=str)
+    assert got == sorted([
+        (None, 1, "a", "no_id", None, None), (1, 1, "b2", "linked", 0, "x"), (1, 2, "b2", "duplicate_call", 0, "x"), (1, 3, "b", "no_result", 1, None),
+        (1, 4, "t", "linked", 2, None), (1, 5, "t", "duplicate_call", 2, None), (1, 6, None, "no_id", None, None), (1, 7, "s", "cycle", None, None),
+        (1, None, None, "orphan_result", None, "n"), (None, None, "a", "orphan_result", None, "m"),
+    ], key=str)
+
+
 def run_all(spark, df, tmp_path):
     labels = df.select("doc_id", F.lit(1).alias("toxic"))
     return {

@@ -6,12 +6,16 @@ refers to), arguments are checked against the schemas of the tools, and calls
 are serialised as canonical JSON: keys sorted at every depth, no spaces.
 
 References form a graph inside a conversation. A call's level is one more than
-the highest level it refers to; levels are found by rounds of joins over the
-calls that still wait, so a round touches only those. Depth has no limit: what
-waits when a round frees nothing is in a cycle or refers to one.
-
-Defined cases: null identifiers link nothing; repeated identifiers link the
-first result (lowest turn) to the first call, further calls are
+the highest level it refers to. Calls are numbered in their conversation, and
+blocks of ``BLOCK`` of them are swept in order, so that references to earlier
+calls of a block need no join; what then waits is resolved by rounds of joins
+over the waiting calls, in which a reference to a call that waits for a few
+others is replaced by references to those. Depth has no limit: what waits when
+a round frees nothing is in a cycle or refers to one.
+
+Defined cases: calls without identifier or conversation are ``no_id`` and link nothing; repeated identifiers link the
+first result (lowest turn, then content) to the first call (lowest turn, then
+name, arguments and references), further calls are
 ``duplicate_call``; results without a call are ``orphan_result``; calls
 without a result are ``no_result``; unknown tools and arguments that are no
 JSON object (null, cut off, a key twice) are invalid; empty tables give no rows; other columns are ignored.
@@ -19,10 +23,11 @@ JSON object (null, cut off, a key twice) are invalid; empty tables give no rows;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import drop, new_path
+from ..operators.ranks import with_rank
+from ..runtime import drop, new_path, save
 
 
 def canonical(arguments: Column) -> Column:
@@ -75,54 +80,122 @@ def validate(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple
     return F.when(name.isNull() | ~name.isin(*schemas), F.lit("unknown_tool")).otherwise(fault)
 
 
-def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls with ``refs array<string>``; no row for calls in a cycle.
+#: Calls in a block, which one task sweeps in order.
+BLOCK = 1000
+#: A reference is replaced by those of the call it leads to where these are at most so many.
+FEW = 8
+_EDGES = "array<struct<to:bigint,steps:bigint>>"
+
 
-    A waiting call has edges (to, steps) and the least level it has by those
-    that are gone. Where a call that it refers to has one edge left, the edge
-    goes on to where that one leads, so a chain takes rounds by the logarithm
-    of its length. Of calls in no cycle some become free in every round.
+def levels(spark: SparkSession, calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, place, level) of calls with ``refs array<string>``, a row each; no row for calls in a cycle.
+
+    ``place`` numbers the calls of a conversation without large gaps, best so
+    that references go to lower places; where it is absent they are numbered
+    by the hash of call_id. A waiting call has edges (to, steps) and the least
+    level it has by those that are gone. References to earlier calls of a
+    block are resolved by the first sweep; every second sweep goes backwards.
+    Chains take rounds by the logarithm of their depth whatever their order;
+    so do graphs in which each block hangs on at most ``FEW`` calls of others,
+    as ladders do, if references lead to earlier calls only, or to later ones
+    only. Other references to earlier calls take at most a round for each
+    block of their longest way; where wide ones lead both ways, depth in
+    turns of direction can be the number of rounds. Of calls in no cycle
+    some become free in every round.
     """
-    base = calls.select("conv_id", "call_id", "refs")
-    known = base.select("conv_id", "call_id").distinct()
-    edges = base.select("conv_id", "call_id", F.explode("refs").alias("to")).where("`to` is not null").distinct()
-    edges = edges.join(known.withColumnRenamed("call_id", "to"), ["conv_id", "to"], "left_semi")
-    edges = edges.groupBy("conv_id", "call_id").agg(F.collect_list(F.struct("to", F.lit(1).cast("bigint").alias("steps"))).alias("edges"))
-    none = F.array().cast(edges.schema["edges"].dataType)
-    state = known.join(edges, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.lit(0).cast("bigint").alias("level"), F.coalesce("edges", none).alias("edges"))
-    free, before = [], None
+    if "place" not in calls.columns:
+        calls = with_rank(calls.withColumn("_h", F.xxhash64("call_id")), ["conv_id"], "_h", "place", ["call_id"])
+    known = calls.select("conv_id", "call_id", "place")
+    edges = calls.select("conv_id", F.col("place").alias("_from"), F.explode("refs").alias("call_id")).where("call_id is not null").join(known, ["conv_id", "call_id"])
+    edges = edges.groupBy("conv_id", "_from").agg(F.collect_list(F.struct(F.col("place").alias("to"), F.lit(1).cast("bigint").alias("steps"))).alias("edges"))
+    state = known.select("conv_id", "place").join(edges.withColumnRenamed("_from", "place"), ["conv_id", "place"], "left")
+    state = state.select("conv_id", "place", F.lit(0).cast("bigint").alias("level"), F.coalesce(longest(F.col("edges")), F.array().cast(_EDGES)).alias("edges"))
+    free, before, back = [], [], False
     while True:
         path = new_path(spark, "op9-level")
-        state = state.withColumn("open", F.size("edges") > 0)
+        state = swept(state, back).withColumn("open", F.size("edges") > 0)
         state.write.partitionBy("open").parquet(path)
+        drop(spark, *before)
         state = spark.read.schema(state.schema).parquet(path)
-        if before:
-            drop(spark, f"{before}/open=true")
         n = state.agg(F.count_if(~F.col("open")).alias("free"), F.count_if("open").alias("waiting")).first()
         if n["free"]:
             free.append(f"{path}/open=false")
         if not n["free"] or not n["waiting"]:
             break
-        state, before = _round(state), path
+        left, left_path = save(spark, without_freed(state), "op9-left")
+        state, back, before = hopped(left), not back, [f"{path}/open=true", left_path]
     done = spark.read.schema(state.drop("open").schema).parquet(*free) if free else state.limit(0)
-    return done.select("conv_id", "call_id", F.col("level").cast("int").alias("level"))
+    return known.join(done.select("conv_id", "place", F.col("level").cast("int").alias("level")), ["conv_id", "place"]).select("conv_id", "call_id", "place", "level")
 
 
-def _round(state: DataFrame) -> DataFrame:
-    """Waiting calls after their edges went on by one hop over calls with one edge, and then to calls just freed."""
-    edges = state.where("open").select("conv_id", "call_id", "level", F.explode("edges").alias("e")).select("conv_id", "call_id", "level", "e.*")
-    one = state.where("open and size(edges) = 1").select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l"), F.col("edges")[0].alias("_e"))
-    hop = edges.join(one, ["conv_id", "to"], "left").select(
-        "conv_id", "call_id", F.greatest("level", capped(F.col("_l") + F.col("steps"))).alias("level"),
-        F.coalesce("_e.to", "to").alias("to"), capped(F.col("steps") + F.coalesce("_e.steps", F.lit(0))).alias("steps"),
-    )
-    now = state.where("not open").select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("_l"))
-    hop = hop.join(now, ["conv_id", "to"], "left").withColumn("level", F.greatest("level", capped(F.col("_l") + F.col("steps"))))
-    left = F.array_sort(F.collect_list(F.when(F.col("_l").isNull(), F.struct("to", "steps"))))
-    out = hop.groupBy("conv_id", "call_id").agg(F.max("level").alias("level"), left.alias("edges"))
-    # of edges to the same call the longest
-    last = lambda e, i: F.coalesce(F.get("edges", i + 1)["to"] != e["to"], F.lit(True))
-    return out.withColumn("edges", F.filter("edges", last))
+def let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def longest(edges: Column) -> Column:
+    """Edges in order, of those to the same call the one with most steps."""
+    return let(F.array_sort(edges), lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["to"] != e["to"], F.lit(True))))
+
+
+def relaxed(level: Column, seen: Column) -> Column:
+    """(level, edges) of a call after its edges, as (to, steps, found), went on over the calls found at their ends.
+
+    ``found`` is the (level, edges) of the call that an edge leads to, or null
+    where that isn't known. An edge is replaced by those of the call it leads
+    to if these are at most ``FEW`` and the call has no more than ``FEW``
+    edges, or no more than before, afterwards; else only if it is at most one.
+    """
+
+    def replaced(seen: Column, most: int) -> Column:
+        own = lambda e: F.array(F.struct(e["to"].alias("to"), e["steps"].alias("steps")))
+        on = lambda e: F.transform(e["found"]["edges"], lambda f: F.struct(f["to"].alias("to"), capped(e["steps"] + f["steps"]).alias("steps")))
+        few = lambda e: F.coalesce(F.size(e["found"]["edges"]) <= most, F.lit(False))
+        return longest(F.flatten(F.transform(seen, lambda e: F.when(few(e), on(e)).otherwise(own(e)))))
+
+    def both(seen: Column) -> Column:
+        reach = F.array_max(F.transform(seen, lambda e: capped(e["steps"] + e["found"]["level"])))
+        edges = let(replaced(seen, FEW), lambda w: F.when(F.size(w) <= F.greatest(F.lit(FEW), F.size(seen)), w).otherwise(replaced(seen, 1)))
+        return F.struct(F.greatest(level, reach).alias("level"), edges.alias("edges"))
+
+    return let(seen, both)
+
+
+def swept(state: DataFrame, back: bool = False) -> DataFrame:
+    """The state after the calls of each block went over their edges in the order of their places, or in its reverse."""
+    blocks = state.groupBy("conv_id", F.floor(F.col("place") / BLOCK).alias("_b")).agg(F.sort_array(F.collect_list(F.struct("place", "level", "edges")), asc=not back).alias("_calls"))
+    start = F.col("_b") * BLOCK
+    index = lambda place: (start + (BLOCK - 1) - place if back else place - start).cast("int")
+    nothing = F.array().cast(f"array<struct<level:bigint,edges:{_EDGES}>>")
+
+    def step(done: Column, call: Column) -> Column:
+        inside = lambda e: e["to"].between(start, start + (BLOCK - 1)) & (index(e["to"]) < F.size(done))
+        seen = F.transform(call["edges"], lambda e: F.struct(e["to"].alias("to"), e["steps"].alias("steps"), F.when(inside(e), F.get(done, index(e["to"]))).alias("found")))
+        now = F.when(F.size(call["edges"]) == 0, F.struct(call["level"].alias("level"), call["edges"].alias("edges"))).otherwise(relaxed(call["level"], seen))
+        # places that no waiting call has are filled with nulls
+        gap = F.array_repeat(F.get(nothing, F.lit(0)), index(call["place"]) - F.size(done))
+        return F.concat(done, gap, F.array(now))
+
+    after = lambda done: F.transform("_calls", lambda c: F.struct(c["place"].alias("place"), F.get(done, index(c["place"])).alias("now")))
+    out = blocks.select("conv_id", F.explode(F.aggregate("_calls", nothing, step, after)).alias("c"))
+    return out.select("conv_id", "c.place", "c.now.level", "c.now.edges")
+
+
+def without_freed(state: DataFrame) -> DataFrame:
+    """The waiting calls of a state, without their edges to calls that are free."""
+    return _over(state.where("open"), state.where("not open"))
+
+
+def hopped(state: DataFrame) -> DataFrame:
+    """The state after edges went on by one hop, over calls of the state with few edges."""
+    return _over(state, state.where(F.size("edges") <= FEW)).unionByName(state.where("size(edges) = 0").select("conv_id", "place", "level", "edges"))
+
+
+def _over(calls: DataFrame, ends: DataFrame) -> DataFrame:
+    edges = calls.select("conv_id", "place", "level", F.explode("edges").alias("e")).select("conv_id", "place", "level", "e.*")
+    ends = ends.select("conv_id", F.col("place").alias("to"), F.struct("level", "edges").alias("found"))
+    seen = edges.join(ends, ["conv_id", "to"], "left").groupBy("conv_id", "place").agg(F.first("level").alias("level"), F.collect_list(F.struct("to", "steps", "found")).alias("seen"))
+    return seen.select("conv_id", "place", relaxed(F.col("level"), F.col("seen")).alias("now")).select("conv_id", "place", "now.level", "now.edges")
 
 
 def capped(steps: Column) -> Column:
@@ -134,27 +207,34 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
     """calls: conv_id, turn, call_id, name, arguments (JSON text), refs array<string>; results: conv_id, turn, call_id, content.
 
     Returns a row per call and per orphan result: conv_id, call_id, status,
-    level, seq (the order in its conversation), fault, json, result.
+    level, seq (the order in its conversation), fault, json, result. Calls are
+    numbered and ordered by ranges, so a conversation with a third of all
+    calls is many tasks.
     """
-    first = Window.partitionBy("conv_id", "call_id").orderBy("turn")
-    nth = F.row_number().over(first)
-    calls = calls.withColumn("_n", nth)
-    answers = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content"))["content"].alias("content"), F.min("turn").alias("_t"))
-    unique = calls.where("_n = 1 and call_id is not null")
-    order = levels(spark, unique)
-    linked = calls.join(answers, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
+    calls = calls.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "call_id", "name", "arguments", "refs")
+    calls, calls_path = save(spark, with_rank(calls, ["conv_id"], "turn", "place", ["call_id", "name", "arguments", "refs"]), "op9-calls")
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    first = calls.where(keyed).groupBy("conv_id", "call_id").agg(F.min("place").alias("_first"))
+    answers = results.where(keyed).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content"))["content"].alias("content"), F.lit(True).alias("_answered"))
+    unique = calls.where(keyed).join(first, ["conv_id", "call_id"]).where("place = _first").select("conv_id", "call_id", "place", "refs")
+    order = levels(spark, unique).select("conv_id", "call_id", "level")
+    facts = first.join(answers, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
+    linked = calls.where(keyed).join(facts, ["conv_id", "call_id"], "left").unionByName(calls.where(~keyed), allowMissingColumns=True)
     fault = validate(F.col("name"), F.col("arguments"), schemas)
     json = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.coalesce("name", F.lit(""))), F.lit("}"))
     status = (
-        F.when((F.col("_n") > 1) & F.col("call_id").isNotNull(), "duplicate_call").when(F.col("call_id").isNull(), "no_id").when(F.col("level").isNull(), "cycle")
-        .when(fault.isNotNull(), "invalid").when(F.col("_t").isNull(), "no_result").otherwise("linked")
+        F.when(~keyed, "no_id").when(F.col("place") > F.col("_first"), "duplicate_call").when(F.col("level").isNull(), "cycle")
+        .when(F.col("fault").isNotNull(), "invalid").when(F.col("_answered").isNull(), "no_result").otherwise("linked")
     )
-    linked = linked.withColumn("status", status).withColumn("fault", fault).withColumn("json", json)
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("level"), "turn", "call_id"))
-    out = linked.select("conv_id", "call_id", "status", "level", place.alias("seq"), "fault", "json", F.col("content").alias("result"))
-    orphans = results.join(unique.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-    none = F.lit(None)
-    return out.unionByName(orphans.select("conv_id", "call_id", F.lit("orphan_result").alias("status"), none.cast("int").alias("level"), none.cast("int").alias("seq"), none.cast("string").alias("fault"), none.cast("string").alias("json"), F.col("content").alias("result")))
+    late = F.lit(2**31 - 1).cast("bigint")  # calls without a level come last
+    linked = linked.withColumn("fault", fault).withColumn("status", status).withColumn("json", json).withColumn("_order", F.coalesce("level", late) * F.lit(2**31) + F.col("place"))
+    linked, _ = save(spark, linked.select("conv_id", "call_id", "status", "level", "_order", "fault", "json", F.col("content").alias("result")), "op9-linked")
+    drop(spark, calls_path)
+    out = with_rank(linked, ["conv_id"], "_order", "seq").drop("_order").withColumn("seq", (F.col("seq") + 1).cast("int"))
+    alone = results.where(keyed).join(linked.where(keyed).select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "content")
+    alone = alone.unionByName(results.where(~keyed).select("conv_id", "call_id", "content"))
+    orphans = alone.select("conv_id", "call_id", F.lit("orphan_result").alias("status"), F.col("content").alias("result"))
+    return out.select("conv_id", "call_id", "status", "level", "seq", "fault", "json", "result").unionByName(orphans, allowMissingColumns=True)
 
 
 #: Tools of the query.
