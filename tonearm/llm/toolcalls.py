@@ -212,29 +212,33 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: dic
     calls is many tasks.
     """
     calls = calls.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "call_id", "name", "arguments", "refs")
-    calls, calls_path = save(spark, with_rank(calls, ["conv_id"], "turn", "place", ["call_id", "name", "arguments", "refs"]), "op9-calls")
+    calls, _ = save(spark, with_rank(calls, ["conv_id"], "turn", "place", ["call_id", "name", "arguments", "refs"]), "op9-calls")
     keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    first = calls.where(keyed).groupBy("conv_id", "call_id").agg(F.min("place").alias("_first"))
+    # numbers only, until calls and results are joined once, at the end
+    slim = calls.select("conv_id", "call_id", "place")
+    first = slim.where(keyed).groupBy("conv_id", "call_id").agg(F.min("place").alias("_first"))
+    unique = calls.select("conv_id", "call_id", "place", "refs").where(keyed).join(first, ["conv_id", "call_id"]).where("place = _first").drop("_first")
+    facts = first.join(levels(spark, unique).select("conv_id", "call_id", "level"), ["conv_id", "call_id"], "left")
+    late = F.lit(2**31 - 1).cast("bigint")  # calls without a level come last
+    slim = slim.where(keyed).join(facts, ["conv_id", "call_id"]).unionByName(slim.where(~keyed), allowMissingColumns=True)
+    slim, slim_path = save(spark, slim.withColumn("_order", F.coalesce("level", late) * F.lit(2**31) + F.col("place")), "op9-order")
+    order, _ = save(spark, with_rank(slim, ["conv_id"], "_order", "seq").drop("_order"), "op9-seq")
+    drop(spark, slim_path)
     answers = results.where(keyed).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content"))["content"].alias("content"), F.lit(True).alias("_answered"))
-    unique = calls.where(keyed).join(first, ["conv_id", "call_id"]).where("place = _first").select("conv_id", "call_id", "place", "refs")
-    order = levels(spark, unique).select("conv_id", "call_id", "level")
-    facts = first.join(answers, ["conv_id", "call_id"], "left").join(order, ["conv_id", "call_id"], "left")
-    linked = calls.where(keyed).join(facts, ["conv_id", "call_id"], "left").unionByName(calls.where(~keyed), allowMissingColumns=True)
-    fault = validate(F.col("name"), F.col("arguments"), schemas)
+    told = order.where(keyed).join(answers, ["conv_id", "call_id"], "left").unionByName(order.where(~keyed), allowMissingColumns=True)
+    told = told.withColumnsRenamed({"conv_id": "_conv", "place": "_place"}).drop("call_id")
+    linked = calls.join(told, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("place") == F.col("_place")))
+    linked = linked.withColumn("fault", validate(F.col("name"), F.col("arguments"), schemas))
     json = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.coalesce("name", F.lit(""))), F.lit("}"))
     status = (
         F.when(~keyed, "no_id").when(F.col("place") > F.col("_first"), "duplicate_call").when(F.col("level").isNull(), "cycle")
         .when(F.col("fault").isNotNull(), "invalid").when(F.col("_answered").isNull(), "no_result").otherwise("linked")
     )
-    late = F.lit(2**31 - 1).cast("bigint")  # calls without a level come last
-    linked = linked.withColumn("fault", fault).withColumn("status", status).withColumn("json", json).withColumn("_order", F.coalesce("level", late) * F.lit(2**31) + F.col("place"))
-    linked, _ = save(spark, linked.select("conv_id", "call_id", "status", "level", "_order", "fault", "json", F.col("content").alias("result")), "op9-linked")
-    drop(spark, calls_path)
-    out = with_rank(linked, ["conv_id"], "_order", "seq").drop("_order").withColumn("seq", (F.col("seq") + 1).cast("int"))
-    alone = results.where(keyed).join(linked.where(keyed).select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", "content")
+    out = linked.select("conv_id", "call_id", status.alias("status"), "level", (F.col("seq") + 1).cast("int").alias("seq"), "fault", json.alias("json"), F.col("content").alias("result"))
+    alone = results.where(keyed).select("conv_id", "call_id", "content").join(order.where("place = _first").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
     alone = alone.unionByName(results.where(~keyed).select("conv_id", "call_id", "content"))
     orphans = alone.select("conv_id", "call_id", F.lit("orphan_result").alias("status"), F.col("content").alias("result"))
-    return out.select("conv_id", "call_id", "status", "level", "seq", "fault", "json", "result").unionByName(orphans, allowMissingColumns=True)
+    return out.unionByName(orphans, allowMissingColumns=True)
 
 
 #: Tools of the query.
