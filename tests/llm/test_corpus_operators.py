@@ -9,7 +9,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -325,6 +327,97 @@ def test_toxicity(spark):
     assert r and toxicity.fit(spark, docs, labels.limit(0)).score("vilebad") < 0.01
 
 
+def test_toxicity_against_plain_risk(spark):
+    """Sample, features, corrected risk, its descent and the scores, computed plainly over dense rows."""
+    rows = [(i, " ".join(words(25, i) + (["vilebad", "awfulness"] * (1 + i % 2) if i % 6 == 0 else [])) if i % 29 else None) for i in range(300)] + [(7, "another text of one id"), (8, " ".join(words(25, 8)))]
+    labels = {i: int(i % 6 == 0) for i in range(200)}
+    docs = frame(spark, rows)
+    model = toxicity.fit(spark, docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+
+    def found(text):
+        tally = {}
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            for f in [w] + [w[:n] + "-" for n in (4, 5, 6) if n < len(w)]:
+                tally[f] = tally.get(f, 0) + 1
+        return set(tally) | {f + "+" for f in tally if tally[f] >= 2}
+
+    free = sorted({(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5}, key=str)
+    told = {i: x for i, x in labels.items() if zlib.crc32(str(i).encode()) % 5}
+    prior = sum(told.values()) / len(told)
+    every = [found(t) for _, t in free]
+    toxic = [found(t) for i, t in free if told.get(i)]
+    count = lambda f, sets: sum(f in s for s in sets)
+    names = [
+        f for f in sorted(set().union(*every)) if count(f, toxic) >= max(toxicity.LEAST_COUNT, toxicity.LEAST_SHARE * len(toxic))
+        and count(f, toxic) / len(toxic) * (len(every) + 1) / (count(f, every) + 1) >= toxicity.LEAST_LIFT / prior
+    ]
+    assert set(model.weights) == set(names) and "vilebad" in names
+    dense = lambda sets: np.array([[float(f in s) for f in names] + [1.0] for s in sets])
+    x, u = dense(toxic), dense(every)
+    loss = lambda z: np.log1p(np.exp(-z))  # noqa: E731  (of a document called toxic; of one called clean it is loss(-z))
+
+    def parts(w):
+        return prior * loss(x @ w).mean(), loss(-(u @ w)).mean() - prior * loss(-(x @ w)).mean()
+
+    def slope(part, w, d=1e-5):
+        return np.array([(parts(w + e)[part] - parts(w - e)[part]) / (2 * d) for e in np.eye(len(w)) * d])
+
+    w, m, v = np.zeros(len(names) + 1), 0.0, 0.0
+    for t in range(1, toxicity.STEPS + 1):
+        negative = parts(w)[1] < 0
+        g = -slope(1, w) if negative else slope(0, w) + slope(1, w)
+        g = g + toxicity.DECAY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - toxicity.RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    plain = {(i, t): 1 / (1 + np.exp(-(np.array([float(f in found(t)) for f in names] + [1.0]) @ w))) for i, t in rows}
+    got = {(r["row"]["doc_id"], r["row"]["text"]): r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got.keys() == plain.keys() and max(abs(got[k] - plain[k]) for k in plain) < 1e-3
+
+
+def test_toxicity_risk_is_not_negative():
+    """Where the prior is larger than the share of positives, the risk on negatives would fall without end; it is pushed back up."""
+    p, clean = [np.array([0]), np.array([0, 1])], [np.array([2])] * 4
+    for prior in (0.3, 0.5, 0.6, 0.8):
+        w, b = toxicity.train(p, p + clean, 3, prior)
+        z = lambda d: w[d].sum() + b  # noqa: B023, E731
+        part = np.mean([np.logaddexp(0, z(d)) for d in p + clean]) - prior * np.mean([np.logaddexp(0, z(d)) for d in p])
+        assert part > -0.1 and z(clean[0]) < z(p[0])
+        assert prior > 0.3 or z(clean[0]) < 0 < z(p[0])
+
+
+def test_spotsigs_plainly(spark, docs):
+    """Anchors, chains, hashes and likenesses of texts and edited texts, computed word by word."""
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    text_hash = lambda t, seed=42: xxhash.xxh64(t.encode(), seed=seed).intdigest()
+
+    def plain(t):
+        ws = regex.sub(r"[^\p{L}\p{N} \t\n\x0b\f\r]+", "", t.lower()).split()
+        content = [i for i, w in enumerate(ws) if w not in spotsigs.ANCHORS]
+        out = set()
+        for k, i in enumerate(content):
+            if i and (ws[i - 1] in spotsigs.ANCHORS or signed(text_hash(ws[i - 1])) % spotsigs.CHOSEN == 0):
+                h = text_hash(ws[i - 1])
+                for j in content[k : k + spotsigs.CHAIN]:
+                    h = xxhash.xxh64(text_hash(ws[j]).to_bytes(8, "little"), seed=h).intdigest()
+                out.add(h & 0xFFFFFFFF)
+        if not out and t:
+            out = {text_hash(" ".join(ws) if ws else t) & 0xFFFFFFFF}
+        return out
+
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    shown = lambda s: ",".join(f"{x:X}" for x in sorted(s))
+    long = (50, " ".join(words(60_000, 3)))
+    rows = sorted([*corpus(), long], reverse=True)
+    got = {r["doc_id"]: r for r in spotsigs.fingerprints(spark, docs.union(frame(spark, [long]))).collect()}
+    assert len(got) == len(rows)
+    for k, (d, t) in enumerate(rows):
+        t, nxt = t or "", rows[(k + 1) % len(rows)][1] or ""
+        a, e, n = plain(t), plain(t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]), plain(nxt)
+        r = got[d]
+        assert (r["fingerprint"], r["edited_fingerprint"], r["n_signatures"]) == (shown(a), shown(e), len(a)), d
+        assert r["near_edited"] == pytest.approx(like(a, e)) and r["near_next"] == pytest.approx(like(a, n))
+
+
 def test_toxicity_sample_is_bounded(spark, monkeypatch):
     """Many rows of one id and text count once; the limits bound rows, not ids."""
     monkeypatch.setattr(toxicity, "UNLABELLED", 20)
