@@ -69,6 +69,17 @@ def test_knn(spark):
     assert [tuple(r) for r in vectors.predict(vectors.knn_votes(q, ref)).collect()] == [(10, "a")]
 
 
+def test_knn_of_odd_vectors(spark):
+    """Equal vectors go by id wherever they stand; nulls, other sizes, zero and infinite ones take no part; ids may be text."""
+    ref = [(f"r{i:03}", "abc"[i % 3], [0.1, 0.7, 0.3]) for i in range(40)] + [("n", "z", None), ("m", "z", [0.1, None, 0.3]), (None, "z", [0.1, 0.7, 0.3]), ("s", "z", [0.1, 0.7]), ("i", "z", [float("inf"), 0.0, 1.0]), ("a", None, [0.2, 1.4, 0.6])]
+    ref = spark.createDataFrame(ref, "ref_id string, label string, emb array<float>")
+    q = spark.createDataFrame([("r001", [0.1, 0.7, 0.3]), ("x", [0.1, 0.7, 0.3]), ("none", None), (None, [0.1, 0.7, 0.3]), ("t", [0.3, 0.1])], "query_id string, emb array<float>")
+    got = {(r["query_id"], r["label"]): round(r["w"]) for r in vectors.knn_votes(q, ref, 4).collect()}
+    most = 1_000_000
+    assert got == {("r001", None): most, ("r001", "a"): 2 * most, ("r001", "c"): most, ("x", None): most, ("x", "a"): most, ("x", "b"): most, ("x", "c"): most, ("t", "z"): round(1 / (1 - (0.03 + 0.07) / (0.1**0.5 * 0.5**0.5)))}
+    assert vectors.knn_votes(q, ref.limit(0)).count() == 0 and vectors.knn_votes(q.limit(0), ref).count() == 0
+
+
 def test_knn_of_many_references(spark):
     """More references than one block or a broadcast holds, against brute force."""
     n = 200_100
