@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import drop, save, ship
+from ..runtime import SMALL_BYTES, drop, lean, save, ship
 from .bwt import collection
 from .bytesops import Rolling, blocks, mix, second, text_bytes
 
@@ -40,6 +40,8 @@ LENGTH, ANCHOR = 100, 32
 WINDOW = LENGTH - ANCHOR + 1
 #: Strings that one transform holds at least, before it ends with the anchor's last string.
 COLLECTION = 2000
+#: Bytes of text whose strings are hashed at once; each takes about 100 bytes meanwhile.
+PART = 1 << 18
 #: Anchors with more first runs than this are compared by window hashes.
 HOT = 20_000
 #: Largest estimated size of rows that are broadcast; beyond it joins shuffle.
@@ -88,11 +90,12 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, first - base, last - base, mix(one(at, at + ANCHOR)), mix(two(first, last + LENGTH) + (last - first).astype(np.uint64))
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = text_bytes(b.column(1))
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        parts = [(lo, *pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in blocks(offsets)]
+        parts = [(lo, *pieces(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) for lo, hi in blocks(offsets, PART)]
         if not parts:
             continue
         row, s, e, anchor, piece = (np.concatenate(x) for x in zip(*((p[1] + p[0], *p[2:]) for p in parts), strict=True))
@@ -131,6 +134,7 @@ def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_sha"))).drop("_id", "_h", "_sha")
 
 
+@lean
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each asked piece, from rows of (ord, text, asked)."""
     for b in batches:
@@ -187,6 +191,7 @@ def _runs(o: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(o[cut]), pa.array(s[cut].astype(np.int32)), pa.array((last - s[cut]).astype(np.int32))], ["ord", "s", "more"])
 
 
+@lean
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, taken in collections of whole anchor groups."""
     held: list[tuple] = []
@@ -217,6 +222,7 @@ def later_here(o: np.ndarray, s: np.ndarray, h1: np.ndarray, h2: np.ndarray) ->
     return out
 
 
+@lean
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each 100-byte string of each piece by two hashes, for anchors with very many pieces.
 
@@ -275,6 +281,7 @@ def removed_runs(spark: SparkSession, docs: DataFrame, made: list[str]) -> DataF
     return whole.union(runs)
 
 
+@lean
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge each document's runs into maximal removed spans, as pairs of 64-bit integers."""
     for b in batches:
@@ -288,6 +295,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array([len(x) for x in out], pa.int64())], ["ord", "spans", "bytes"])
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kept, rows = [], []
@@ -318,7 +326,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, carry: list[str] | None
     a character, the cut character's leftover bytes are not in ``kept`` (they
     are in kept_sha256).
     """
-    ship(spark)
+    ship(spark, SMALL_BYTES)
     made: list[str] = []
     row = F.struct(*[F.col(f"`{c}`") for c in carry or [c for c in docs.columns if c != "text"]]).alias("row")
     kind = docs.select(row).schema["row"].dataType.simpleString()
