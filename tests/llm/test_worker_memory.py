@@ -4,9 +4,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import public_tokenizers
 import pytest
 
-from tonearm.llm import substrings
+from tonearm.llm import packing, substrings
 
 ROOT = Path(__file__).resolve().parents[2]
 RUN = """
@@ -44,3 +45,10 @@ def test_op5_asks_for_small_batches(spark):
     got = {r["row"]["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(spark, docs).collect()}
     assert got == {1: 299, 2: 0}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_packing_asks_for_small_batches(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"] for r in packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert got == {1, 2}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

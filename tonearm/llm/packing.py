@@ -32,7 +32,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import parallelism, save, ship
+from ..runtime import SMALL_BYTES, lean, parallelism, save, ship
 from .bpe import Cache, encode
 
 CAPACITY = 1024
@@ -129,7 +129,7 @@ def cut(path: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.Recor
                 cols.append(pa.array(ids, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(cols)])
 
-    return run
+    return lean(run)
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -283,7 +283,7 @@ def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) of every piece."""
-    ship(spark)
+    ship(spark, SMALL_BYTES)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut(path, capacity, with_ids), kind)
     pieces, _ = save(spark, pieces, "op6-pieces")
