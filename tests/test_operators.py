@@ -156,6 +156,36 @@ def test_likeness_in_batches(spark):
             assert dedupe.alike_prints(t)(leaders)((a,), np.arange(30)).tolist() == [w >= t for w in want]
 
 
+def test_unlike_prints_are_told_by_their_first_windows():
+    """Of many at once: no alike pair is lost, hardly any other is compared in full; pairs of one table are as in :func:`ask`."""
+    g = np.random.default_rng(3)
+    table = [np.concatenate([[1, 2, 3], g.integers(0, 1 << 32, n)]) for n in g.integers(6, 400, 150)]
+    noisy = lambda f, share: f ^ ((g.random((len(f), 32)) < share) * (1 << np.arange(32))).sum(1)
+    copies = [noisy(f, share)[cut:] for f in table[:12] for share in (0.0, 0.13, 0.16) for cut in (0, 2)]
+    items = pd.DataFrame({"fp": copies + [np.concatenate([[1, 2, 3], g.integers(0, 1 << 32, n)]) for n in g.integers(6, 400, 40)]})
+    rows, every = pd.DataFrame({"fp": table}), np.arange(150)
+    ask = dedupe.alike_prints(0.85)(rows)
+    may = ask.maybe(items, every)
+    exact = np.array([ask((f,), every) for f in items["fp"]])
+    assert exact.any() and not (exact & ~may).any() and (may & ~exact).mean() < 0.05
+    both = dedupe.alike_prints(0.85)(pd.concat([rows, items], ignore_index=True))
+    i, j = np.divmod(np.arange(exact.size), 150)
+    assert (both.pairs(i + 150, j) == exact.ravel()).all() and (both.pairs(j, i + 150) == exact.ravel()).all()
+
+
+def test_buckets_of_the_same_files_are_one(spark, monkeypatch):
+    """Texts that begin alike for twelve words and go on unlike: one bucket of three is worked on."""
+    seen, real = [], dedupe.led
+    monkeypatch.setattr(dedupe, "led", lambda spark, items, *rest: seen.append(items.select("i", "v").distinct().count()) or real(spark, items, *rest))
+    r = random.Random(4)
+    prints = {f"p{k:02}": [1, 2, 3] + [r.getrandbits(32) for _ in range(20)] for k in range(30)} | {"q0": [1, 2, 9] + [r.getrandbits(32) for _ in range(20)]}
+    prints["q1"] = [x ^ 1 for x in prints["p07"]][:3] + prints["p07"][3:]
+    files = spark.createDataFrame(list(prints.items()), "path string, fp array<long>")
+    assert {x["path"]: x["cluster"] for x in dedupe.near_clusters(spark, files, 0.85).collect()} == plain_clusters(list(prints.items()), 0.85)
+    # (0, 1) with (1, 2), (2, 3), and p07 with q1 at the fourth frame
+    assert seen == [3]
+
+
 def plain_clusters(files, threshold):
     """Buckets by the first four frames, leaders in the order of paths, clusters that share a file merged."""
     long = sorted((p, fp) for p, fp in files if fp and len(fp) >= 8)

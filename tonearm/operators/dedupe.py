@@ -7,20 +7,25 @@ where a function returns its input's columns, else ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import version_key
 from ..functions.text import path_depth
-from ..runtime import save
+from ..runtime import drop, save, ship
 from .graph import components, led
 
 # Formats from best to worst, for the automatic choice and for the user's rules.
 FORMAT_RANK = {"flac": 1, "wav": 2, "aiff": 3, "aif": 3, "m4a": 4, "mp3": 5, "ogg": 6, "aac": 7, "wma": 8}
 CODEC_ORDER = ["flac", "wav", "aiff", "aif", "alac", "m4a", "opus", "mp3", "ogg", "aac", "wma"]
 PROBES, LEAST_FRAMES, SHIFT, OVERLAP = 4, 8, 20, 8
+#: Frames of two fingerprints that are compared at a time.
+WINDOW = 64
 #: Least similarity of copies, and the largest relative difference of their lengths.
 THRESHOLD, LENGTH_TOLERANCE = 0.95, 0.12
 
@@ -82,13 +87,22 @@ def drop_aliases(files: DataFrame) -> DataFrame:
 
 def frames(docs: DataFrame, words: int = 4) -> DataFrame:
     """A text's fingerprint: a 32-bit number of each run of four words; shorter texts than eight runs have none."""
+    ship(docs.sparkSession)
+    least = words * LEAST_FRAMES
 
-    def numbers(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.floor(F.size(w) / words).cast("int") - 1)
-        return F.transform(at, lambda i: F.conv(F.substring(F.md5(F.array_join(F.slice(w, i * words + 1, F.lit(words)), " ")), 1, 8), 16, 10).cast("bigint"))
+    def numbers(texts: pa.Array) -> pa.Array:
+        digests, ends = [], [0]
+        for text in texts.cast(pa.binary()).to_pylist():
+            w = [] if text is None else text.split(b" ")
+            if len(w) >= least:
+                digests += [hashlib.md5(b" ".join(w[i : i + words])).digest() for i in range(0, len(w) - words + 1, words)]
+            ends.append(len(digests))
+        values = np.frombuffer(b"".join(digests), ">u4")[::4].astype(np.int64)
+        ends = np.array(ends, np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(ends[1:] == ends[:-1]))
 
-    split = F.split(F.lower("text"), " ")
-    return docs.withColumn("fp", F.when(F.size(split) >= words * LEAST_FRAMES, F.transform(F.array(split), numbers)[0]))
+    # a column expression would take several times as long, mostly to read the digits
+    return docs.withColumn("fp", F.arrow_udf(numbers, "array<bigint>")(F.lower("text")))
 
 
 def fingerprint_digest(fp: Column) -> Column:
@@ -112,32 +126,153 @@ def alike_prints(threshold: float):
     """For ``graph.led``: which fingerprints (column fp) have a :func:`similarity` of ``threshold`` or more to one, each shift for all at once."""
 
     def among(rows: pd.DataFrame):
-        sizes = rows["fp"].map(len).to_numpy()
-        table = np.zeros((len(rows), int(sizes.max())), np.uint32)
-        for row, fp in zip(table, rows["fp"]):
-            row[: len(fp)] = fp
+        known = _Windows.of(rows["fp"])
+        table, sizes = known.table, known.sizes
 
         def ask(item: tuple, which: np.ndarray) -> np.ndarray:
-            own, size, part = np.asarray(item[0], np.uint32), sizes[which], table[which]
-            best = np.zeros(len(which))
-            for shift in range(-SHIFT, SHIFT + 1):
-                a, b = own[max(shift, 0) :], part[:, max(-shift, 0) :]
-                n = np.minimum(len(a), np.maximum(size - max(-shift, 0), 0))
-                fits = (n >= OVERLAP) | ((shift == 0) & (n > 0))
-                if not fits.any():
-                    continue
-                most = int(n.max())
-                bits = np.bitwise_count(a[:most] ^ b[:, :most])
-                if int(n.min()) < most:
-                    bits[np.arange(most) >= n[:, None]] = 0
-                best = np.where(fits, np.maximum(best, 1 - bits.sum(1, dtype=np.int64) / (32 * np.maximum(n, 1))), best)
-            return best >= threshold
-
+            own = np.asarray(item[0], np.uint32)
+            return _alike(own[None], np.array([len(own)]), table[which, : len(own) + SHIFT], sizes[which], threshold)
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out, i, j = np.zeros(len(i), bool), np.where(sizes[i] < sizes[j], i, j), np.where(sizes[i] < sizes[j], j, i)
+            order = np.argsort(sizes[i], kind="stable")
+            while len(order):  # the shorter of a pair bounds what is compared
+                some = order[: 1 + int(np.searchsorted(sizes[i[order]] * np.arange(1, len(order) + 1), 1 << 20))]
+                most = int(sizes[i[some]].max())
+                out[some] = _alike(table[i[some], :most], sizes[i[some]], table[j[some], : most + SHIFT], sizes[j[some]], threshold)
+                order = order[len(some) :]
+            return out
+
+        ask.pairs = pairs
+        ask.maybe = lambda items, which: _maybe(_Windows.of(items["fp"]), np.arange(len(items)), known, which, threshold)
         return ask
 
     return among
 
 
+def _alike(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of ``b`` are alike to those of ``a``, or to its one row; sizes tell how many frames of a row count."""
+    found, left = np.zeros(len(b), bool), np.arange(len(b))
+    # copies mostly are so without a shift, or with a small one
+    for shift in sorted(range(-SHIFT, SHIFT + 1), key=abs):
+        x, y = a[:, max(shift, 0) :], b[:, max(-shift, 0) :]
+        n = np.maximum(np.minimum(size_a - max(shift, 0), size_b - max(-shift, 0)), 0)
+        most = int(n.max(initial=0))
+        if most < OVERLAP and (shift or not most):
+            continue
+        bits = np.bitwise_count(x[:, :most] ^ y[:, :most])
+        if int(n.min()) < most:
+            bits[np.arange(most) >= n[:, None]] = 0
+        near = (1 - bits.sum(1, dtype=np.int64) / (32 * np.maximum(n, 1)) >= threshold) & ((n >= OVERLAP) | ((shift == 0) & (n > 0)))
+        if near.any():
+            found[left[near]] = True
+            left, size_b, b = left[~near], size_b[~near], b[~near]
+            if len(a) > 1:
+                size_a, a = size_a[~near], a[~near]
+            if not len(left):
+                break
+    return found
+
+
+class _Windows:
+    """Fingerprints as signs, in windows of ``WINDOW`` frames that are transformed when they are first asked for."""
+
+    #: Least length at which shifts up to SHIFT of two windows don't run into each other.
+    LENGTH = WINDOW + SHIFT
+
+    def __init__(self, table: np.ndarray, sizes: np.ndarray):
+        self.table, self.sizes, self.done = table, sizes, {}
+
+    @classmethod
+    def of(cls, prints: pd.Series) -> _Windows:
+        sizes = prints.map(len).to_numpy()
+        table = np.zeros((len(sizes), int(sizes.max())), np.uint32)
+        for row, fp in zip(table, prints):
+            row[: len(fp)] = fp
+        return cls(table, sizes)
+
+    def frames(self, which: np.ndarray, at: int) -> np.ndarray:
+        """How many frames the window has of each."""
+        return np.clip(self.sizes[which] - at * WINDOW, 0, WINDOW).astype(np.float32)
+
+    def spectra(self, which: np.ndarray, at: int) -> np.ndarray:
+        """(frequency, print, bit) of a window; what is not there counts as zero."""
+        part = np.ascontiguousarray(self.table[which, at * WINDOW : (at + 1) * WINDOW])
+        signs = np.unpackbits(part.view(np.uint8), axis=1).reshape(len(which), -1, 32).astype(np.float32) * 2 - 1
+        signs[np.arange(signs.shape[1]) >= self.frames(which, at)[:, None]] = 0
+        return np.ascontiguousarray(np.fft.rfft(signs, self.LENGTH, axis=1).transpose(1, 0, 2))
+
+    def kept(self, which: np.ndarray, at: int) -> np.ndarray:
+        """:meth:`spectra` of which, each print's worked out once for the first window."""
+        if at:
+            return self.spectra(which, at)
+        if 0 not in self.done:
+            self.done[0] = self.spectra(np.arange(len(self.sizes)), 0)
+        return self.done[0][:, which]
+
+
+#: Frames of a window, and prints that are compared at once.
+_TILE = 64, 512
+
+
+def _maybe(x: _Windows, own: np.ndarray, y: _Windows, which: np.ndarray, threshold: float) -> np.ndarray:
+    """(own, which): whether two prints can be alike, true of all that are.
+
+    The bits that differ in two windows, at every shift from products of their
+    spectra, are at most those that differ in all; a pair whose windows differ
+    in more than the whole may, at each shift, is out. Unlike prints mostly
+    are after the windows that cover a third of them.
+    """
+    out = np.zeros((len(own), len(which)), bool)
+    # those of like length together, as long ones take several windows
+    rows, cols = np.argsort(x.sizes[own], kind="stable"), np.argsort(y.sizes[which], kind="stable")
+    for i in range(0, len(own), _TILE[0]):
+        r = rows[i : i + _TILE[0]]
+        mine = x.spectra(own[r], 0)
+        for j in range(0, len(which), _TILE[1]):
+            c = cols[j : j + _TILE[1]]
+            out[np.ix_(r, c)] = _tile(x, own[r], mine, y, which[c], threshold)
+    return out
+
+
+def _tile(x: _Windows, a: np.ndarray, mine: np.ndarray, y: _Windows, b: np.ndarray, threshold: float) -> np.ndarray:
+    shifts = np.arange(-SHIFT, SHIFT + 1)
+    waves = np.arange(_Windows.LENGTH // 2 + 1)
+    weight = np.where((waves == 0) | (2 * waves == _Windows.LENGTH), 1, 2) / _Windows.LENGTH
+    turn = 2 * np.pi * np.outer(shifts, waves) / _Windows.LENGTH
+    cos, sin = (np.cos(turn) * weight).astype(np.float32), (np.sin(turn) * weight).astype(np.float32)
+    hit = np.ones((len(a), len(b)), bool)
+    rows, cols = np.arange(len(a)), np.arange(len(b))
+    same = seen = np.float32(0)
+    at = 0
+    while True:
+        theirs = y.kept(b[cols], at)
+        mine = mine if at == 0 else x.spectra(a[rows], at)
+        both = np.matmul(mine, theirs.conj().transpose(0, 2, 1)).reshape(len(waves), -1)
+        same = same + (cos @ np.ascontiguousarray(both.real) - sin @ np.ascontiguousarray(both.imag)).reshape(len(shifts), len(rows), len(cols))
+        parts = x.frames(a[rows], at), y.frames(b[cols], at)
+        wholes = x.sizes[a[rows]].astype(np.float32), y.sizes[b[cols]].astype(np.float32)
+        left = np.zeros((len(rows), len(cols)), bool)
+        counts = np.empty_like(same)
+        for k, shift in enumerate(shifts):
+            n = np.minimum.outer(wholes[0] - max(shift, 0), wholes[1] - max(-shift, 0))
+            counts[k] = np.maximum(np.minimum.outer(parts[0] - max(shift, 0), parts[1] - max(-shift, 0)), 0)
+            now = counts[k] if at == 0 else counts[k] + seen[k]
+            # frames with bits: equal ones less unequal ones, and what rounding may take
+            left |= ((n >= OVERLAP) | ((shift == 0) & (n > 0))) & (same[k] + 4 >= 32 * now - 64 * (1 - threshold) * n)
+        hit[np.ix_(rows, cols)] &= left
+        at += 1
+        shorter = np.minimum.outer(wholes[0], wholes[1])
+        on = hit[np.ix_(rows, cols)] & (shorter > 2 * WINDOW * at)
+        r, c = np.flatnonzero(on.any(1)), np.flatnonzero(on.any(0))
+        # a window of a pair takes as long as ten of its frames in full
+        if shorter[on].sum() <= 10 * len(r) * len(c):
+            return hit
+        seen = (counts if at == 1 else counts + seen)[:, r][:, :, c]
+        same = same[:, r][:, :, c]
+        rows, cols = rows[r], cols[c]
+
+
 def alike_lengths(tolerance: float):
     """For ``graph.led``: which lengths (column duration_s) differ by at most ``tolerance`` of the longer from one; unknown ones are alike."""
 
@@ -150,6 +285,13 @@ def alike_lengths(tolerance: float):
             with np.errstate(divide="ignore", invalid="ignore"):
                 return np.isnan(own) | (top <= 0) | (np.abs(own - other) / top <= tolerance)
 
+        def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            a, b = lengths[i], lengths[j]
+            top = np.fmax(a, b)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.isnan(b) | (top <= 0) | (np.abs(b - a) / top <= tolerance)
+
+        ask.pairs = pairs
         return ask
 
     return among
@@ -160,15 +302,31 @@ def near_clusters(spark: SparkSession, files: DataFrame, threshold: float = THRE
 
     Files are filed under each of their first frames; in such a bucket a file
     joins the first leader that it is alike to (``graph.led``), and clusters
-    that share a file are one. Equal fingerprints are one item beforehand.
+    that share a file are one. Equal fingerprints are one item beforehand, and
+    buckets of the same files are one bucket, as their leaders are the same.
     """
-    long = files.where(F.size("fp") >= LEAST_FRAMES)
-    prints = long.groupBy("fp").agg(F.min("path").alias("ordinal"))
-    probes = prints.select("ordinal", "fp", F.posexplode(F.slice("fp", 1, PROBES)).alias("i", "v"))
-    met = led(spark, _shared(probes, ["i", "v"]), ["i", "v"], alike_prints(threshold), ["fp"])
+    # fingerprints are made once; what they share is found without them
+    made, kept = save(spark, files.select("path", "fp"), "near-prints")
+    long = made.where(F.size("fp") >= LEAST_FRAMES)
+    prints, path = save(spark, long.groupBy("fp").agg(F.min("path").alias("ordinal")), "near-items")
+    probes = prints.select("ordinal", F.posexplode(F.slice("fp", 1, PROBES)).alias("i", "v"))
+    buckets, dealt = save(spark, _distinct_sets(_shared(probes, ["i", "v"]), ["i", "v"], "ordinal"), "near-buckets")
+    met = led(spark, buckets.join(prints, "ordinal"), ["i", "v"], alike_prints(threshold), ["fp"])
     same = long.join(prints, "fp").select(F.col("path").alias("a"), F.col("ordinal").alias("b"))
     edges = met.select(F.col("ordinal").alias("a"), F.col("head").alias("b")).union(same).where("a <> b")
-    return components(spark, edges).select(F.col("vertex").alias("path"), F.col("root").alias("cluster"))
+    found = components(spark, edges).select(F.col("vertex").alias("path"), F.col("root").alias("cluster"))
+    drop(spark, kept, path, dealt)
+    return found
+
+
+def _distinct_sets(rows: DataFrame, by: list[str], item: str) -> DataFrame:
+    """One group of those that have the same items (each once in a group), told by their number and 128 bits of hashes."""
+    key = F.struct(*by)
+    # sums of 60 bits stay in range for groups of any size that fits here
+    sums = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), item), 4).cast("decimal(20,0)")).alias(f"_h{k}") for k in (1, 2)]
+    groups = rows.groupBy(*by).agg(F.count("*").alias("_n"), *sums)
+    first = groups.groupBy("_n", "_h1", "_h2").agg(F.min(key).alias("_k")).select("_k.*")
+    return rows.join(first, by, "left_semi")
 
 
 def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
