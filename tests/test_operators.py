@@ -326,6 +326,26 @@ def test_undo_of_swaps_and_rings(spark):
         assert rows(got, "seq", "status") == sorted(want, key=str)
 
 
+def test_attempts_of_many_files_in_a_shard(spark, tmp_path, monkeypatch):
+    """Shards of hundreds of files, over two batches and a restart, against one file after another."""
+    monkeypatch.setattr(runs, "SHARDS", 3)
+    r, want, left = random.Random(8), {}, {}
+    for batch in range(2):
+        events = [(f"k{r.randrange(600)}", batch * 5000 + i, r.choice(["died", "died", "claim", "ok", "error"]), r.choice(["v", None])) for i in range(1500)]
+        for key, _, status, value in events:
+            if key not in want:
+                left[key] = left.get(key, 0) + (status == "died")
+                if left[key] == 3:
+                    want[key] = (key, "error", 3, None, runs.GAVE_UP)
+                elif status in ("ok", "error"):
+                    want[key] = (key, "result" if status == "ok" else "error", left[key] + 1, value, None if status == "ok" else value)
+        r.shuffle(events)
+        spark.createDataFrame(events, "key string, seq long, status string, value string").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, seq long, status string, value string").parquet(f"{tmp_path}/in")
+        got = runs.written(spark, runs.attempts(stream), f"{tmp_path}/out")
+        assert rows(got, "key", "outcome", "attempts", "value", "error") == sorted(want.values(), key=str)
+
+
 def test_attempts_over_batches_and_a_restart(spark, tmp_path):
     def batch(*events):
         spark.createDataFrame([(*e, "v") for e in events], "key string, seq long, status string, value string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")

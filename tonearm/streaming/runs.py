@@ -6,7 +6,8 @@ Events of one key are taken in the order of ``seq`` (attempts) or ``at``
 (results) inside a batch, and batch after batch; rows without a key are left
 out; an empty stream gives no rows. A batch's events of one key are one task's,
 so ``per_batch`` bounds what a key can hold of memory; the state itself is a
-few numbers.
+few numbers. Files of attempts are many, so they are kept by shards: a batch
+reads and writes the state of the shards that its files fall into.
 """
 
 from __future__ import annotations
@@ -24,25 +25,33 @@ from ..runtime import new_path
 RETRIES = 2
 #: Seconds without a result after which a run counts as stalled.
 STALL = 300
+#: Shards that the keys of attempts are dealt to; a checkpoint is only good for the number that it was made with.
+SHARDS = 256
 # What is written for a file whose workers keep dying.
 GAVE_UP = "analysis worker died repeatedly on this track — skipped"
 
 
-def _try(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: deaths so far, and whether the key has its row."""
-    deaths, done = state.get if state.exists else (0, False)
+def _try(shard: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: the shard's keys, and of each its deaths so far, or -1 if it has its row."""
+    known = dict(zip(*state.get)) if state.exists else {}
     out = []
     # a key's events of a batch may come in several pieces that are not in order
-    for row in pd.concat(list(chunks)).sort_values("seq", kind="stable").itertuples():
-        if done:
-            break
-        if row.status == "died":
-            deaths += 1
-            if deaths > RETRIES:
-                out, done = [(key[0], "error", deaths, None, GAVE_UP)], True
-        elif row.status in ("ok", "error"):
-            out, done = [(key[0], "result" if row.status == "ok" else "error", deaths + 1, row.value, None if row.status == "ok" else row.value)], True
-    state.update((deaths, done))
+    events = pd.concat(list(chunks)).sort_values("seq", kind="stable")
+    for key, status, value in zip(events["key"], events["status"], events["value"]):
+        deaths = known.setdefault(key, 0)
+        if deaths < 0:
+            continue
+        if status == "died":
+            known[key] = deaths + 1
+            if deaths + 1 > RETRIES:
+                out.append((key, "error", deaths + 1, None, GAVE_UP))
+                known[key] = -1
+        elif status in ("ok", "error"):
+            out.append((key, "result" if status == "ok" else "error", deaths + 1, value, None if status == "ok" else value))
+            known[key] = -1
+    # a key that no event has counted for is as one that never came
+    known = {k: n for k, n in known.items() if n}
+    state.update((list(known), list(known.values())))
     if out:
         yield pd.DataFrame(out, columns=["key", "outcome", "attempts", "value", "error"])
 
@@ -56,7 +65,9 @@ def attempts(events: DataFrame) -> DataFrame:
     death. What comes for a file that has its row is dropped.
     """
     rows = events.where("key is not null").select(F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), "status", F.col("value").cast("string").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(_try, "key string, outcome string, attempts int, value string, error string", "deaths int, done boolean", "append", GroupStateTimeout.NoTimeout)
+    # a worker is entered once for a shard and batch, which takes as long as it was for a key
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS)).cast("int"))
+    return rows.groupBy("shard").applyInPandasWithState(_try, "key string, outcome string, attempts int, value string, error string", "keys array<string>, deaths array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def _watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
