@@ -309,6 +309,21 @@ def test_undo_of_chains(spark):
     assert undo(spark, e.limit(0), spark.createDataFrame([], "path string")).count() == 0
 
 
+def test_undo_compares_only_moves_that_share_paths(spark, monkeypatch):
+    """Of lone moves nothing goes to the components, and those of others go there as numbers."""
+    from tonearm.operators import undo as module
+
+    seen, real = [], module.components
+    monkeypatch.setattr(module, "components", lambda spark, edges: seen.append((edges.count(), edges.schema["a"].dataType.simpleString())) or real(spark, edges))
+    moves = [(i, "move", f"/o{i}", f"/n{i}") for i in range(40)] + [(100, "move", "/c1", "/c2"), (101, "move", "/c2", "/c3"), (102, "move", "/c3", "/c4"), (103, "move", "/s", "/s")]
+    there = [f"/n{i}" for i in range(0, 40, 2)] * 2 + [f"/o{i}" for i in range(0, 40, 4)] + ["/c4"]
+    got = undo(spark, spark.createDataFrame(moves, "seq long, action string, src string, dst string"), spark.createDataFrame([(p,) for p in there], "path string"))
+    want = [(i, "skipped_gone" if i % 2 else "skipped_taken" if i % 4 == 0 else "reverted") for i in range(40)] + [(i, "reverted") for i in (100, 101, 102)] + [(103, "skipped_gone")]
+    assert rows(got, "seq", "status") == sorted(want, key=str)
+    # the move in the middle, and the one to itself
+    assert seen == [(2, "bigint")]
+
+
 def test_undo_of_swaps_and_rings(spark):
     """Random moves among few paths, also three in a ring, replayed one after another."""
     r = random.Random(4)
