@@ -302,6 +302,19 @@ def test_keeper_ranks(spark):
     assert rows(dedupe.keepers(one, ["g"]).where("keeper"), "path") == [("b",)]
 
 
+def test_plan_gives_names_on_what_they_need(spark, monkeypatch):
+    """Folders by genre and subgenre, nulls and odd names too; no path goes through the ranks."""
+    seen, real = [], organize.free_names
+    monkeypatch.setattr(organize, "free_names", lambda spark, moves, taken: seen.append(moves.columns) or real(spark, moves, taken))
+    kinds = [("House", "Deep House"), ("house", None), (None, None), (None, "x"), ("a/b", "Unknown"), ("CON", "aux"), ("", "")]
+    t = spark.createDataFrame([(i, f"/l/{i}", *kinds[i % 7], "f.mp3") for i in range(21)], "track_id long, path string, genre string, subgenre string, filename string")
+    got = organize.plan(spark, t, spark.createDataFrame([("HOUSE", 2)], "folder string, n long"), 3)
+    folders = ["HOUSE/Deep House", "HOUSE", "Unknown", "Unknown/x", "a_b", "_CON/_aux", "Unknown"]
+    want = [(i, folders[i % 7], False) for i in range(21)]
+    assert rows(got, "track_id", "folder", "rare") == sorted(want, key=str)
+    assert set(seen[0]) == {"track_id", "ordinal", "folder", "filename", "rare"}
+
+
 def test_undo_of_chains(spark):
     e = spark.createDataFrame([(1, "move", "/a", "/b"), (2, "move", "/b", "/c"), (3, "move", "/x", "/y"), (4, "trash", "/t", None), (5, "move", None, "/c"), (6, "move", "/q", "/q")], "seq long, action string, src string, dst string")
     got = undo(spark, e, spark.createDataFrame([("/c",), ("/q",), ("/q",), (None,)], "path string"))

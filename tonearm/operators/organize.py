@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import music
 from ..functions.text import folder_of, is_under, path_key
+from ..runtime import save
 from .names import free_names
 
 #: Folders that no census counts.
@@ -34,16 +35,22 @@ def place(tracks: DataFrame, existing: DataFrame, least: int, subfolders: bool =
     ``existing`` (folder, n): files already there (:func:`census`). An
     established folder keeps the spelling that it has.
     """
-    genre = F.coalesce("genre", F.lit("Unknown"))
-    sizes = tracks.groupBy(F.lower(genre).alias("_k")).agg(F.count("*").alias("_n"))
+    spark = tracks.sparkSession
+    # worked out once for each genre and subgenre that there is
+    kinds = tracks.groupBy("genre", "subgenre").agg(F.count("*").alias("_n")).withColumn("_g", F.coalesce("genre", F.lit("Unknown")))
+    sizes = kinds.groupBy(F.lower("_g").alias("_k")).agg(F.sum("_n").alias("_n"))
     have = existing.select(F.lower("folder").alias("_k"), F.least("n", F.lit(least)).alias("_have"), F.col("folder").alias("_name"))
     sizes = sizes.join(have, "_k", "left").select("_k", "_name", (F.col("_n") + F.coalesce("_have", F.lit(0)) < least).alias("rare"))
-    t = tracks.withColumn("_g", genre).join(sizes, F.lower("_g") == F.col("_k"))
     name = music.safe_folder(F.col("_g"))
     sub = F.col("subgenre").isNotNull() & (F.col("subgenre") != F.col("_g")) & (F.col("subgenre") != "Unknown") & F.lit(subfolders)
     home = F.coalesce("_name", name)
     folder = F.when(F.col("rare"), F.concat(F.lit("Other/"), name)).when(sub, F.concat(home, F.lit("/"), music.safe_folder(F.col("subgenre")))).otherwise(home)
-    return t.withColumn("folder", folder).drop("_g", "_k", "_name")
+    kinds = kinds.join(sizes, F.lower("_g") == F.col("_k")).select(F.col("genre").alias("_genre"), F.col("subgenre").alias("_subgenre"), "rare", folder.alias("folder"))
+    kinds, _ = save(spark, kinds, "places")
+    n, longest = kinds.agg(F.count("*"), F.max(F.length("folder"))).first()
+    small = n <= music.BROADCAST_ROWS and (longest or 0) <= 1000
+    same = F.col("genre").eqNullSafe(F.col("_genre")) & F.col("subgenre").eqNullSafe(F.col("_subgenre"))
+    return tracks.join(F.broadcast(kinds) if small else kinds, same).drop("_genre", "_subgenre")
 
 
 def plan(spark: SparkSession, tracks: DataFrame, existing: DataFrame, least: int, taken: DataFrame | None = None, subfolders: bool = True, root: str = "") -> DataFrame:
@@ -55,6 +62,8 @@ def plan(spark: SparkSession, tracks: DataFrame, existing: DataFrame, least: int
     if root:
         placed = placed.where(path_key(F.col("path")) != path_key(F.concat(F.lit(root.rstrip("/") + "/"), "folder", F.lit("/"), "filename")))
     none = placed.select("folder", "filename").limit(0)
+    # names are given on what they need alone
+    placed = placed.select("track_id", "ordinal", "folder", "filename", "rare")
     return free_names(spark, placed, taken if taken is not None else none).select("track_id", "folder", "destination", "rare")
 
 
