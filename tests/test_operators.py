@@ -186,6 +186,15 @@ def test_buckets_of_the_same_files_are_one(spark, monkeypatch):
     assert seen == [3]
 
 
+def test_lengths_in_pairs_are_as_one_by_one():
+    """Versions of small clusters are found for many at once; the later of a pair asks, and unknown lengths go with unknown ones only by the caller's groups."""
+    rows = pd.DataFrame({"duration_s": [100.0, 112.0, 114.0, None, 0.0, -1.0, 89.0]})
+    ask = dedupe.alike_lengths(0.12)(rows)
+    i, j = np.divmod(np.arange(49), 7)
+    want = [bool(ask((rows["duration_s"].iloc[y],), np.array([x]))[0]) for x, y in zip(i, j)]
+    assert ask.pairs(i, j).tolist() == want and any(want) and not all(want)
+
+
 def plain_clusters(files, threshold):
     """Buckets by the first four frames, leaders in the order of paths, clusters that share a file merged."""
     long = sorted((p, fp) for p, fp in files if fp and len(fp) >= 8)
