@@ -320,7 +320,7 @@ def near_clusters(spark: SparkSession, files: DataFrame, threshold: float = THRE
 
 
 def _distinct_sets(rows: DataFrame, by: list[str], item: str) -> DataFrame:
-    """One group of those that have the same items (each once in a group), told by their number and 128 bits of hashes."""
+    """One group of those that have the same items (each once in a group), told by their number and 120 bits of hashes."""
     key = F.struct(*by)
     # sums of 60 bits stay in range for groups of any size that fits here
     sums = [F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(k), item), 4).cast("decimal(20,0)")).alias(f"_h{k}") for k in (1, 2)]
